@@ -181,7 +181,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, recall: floa
         clusters.join(shape.select("cluster", "blocks", (-F.col("c.neg")).alias("centre")), "cluster").select("doc", "cluster", "blocks", "centre"), "clusters"
     )
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
-    once = clusters.join(texts, "doc")
+    # The candidates grow with the corpus: never broadcast them; hash them beside the texts.
+    once = texts.join(clusters.hint("shuffle_hash"), "doc")
     own = F.array(F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     side = (F.col("doc") == F.col("centre")).cast("int")
     first = once.withColumn("part", F.explode(F.when(F.col("doc") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)))
@@ -195,7 +196,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, recall: floa
         hub = named.where("doc = centre").select("cluster", F.col("part").alias("hub"))
         named = named.join(hub, "cluster")
         outside = named.where("part <> hub").groupBy("cluster").agg(F.count("*").alias("left"), F.max("blocks").alias("of"))
-        rows = named.join(outside, "cluster").join(texts, "doc")
+        rows = texts.join(named.join(outside, "cluster").hint("shuffle_hash"), "doc")
         asks = F.pmod(F.xxhash64(F.lit(1), "doc"), F.col("of")).cast("int")
         given = F.pmod(F.xxhash64("doc"), F.col("of")).cast("int")
         pairs = F.sequence(F.lit(0), F.col("of") - 1)
