@@ -3,16 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyloom.llm import mixing
 from tallyloom.llm.common import load
 
 
+def op1_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(load(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id",
+        F.col("mix_size").alias("size"),
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        (F.col("mix_copies") * F.col("mix_size")).alias("taken"),
+    )
+
+
+def op4_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import nbsvm
+
+    docs = load(spark, sf_dir, "documents")
+    return nbsvm.score(docs, nbsvm.train(docs, load(spark, sf_dir, "labels")))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm.near_dedup import near_duplicates
 
     return near_duplicates(load(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash_near_dedup,)}
+def op9_toxicity_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm import toxicity
+
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
+
+
+def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.bpe import encode_documents
+
+    return encode_documents(load(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mix_pareto, op4_quality_nbsvm, op5_minhash_near_dedup, op9_toxicity_levenshtein, op10_bpe_tree)
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_mix_pareto": mixing.ORACLE}
