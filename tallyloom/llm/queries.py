@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import mixing, url_filter
+from tallyloom.llm import mixing, secrets, url_filter
 from tallyloom.llm.common import load
 
 
@@ -37,6 +37,10 @@ def op7_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op8_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(load(spark, sf_dir, "documents"))
+
+
 def op9_toxicity_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import toxicity
 
@@ -52,7 +56,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_pareto, op4_quality_nbsvm, op5_minhash_near_dedup, op7_url_redirects, op9_toxicity_levenshtein, op10_bpe_tree)
+    for f in (op1_mix_pareto, op4_quality_nbsvm, op5_minhash_near_dedup, op7_url_redirects, op8_secret_trigrams, op9_toxicity_levenshtein, op10_bpe_tree)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_pareto": mixing.ORACLE, "op7_url_redirects": url_filter.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_mix_pareto": mixing.ORACLE, "op7_url_redirects": url_filter.ORACLE, "op8_secret_trigrams": secrets.oracle()}
