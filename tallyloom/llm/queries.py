@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import mixing, secrets, url_filter
+from tallyloom.llm import decision_list, mixing, secrets, url_filter
 from tallyloom.llm.common import load
 
 
@@ -20,6 +20,11 @@ def op1_mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return decision_list.judge(docs, decision_list.learn(docs, load(spark, sf_dir, "labels")))
+
+
 def op4_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import nbsvm
 
@@ -56,7 +61,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_pareto, op4_quality_nbsvm, op5_minhash_near_dedup, op7_url_redirects, op8_secret_trigrams, op9_toxicity_levenshtein, op10_bpe_tree)
+    for f in (op1_mix_pareto, op2_decision_list, op4_quality_nbsvm, op5_minhash_near_dedup, op7_url_redirects, op8_secret_trigrams, op9_toxicity_levenshtein, op10_bpe_tree)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_mix_pareto": mixing.ORACLE, "op7_url_redirects": url_filter.ORACLE, "op8_secret_trigrams": secrets.oracle()}
