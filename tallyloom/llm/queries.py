@@ -38,6 +38,12 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op6_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.digest import fingerprints
+
+    return fingerprints(load(spark, sf_dir, "documents"))
+
+
 def op7_url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(load(spark, sf_dir, "pages"), url_filter.RULES)
 
@@ -61,7 +67,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_pareto, op2_decision_list, op4_quality_nbsvm, op5_minhash_near_dedup, op7_url_redirects, op8_secret_trigrams, op9_toxicity_levenshtein, op10_bpe_tree)
+    for f in (op1_mix_pareto, op2_decision_list, op4_quality_nbsvm, op5_minhash_near_dedup, op6_improbable_digest, op7_url_redirects, op8_secret_trigrams, op9_toxicity_levenshtein, op10_bpe_tree)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_mix_pareto": mixing.ORACLE, "op7_url_redirects": url_filter.ORACLE, "op8_secret_trigrams": secrets.oracle()}
