@@ -25,6 +25,12 @@ def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision_list.judge(docs, decision_list.learn(docs, load(spark, sf_dir, "labels")))
 
 
+def op3_html_boosted_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.html_text import main_text
+
+    return main_text(load(spark, sf_dir, "pages"))
+
+
 def op4_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyloom.llm import nbsvm
 
@@ -67,7 +73,7 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_pareto, op2_decision_list, op4_quality_nbsvm, op5_minhash_near_dedup, op6_improbable_digest, op7_url_redirects, op8_secret_trigrams, op9_toxicity_levenshtein, op10_bpe_tree)
+    for f in (op1_mix_pareto, op2_decision_list, op3_html_boosted_dom, op4_quality_nbsvm, op5_minhash_near_dedup, op6_improbable_digest, op7_url_redirects, op8_secret_trigrams, op9_toxicity_levenshtein, op10_bpe_tree)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_mix_pareto": mixing.ORACLE, "op7_url_redirects": url_filter.ORACLE, "op8_secret_trigrams": secrets.oracle()}
