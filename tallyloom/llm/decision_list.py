@@ -13,7 +13,7 @@ Bound: ``most`` labelled rows (in order of a hash of the id) are learned from. T
 
 Defined cases: null and empty text: all statistics 0 (so the base rule fails it); without labels, or of one class
 only, the list is empty and keeps what the base rule keeps; repeated rows are judged one by one; a null doc_id
-is judged as any other; further columns pass through and must not start with ``stat_``.
+is judged as any other; ``judge`` ignores further columns.
 """
 
 from __future__ import annotations

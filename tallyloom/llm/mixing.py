@@ -17,7 +17,7 @@ millionth of the source) are put in order. Every histogram is summed before its
 
 Defined cases: null text has no words and takes none; a source without words has target 0; rows that are
 equal in id, source and size get equal ranks and are interchangeable; an empty table gives an empty result.
-Further columns pass through; they must not start with ``mix_``. The result depends on rows and seed only.
+Further columns pass through, but for those whose names start with ``mix_`` or ``cut_``, which are dropped. The result depends on rows and seed only.
 """
 
 from __future__ import annotations
@@ -65,6 +65,7 @@ def mix(
     importance: Column | None = None,
 ) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target (its source's) and mix_copies (int)."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith(("mix_", "cut_"))])
     base = docs.select(
         "*",
         word_count("text").alias("mix_size"),

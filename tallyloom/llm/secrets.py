@@ -12,7 +12,8 @@ Spans are [start, end) in code points: ``split`` gives the gaps between matches
 the matches, both leftmost and non-overlapping, so running lengths give the places.
 
 Defined cases: null and empty text have no spans; repeated rows are scanned as one text each; a null doc_id is
-scanned as any other; an empty table gives an empty result. Further columns pass through.
+scanned as any other; an empty table gives an empty result. Further columns
+pass through, but for those whose names start with ``secret_``, which are dropped.
 """
 
 from __future__ import annotations
@@ -96,6 +97,7 @@ def candidates(docs: DataFrame, rules: list[SecretRule]) -> DataFrame:
 
 def scan(docs: DataFrame, rules: list[SecretRule] = RULES) -> DataFrame:
     """``docs`` with secret_spans: array<struct<start, rule, end>>, in order of start, then of the rules."""
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("secret_")])
     known = materialize(candidates(docs.select("doc_id", "text"), rules), "secret-candidates").withColumnRenamed("secret_key", "secret_of")
     # Candidates grow with the corpus: never broadcast them; hash them beside the texts.
     d = docs.withColumn("secret_key", _key()).join(known.hint("shuffle_hash"), F.col("secret_key") == F.col("secret_of"), "left")
