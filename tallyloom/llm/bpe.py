@@ -26,7 +26,8 @@ from itertools import chain
 import pandas as pd
 from pyspark.sql import DataFrame
 
-LEAF = 12  # bytes
+LEAF = 16  # bytes
+_NONE = 1 << 60
 
 
 class TreeBpe:
@@ -47,14 +48,20 @@ class TreeBpe:
         ranks, n = self.ranks, len(data)
         if n < 2:
             return [ranks[data]] if n else []
-        if n <= 32:
-            parts = [data[i : i + 1] for i in range(n)]
-            while len(parts) > 1:
-                best = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-                if best[0] == 1 << 60:
+        if n <= 64:
+            get, parts = ranks.get, [data[i : i + 1] for i in range(n)]
+            near = [get(data[i : i + 2], _NONE) for i in range(n - 1)]
+            while near:
+                low = min(near)
+                if low == _NONE:
                     break
-                i = best[1]
+                i = near.index(low)
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del near[i]
+                if i:
+                    near[i - 1] = get(parts[i - 1] + parts[i], _NONE)
+                if i < len(near):
+                    near[i] = get(parts[i] + parts[i + 1], _NONE)
             return [ranks[p] for p in parts]
         end, prev = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(data[i : i + 2])) is not None]
@@ -106,7 +113,7 @@ class TreeBpe:
         pieces, known = self.split(text or ""), self.known
         for p in set(pieces):
             if p not in known:
-                if len(known) > 300_000:
+                if len(known) > 500_000:
                     known.clear()
                     for q in set(pieces):
                         known[q] = tuple(self.piece(q.encode("utf-8", "surrogatepass")))
