@@ -32,7 +32,7 @@ def merge_counts(base: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     p = patches.select(F.col(key).cast("string").alias("k")).groupBy("k").agg(F.count("*").alias("p"))
     both = b.join(p, "k", "full")
     z = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return both.agg(z("b").alias("base_rows"), z("p").alias("patch_rows"), F.count_if("b is not null and p is not null").alias("patched"), z(F.when(F.col("b").isNull(), F.col("p"))).alias("unmatched"))
+    return both.agg(z("b").alias("base_rows"), z("p").alias("patch_rows"), F.count_if(F.expr("b is not null and p is not null")).alias("patched"), z(F.when(F.col("b").isNull(), F.col("p"))).alias("unmatched"))
 
 
 def compare_runs(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

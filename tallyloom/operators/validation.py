@@ -41,7 +41,7 @@ def split_report(whole: DataFrame, parts: dict[str, DataFrame], key: str) -> Dat
         tagged = one if tagged is None else tagged.unionByName(one)
     n = tagged.groupBy(key).agg(F.count("*").alias("_n"))
     j = whole.select(key).distinct().join(n, key, "full")
-    return j.agg(F.count("*").alias("keys"), F.count_if("_n > 1").alias("overlapping"), F.count_if("_n is null").alias("unassigned"))
+    return j.agg(F.count("*").alias("keys"), F.count_if(F.col("_n") > 1).alias("overlapping"), F.count_if(F.col("_n").isNull()).alias("unassigned"))
 
 
 def forbidden(df: DataFrame, token: str) -> DataFrame:

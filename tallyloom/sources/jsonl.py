@@ -75,8 +75,8 @@ _MESSAGE = (
 )
 _CHAT = (
     "custom_id string, error struct<message: string>, response struct<status_code: int, body: struct<error: struct<message: string>,"
-    " choices: array<struct<finish_reason: string, message: struct<content: string>>>,"
-    " usage: struct<prompt_tokens: bigint, completion_tokens: bigint, prompt_tokens_details: struct<cached_tokens: bigint>>>>>"
+    " choices: array<struct<finish_reason: string, message: struct<content: string> > >,"
+    " usage: struct<prompt_tokens: bigint, completion_tokens: bigint, prompt_tokens_details: struct<cached_tokens: bigint> > > > >"
 )
 
 
