@@ -84,20 +84,27 @@ class Model:
         return float(self.weights[idx].sum() / np.sqrt(max(len(idx), 1))) + self.bias
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, dim: int, c: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
-    """Linear support vectors with hinge loss; the bias is one more feature of value 1."""
-    w, bias, alpha = np.zeros(dim), 0.0, np.zeros(len(y))
-    norm = np.array([float(v @ v) + 1.0 for v in values])
+def dual_coordinate_descent(rows: list[np.ndarray], weigh: np.ndarray, y: np.ndarray, c: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, float]:
+    """Linear support vectors with hinge loss; the bias is one more feature of value 1.
+
+    A row is the places of its features; their values are ``weigh`` there, scaled by the row's own size. They are made
+    anew at each visit, so only the places are held.
+    """
+    w, bias, alpha = np.zeros(len(weigh)), 0.0, np.zeros(len(y))
+    scale = np.array([1 / np.sqrt(max(len(r), 1)) for r in rows])
+    norm = np.array([float((weigh[r] ** 2).sum()) * k * k + 1.0 for r, k in zip(rows, scale)])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(y)):
-            g = y[i] * (float(w[rows[i]] @ values[i]) + bias) - 1.0
+            at = rows[i]
+            v = weigh[at] * scale[i]
+            g = y[i] * (float(w[at] @ v) + bias) - 1.0
             new = min(max(alpha[i] - g / norm[i], 0.0), c[i])
             d = (new - alpha[i]) * y[i]
             if d:
                 alpha[i] = new
-                w[rows[i]] += d * values[i]
+                w[at] += d * v
                 bias += d
                 most = max(most, abs(d))
         if most < 1e-3:
@@ -119,9 +126,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, c: float = 1.0, epochs: int = 8,
     ratio[pos + neg - 2 < least] = 0.0
     sign = np.where(y > 0, 1.0, -1.0)
     cost = np.where(y > 0, c * len(y) / (2 * y.sum()), c * len(y) / (2 * (1 - y).sum()))  # both classes weigh the same
-    kept = [r[ratio[r] != 0] for r in rows]
-    scale = [1 / np.sqrt(max(len(r), 1)) for r in rows]
-    w, bias = dual_coordinate_descent(kept, [ratio[r] * s for r, s in zip(kept, scale)], sign, dim, cost, epochs, seed)
+    w, bias = dual_coordinate_descent(rows, ratio, sign, cost, epochs, seed)
     used = np.abs(w) > 0
     mean = np.abs(w[used]).mean() if used.any() else 0.0
     model = Model(((1 - beta) * mean + beta * w) * ratio, bias, 1.0, 0.0)
@@ -138,8 +143,13 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", folds: in
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "f": [features(t, known).astype(np.int32) for t in pdf["text"]]})
 
-    got = sample.mapInPandas(run, "doc_id long, y int, f array<int>").toPandas().sort_values("doc_id", kind="stable")
-    return fit([np.asarray(f, np.int64) for f in got["f"]], got["y"].to_numpy(dtype=np.float64))
+    got = sample.mapInPandas(run, "doc_id long, y int, f array<int>").toArrow().combine_chunks()
+    if not got.num_rows:
+        return fit([], np.empty(0))
+    lists = got.column("f").combine_chunks()
+    ends, places = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
+    return fit([places[ends[i] : ends[i + 1]] for i in order], got.column("y").to_numpy().astype(np.float64)[order])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 5, held: int = 0, keep: bool = False) -> DataFrame:
