@@ -19,6 +19,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(docs: DataFrame, prefixes: tuple[str, ...], work) -> DataFrame:
+    """``work(docs)`` with the columns whose names an operator keeps for itself renamed meanwhile."""
+    other = {c: fresh(docs, f"kept_{i}") for i, c in enumerate(docs.columns) if c.lower().startswith(prefixes)}
+    out = work(docs.withColumnsRenamed(other))
+    return out.withColumnsRenamed({v: k for k, v in other.items()}).select(*docs.columns)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores under its threshold go."""
     return nbsvm.score(docs, nbsvm.train(docs, load(spark, sf_dir, "labels")), keep=True)
@@ -39,6 +46,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; n_chars follows the text."""
+    return aside(docs, ("secret_",), _redacted)
+
+
+def _redacted(docs: DataFrame) -> DataFrame:
     s = secrets.scan(docs)
     found = F.size("secret_spans") > 0
     text = secrets.redacted(F.col("text"), F.col("secret_spans"))
@@ -50,7 +61,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: documents as often as their source's target asks for."""
-    return mixing.repeated(mixing.mix(docs), docs.columns)
+    return aside(docs, ("mix_", "cut_"), lambda d: mixing.repeated(mixing.mix(d), d.columns))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
