@@ -19,8 +19,9 @@ def read_strict(spark: SparkSession, path: str, schema: str | T.StructType) -> D
 def read_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(good rows, malformed lines with their file)."""
     full = T.StructType.fromDDL(schema).add("_corrupt", T.StringType())
-    raw = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    raw = raw.withColumn("_file", F.col("_metadata.file_path"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select("value", F.col("_metadata.file_path").alias("_file"))
+    row = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    raw = lines.select("_file", row.alias("r")).select("_file", "r.*")
     return raw.where("_corrupt is null").drop("_corrupt", "_file"), raw.where("_corrupt is not null").select("_file", "_corrupt")
 
 
@@ -76,7 +77,7 @@ _MESSAGE = (
 _CHAT = (
     "custom_id string, error struct<message: string>, response struct<status_code: int, body: struct<error: struct<message: string>,"
     " choices: array<struct<finish_reason: string, message: struct<content: string> > >,"
-    " usage: struct<prompt_tokens: bigint, completion_tokens: bigint, prompt_tokens_details: struct<cached_tokens: bigint> > > > >"
+    " usage: struct<prompt_tokens: bigint, completion_tokens: bigint, prompt_tokens_details: struct<cached_tokens: bigint> > > >"
 )
 
 
