@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import coin, hash_order, pair_id
+from tallyloom.sources.scratch import materialize
 
 FLOOR, RATIO = 5, 2.0
 
@@ -72,7 +73,7 @@ def sample_pairs(pairs: DataFrame, targets: dict[str, int], seed: object, per_qu
     """
     base = pairs.withColumn("pair_id", pair_id(F.col("question").cast("string"), F.col("a_model").cast("string"), F.col("b_model").cast("string")))
     base = base.withColumn("_q", hash_order(seed, F.col("question"))).withColumn("_p", hash_order(seed, F.col("question"), F.col("a_key"), F.col("b_key")))
-    base = base.persist()
+    base = materialize(base, "pairs")
     taken = seen.select("pair_id") if seen is not None else None
     out: DataFrame | None = None
     for pool in pools:
@@ -84,7 +85,7 @@ def sample_pairs(pairs: DataFrame, targets: dict[str, int], seed: object, per_qu
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("pair_id").orderBy("_q", "_p"))).where("_n = 1")
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("question").orderBy("_q", "_p"))).where(F.col("_n") <= per_question)
         rows = rows.orderBy("_q", "_p").limit(targets[pool.name]).withColumn("bucket", F.lit(pool.name)).drop("_n")
-        rows = rows.persist()
+        rows = materialize(rows, "picked")
         out = rows if out is None else out.unionByName(rows)
         taken = rows.select("pair_id") if taken is None else taken.union(rows.select("pair_id"))
     if out is None:
