@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.scratch import materialize, shared_folder  # noqa: F401  (for the operators)
+
 #: A word is a run of anything but ASCII white space (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,25 +15,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local one only where none is set (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        known = tempfile.mkdtemp(prefix="tallyloom-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate to the shared folder and read it back, which cuts the lineage.
-
-    The files outlive any executor; a lost task rereads them instead of recomputing the past.
-    """
-    path = f"{shared_folder(df.sparkSession)}/tallyloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
