@@ -379,3 +379,57 @@ def c5_pass_spec(spark, d):
     from tallyloom.operators.formatting import pass_spec
 
     return pass_spec(spark)
+
+
+@query("select 'ratio' as gate, case when r <= 1.25 then 'PASS' else 'FAIL' end as decision, 'ratio ' || round(r, 6) || ', at most 1.25' as reason from (select round(median(l_tax) / median(l_discount), 9) as r from lineitem)")
+def g6_median_ratio_gate(spark, d):
+    return gates.at_most(stats.median_ratio(table(spark, d, "lineitem"), "l_tax", "l_discount"), "ratio", "ratio", 1.25)
+
+
+@query("""with x as (select round(median(case when lang = 'en' then n_chars end) / median(case when lang = 'fr' then n_chars end), 6) as m, round(quantile_cont(case when lang = 'en' then n_chars end, 0.9) / quantile_cont(case when lang = 'fr' then n_chars end, 0.9), 6) as p from documents),
+  g as (select round(max(m) / min(m), 6) as v from (select lang, median(n_chars) as m from documents group by 1))
+  select 'median_ratio' as gate, case when m <= 1.15 then 'PASS' else 'BLOCK' end as decision from x union all select 'p90_ratio', case when p <= 1.2 then 'PASS' else 'WARN' end from x union all select 'divergence', case when v <= 1.25 then 'PASS' else 'WARN' end from g""")
+def g7_length_gates(spark, d):
+    docs = table(spark, d, "documents")
+    en, fr = F.when(F.col("lang") == "en", F.col("n_chars")), F.when(F.col("lang") == "fr", F.col("n_chars"))
+    one = docs.agg((F.median(en) / F.median(fr)).alias("median_ratio"), (stats.percentile_linear(en, 0.9) / stats.percentile_linear(fr, 0.9)).alias("p90_ratio"))
+    both = one.crossJoin(F.broadcast(stats.divergence(docs, "lang", "n_chars").select("divergence")))  # one row each
+    return gates.length_gates(both).select("gate", "decision")
+
+
+@query("select 'phase' as gate, case when s <> 'complete' then 'STOP' when h <> 'a' then 'STOP' else 'PROCEED' end as decision, case when s <> 'complete' then 'prior phase incomplete' when h <> 'a' then 'prompt changed' else 'ready' end as reason from (values ('complete', 'a'), ('running', 'a'), ('complete', 'b')) t(s, h)")
+def g11_phase_gate(spark, d):
+    return gates.phase(spark.createDataFrame([("complete", "a", "a"), ("running", "a", "a"), ("complete", "b", "a")], "prior_status string, prompt_hash string, expected_hash string"))
+
+
+@query("select 'ceiling' as gate, case when n <= 3040 then 'PASS' else 'FAIL' end as decision, 'tokens ' || n::double || ', at most 3040' as reason from (select max(length(text)) as n from conversations)")
+def g13_ceiling_gate(spark, d):
+    return gates.at_most(table(spark, d, "conversations").agg(F.max(F.length("text")).alias("tokens")), "ceiling", "tokens", 3040)
+
+
+@query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by event_id desc) as n from events) where n = 1")
+def w10_last_write(spark, d):
+    from tallyloom.operators.merge import last_write
+
+    return last_write(table(spark, d, "events"), ["user_id"], ["event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("""with l as (select user_id, event_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as i, count(*) over (partition by user_id) as n from events)
+  select user_id, round(max(case when i = n - 1 then value end) - max(case when i = case when n // 2 >= n - 1 then greatest(n - 2, 0) else n // 2 end then value end), 9) as delta from l group by 1""")
+def w12_back_half_delta(spark, d):
+    e = table(spark, d, "events")
+    z = F.lit(0.0)
+    log = e.select("user_id", F.struct("ts", "event_id").alias("at"), F.col("value").alias("margin"), z.alias("accuracy"), z.alias("chosen"), z.alias("rejected"))
+    return gates.overcollapse(log, ["user_id"], "at").select("user_id", F.col("margin_delta").alias("delta"))
+
+
+@query("select l_orderkey, round_even(sum(l_quantity) / 2, 0)::bigint as half, round(sum(l_extendedprice * l_tax), 4) as tax, round(sum(l_tax) / nullif(sum(l_discount), 0), 9) as ratio, coalesce(round(sum(l_tax) / nullif(sum(l_discount), 0), 9), 0) as ratio0 from lineitem group by 1")
+def m5_rounding_and_ratios(spark, d):
+    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.sum(F.col("l_extendedprice") * F.col("l_tax")).alias("t"), F.sum("l_tax").alias("x"), F.sum("l_discount").alias("y"))
+    r = cost.ratio(F.col("x"), F.col("y"))
+    return g.select("l_orderkey", F.bround(F.col("q") / 2).cast("long").alias("half"), F.round("t", 4).alias("tax"), F.round(r, 9).alias("ratio"), F.round(cost.ratio(F.col("x"), F.col("y"), 0.0), 9).alias("ratio0"))
+
+
+@query("select event_id, round(2.5 / 3600 * (event_id % 7200), 9) as worst from events")
+def m8_worst_case(spark, d):
+    return table(spark, d, "events").select("event_id", F.round(cost.gpu_cost(F.lit("A100-80GB"), F.col("event_id") % 7200), 9).alias("worst"))

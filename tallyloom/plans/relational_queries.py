@@ -329,6 +329,139 @@ def p3_eval_records(spark, d):
     return e.select("slice", "pair", "category", "human_verdict")
 
 
+@query("select o_orderkey::varchar as question_id, o_orderpriority as category, o_custkey::int as example_id, o_totalprice as price from orders")
+def p1_row_constructor(spark, d):
+    c = F.col
+    return table(spark, d, "orders").select(c("o_orderkey").cast("string").alias("question_id"), c("o_orderpriority").alias("category"), c("o_custkey").cast("int").alias("example_id"), c("o_totalprice").alias("price"))
+
+
+@query("select s_suppkey, s_name, n_name, n_regionkey from supplier join nation on s_nationkey = n_nationkey")
+def p2_copy_dimension_columns(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name", "n_regionkey")
+    return merge.lookup(table(spark, d, "supplier"), n, "s_nationkey")[0].select("s_suppkey", "s_name", "n_name", "n_regionkey")
+
+
+@query("select c_custkey, c_name as model, c_mktsegment as text, n_name as question_text from customer join nation on c_nationkey = n_nationkey")
+def p4_nested_records(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    j = table(spark, d, "customer").join(n, "c_nationkey")
+    nested = j.select("c_custkey", F.col("n_name").alias("question_text"), F.struct(F.col("c_name").alias("model"), F.col("c_mktsegment").alias("text")).alias("response_a"))
+    return nested.select("c_custkey", "response_a.model", "response_a.text", "question_text")
+
+
+@query("select o_orderkey from orders where o_orderstatus in ('F', 'P') and o_orderpriority in ('1-URGENT', '5-LOW')")
+def p5_stratum_cells(spark, d):
+    cells = spark.createDataFrame([(p, s) for p in ("1-URGENT", "5-LOW") for s in "FP"], "o_orderpriority string, o_orderstatus string")
+    return table(spark, d, "orders").join(F.broadcast(cells), ["o_orderpriority", "o_orderstatus"], "left_semi").select("o_orderkey")
+
+
+@query("select case when ('0x' || substr(sha1(o_orderkey::varchar), 1, 8))::bigint % 10 < 7 then 'synth' else 'flip' end as side, count(*)::bigint as n from orders group by 1")
+def p8_hash_bucket_sides(spark, d):
+    from tallyloom.functions.hashing import is_synth
+
+    o = table(spark, d, "orders")
+    t = is_synth(F.col("o_orderkey").cast("string"))
+    side = lambda w, n: o.where(w).agg(F.lit(n).alias("side"), F.count("*").alias("n"))
+    return side(t, "synth").unionByName(side(~t, "flip"))
+
+
+@query("select (lang = 'en') as english, count(*)::bigint as n from documents group by 1")
+def p9_partition_by_predicate(spark, d):
+    docs = table(spark, d, "documents")
+    part = lambda t, v: docs.where(t).agg(F.lit(v).alias("english"), F.count("*").alias("n"))
+    return part(F.col("lang") == "en", True).unionByName(part(F.col("lang") != "en", False))
+
+
+@query("select n_nationkey, n_name from nation")
+def p19_drop_if_present(spark, d):
+    return table(spark, d, "nation").drop("n_regionkey", "not_there")
+
+
+@query("select o_orderkey, o_orderstatus from orders order by o_orderkey limit 25")
+def p21_first_n(spark, d):
+    return table(spark, d, "orders").orderBy("o_orderkey").limit(25).select("o_orderkey", "o_orderstatus")
+
+
+@query(f"select pair_id, verdict, null::varchar as crosscheck_verdict_b, null::int as crosscheck_score from {DIALOGUE}")
+def p24_label_stubs(spark, d):
+    rows = dialogue(spark, d).select("pair_id", "verdict")
+    return formatting.with_stubs(rows, {"verdict": "string", "crosscheck_verdict_b": "string", "crosscheck_score": "int"})
+
+
+@query(f"""select pair, model, run, 'sampled_' || run as pass, case when verdict = 'PARSE_FAIL' then 'PARSE_FAIL' else verdict end as verdict from {SAMPLED}""")
+def p25_prediction_rows(spark, d):
+    s = sampled(spark, d)
+    raw = F.when(F.col("verdict") == "PARSE_FAIL", "none").otherwise(F.concat(F.lit("<reasoning>r</reasoning><verdict>"), "verdict", F.lit("</verdict>")))
+    s = s.select("pair", "model", "run", text.parse_output(raw)["verdict"].alias("verdict"), F.lit(0.3).alias("temperature"), F.lit(False).alias("swapped"), F.col("run").alias("run_index"))
+    return formatting.with_pass(s)[0].select("pair", "model", "run", "pass", "verdict")
+
+
+@query(f"select pair_id, swap, sha256('s' || chr(0) || {_PROMPT.replace(chr(39) + chr(39) + ' || chr(10) || ' + chr(39) + '<|user|>', chr(39) + 's' + chr(39) + ' || chr(10) || ' + chr(39) + '<|user|>')}) as prompt_hash from (select *, unnest([false, true]) as swap from {DIALOGUE})")
+def p26_rendered_prompts(spark, d):
+    from tallyloom.functions.hashing import prompt_hash
+
+    c = F.col
+    r = merge.doubled(dialogue(spark, d))
+    user = text.apply_chat(F.lit("s"), text.user_message(c("question"), F.lit("A. x"), c("a"), c("b"), c("swap")))
+    return r.select("pair_id", "swap", prompt_hash(F.lit("s"), user).alias("prompt_hash"))
+
+
+@query("select l_orderkey, l_suppkey from lineitem where l_suppkey in (select s_suppkey from supplier where s_acctbal > 5000)")
+def p29_surviving_models(spark, d):
+    alive = table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"))
+    return validation.subset(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), alive, "l_suppkey")[0]
+
+
+@query(f"select count(*)::bigint as common, sum((b.plain = t.plain)::int)::bigint as same from (select * from {WIDE} where model = 'base') b join (select * from {WIDE} where model = 'tuned') t using (pair)")
+def j11_common_ids(spark, d):
+    w = wide(spark, d)
+    t = w.where("model = 'tuned'").select("pair", F.col("plain").alias("other"))
+    return w.where("model = 'base'").join(t, "pair").agg(F.count("*").alias("common"), F.count_if(F.col("plain") == F.col("other")).alias("same"))
+
+
+@query(f"select h.pair, w.model, h.human, w.plain from {TRUTH} h join {WIDE} w using (pair) where w.plain <> 'PARSE_FAIL'")
+def j13_truth_with_predictions(spark, d):
+    p = wide(spark, d).select("pair", "model", "plain").where("plain <> 'PARSE_FAIL'")
+    return truth(spark, d).select("pair", "human").join(p, "pair").select("pair", "model", "human", "plain")
+
+
+@query(f"select pair, plain, swapped, human from {WIDE} where model = 'base' and plain <> 'PARSE_FAIL' and swapped <> 'PARSE_FAIL'")
+def j14_three_way_join(spark, d):
+    w = wide(spark, d).where("model = 'base'")
+    long = w.select("pair", F.explode(F.array(F.struct(F.lit("plain").alias("p"), F.col("plain").alias("v")), F.struct(F.lit("swapped").alias("p"), F.col("swapped").alias("v")))).alias("x")).select("pair", "x.p", "x.v")
+    both = merge.wide_by(long, "pair", F.col("p"), "v", ["plain", "swapped"])
+    return both.where("plain <> 'PARSE_FAIL' and swapped <> 'PARSE_FAIL'").join(truth(spark, d).select("pair", "human"), "pair").select("pair", "plain", "swapped", "human")
+
+
+@query(f"select pair, model, count(distinct verdict)::bigint as verdicts, count(*)::bigint as runs from {SAMPLED} group by 1, 2")
+def j15_runs_by_key(spark, d):
+    return sampled(spark, d).groupBy("pair", "model").agg(F.count_distinct("verdict").alias("verdicts"), F.count("*").alias("runs"))
+
+
+@query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)")
+def j19_not_in_sample(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey")
+    return o.join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_anti")
+
+
+@query("select doc_id, lang from documents where doc_id in (select event_id from events where event_type = 'error')")
+def j24_retry_set(spark, d):
+    bad = table(spark, d, "events").where("event_type = 'error'").select(F.col("event_id").alias("doc_id"))
+    return validation.subset(table(spark, d, "documents").select("doc_id", "lang"), bad, "doc_id")[0]
+
+
+@query("select local, case when local in ('documents', 'labels') then 'present' else 'missing' end as state from (select unnest(['documents', 'labels', 'nothing']) as local)")
+def k17_publish_manifest(spark, d):
+    m = sinks.manifest(spark, d, {f"{n}.parquet": n for n in ("documents", "labels", "nothing")})
+    return m.select(F.regexp_replace("local", r"\.parquet$", "").alias("local"), "state")
+
+
+@query("select 'k' || (event_id % 3) as phase, arg_max(event_type, event_id) as status, max(event_id) as batch from events group by 1")
+def k14_state_upserts(spark, d):
+    e = table(spark, d, "events").select(F.concat(F.lit("k"), F.col("event_id") % 3).alias("phase"), F.col("event_type").alias("status"), F.col("event_id").alias("batch"))
+    return merge.last_write(e, ["phase"], ["batch"])
+
+
 # ---- sets --------------------------------------------------------------------------------------
 @query("select c_nationkey as k from customer union select s_nationkey from supplier")
 def u2_union_keys(spark, d):

@@ -297,3 +297,36 @@ def r8_usage_map(spark, d):
 @query("select event_id, strftime(ts, '%Y%m%dT%H%M%SZ') as stamp from events")
 def d3_stamp(spark, d):
     return table(spark, d, "events").select("event_id", rules.stamp(F.col("ts")).alias("stamp"))
+
+
+@query("select doc_id, '<reasoning>Response ' || case when doc_id % 2 = 0 then 'B' else 'A' end || ' ' || lang || '</reasoning><verdict>' || case when doc_id % 2 = 0 then 'B' else 'A' end || '</verdict>' as target from documents")
+def t16_make_target(spark, d):
+    r = F.concat(F.lit("<think>x</think>Response A "), "lang")
+    return docs(spark, d).select("doc_id", text.make_target(r, F.lit("A"), F.col("doc_id") % 2 == 0).alias("target"))
+
+
+@query("select doc_id, '<|system|>' || chr(10) || lang || chr(10) || '<|user|>' || chr(10) || source || chr(10) || '<|assistant|>' || chr(10) as prompt from documents")
+def t19_apply_chat(spark, d):
+    return docs(spark, d).select("doc_id", text.apply_chat(F.col("lang"), F.col("source")).alias("prompt"))
+
+
+@query(r"select doc_id, regexp_matches(text, '(?i)\b(?:of\s+the|is)\b') as hit from documents where lang = 'en'")
+def t7_phrase_match(spark, d):
+    return docs(spark, d).where("lang = 'en'").select("doc_id", text.phrase_match(F.col("text"), ("of the", "is")).alias("hit"))
+
+
+@query("select doc_id, 'B' as letter, source as text from documents")
+def r2_choice_structs(spark, d):
+    c = F.get(rules.choices(F.col("lang"), F.col("source")), 1)
+    return docs(spark, d).select("doc_id", c["letter"].alias("letter"), c["text"].alias("text"))
+
+
+@query("select doc_id, lang || source as t from documents")
+def r5_text_blocks(spark, d):
+    b = lambda k, v: F.struct(F.lit(k).alias("type"), v.alias("text"))
+    return docs(spark, d).select("doc_id", rules.text_blocks(F.array(b("text", F.col("lang")), b("tool", F.lit("x")), b("text", F.col("source")))).alias("t"))
+
+
+@query("select count(*)::bigint as later from events where ts > timestamp '2024-01-15 00:00:00'")
+def d2_timestamp_compare(spark, d):
+    return table(spark, d, "events").where(F.col("ts") > F.lit("2024-01-15 00:00:00").cast("timestamp")).agg(F.count("*").alias("later"))
