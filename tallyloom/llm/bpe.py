@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -143,22 +144,29 @@ def tokenizer_file(name: str) -> tuple[str, str]:
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
-def encode_documents(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", with_ids: bool = False, chunk: int = 500_000) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids themselves if asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load_bpe(*tokenizer_file(name))
         text_of = [str(i) for i in range(max(bpe.bytes_of) + 1)]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+
+        def frame(out: list) -> pd.DataFrame:
+            return pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+
         for pdf in batches:
-            out = []
+            out, held = [], 0
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 ids = bpe.encode(text)
                 shown = " ".join(map(text_of.__getitem__, ids))
                 row = (doc_id, len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest())
-                out.append((*row, ids) if with_ids else row)
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-            pdf = pd.DataFrame(out, columns=names)
-            yield pdf.astype({"doc_id": "Int64"})
+                out.append((*row, np.array(ids, np.int32)) if with_ids else row)
+                held += len(ids)
+                if held > chunk:  # what a task holds doesn't grow with the batch
+                    yield frame(out)
+                    out, held = [], 0
+            yield frame(out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     return docs.select("doc_id", "text").mapInPandas(run, schema)
