@@ -46,7 +46,7 @@ def shape(word: str) -> str:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         w = word.decode("utf-8", "replace")
         self[word] = v = (xxhash.xxh64_intdigest(word.lower()), xxhash.xxh64_intdigest(shape(w).encode(), 7))

@@ -14,7 +14,7 @@ class WordHashes(dict):
     """word -> 64-bit hash, filled on demand and emptied when it grows past a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

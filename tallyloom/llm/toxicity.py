@@ -123,7 +123,7 @@ class Matcher(dict):
         self.heads, self.tails = ({t[:2] for t in terms if len(t) >= FUZZY}, {t[-2:] for t in terms if len(t) >= FUZZY})
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         low = word.lower()
         if (hit := self.trie.exact(low)) is not None:
