@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,7 @@ def shared_folder(spark: SparkSession) -> str:
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
         known = tempfile.mkdtemp(prefix="tallyloom-")
+        atexit.register(shutil.rmtree, known, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
