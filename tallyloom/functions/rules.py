@@ -29,17 +29,24 @@ def disagreement(verdicts: list[Column], mode: str = "available") -> Column:
 
 
 def error_class(name: Column, status: Column) -> Column:
-    """A failed request's class from its exception name and HTTP status."""
+    """A failed request's class, from its exception's name and HTTP status."""
     low = F.lower(F.coalesce(name, F.lit("")))
+    said = lambda w: F.contains(low, F.lit(w))
     return (
-        F.when(status == 429, "rate_limit").when(status.isin(401, 403), "auth").when(status == 404, "not_found").when(status >= 500, "server")
-        .when(low.contains("timeout"), "timeout").when(low.contains("connection"), "connection").when(status >= 400, "client").otherwise("unknown")
+        F.when(said("authentication") | status.isin(401, 403), "auth").when(said("notfound") | (status == 404), "model_not_found")
+        .when(said("ratelimit") | (status == 429), "rate_limit").when(said("timeout"), "timeout").when(said("connection"), "connection")
+        .when(said("apierror") | (status >= 400), "server").otherwise("unknown")
     )
 
 
-def lifecycle_action(batch_id: Column, status: Column) -> Column:
-    """What a phase's state row asks for next."""
-    return F.when(batch_id.isNull(), "submit").when(status.isin("ended", "completed"), "fetch").otherwise("poll")
+def lifecycle_action(batch_id: Column, status: Column, explicit: str | None = None) -> Column:
+    """What a phase's state row asks for next: submit without a batch, poll while it runs, else fetch; unless told."""
+    if explicit is not None:
+        if explicit not in ("submit", "poll", "fetch"):
+            raise ValueError(f"unknown action {explicit!r}")
+        return F.lit(explicit)
+    running = F.coalesce(status, F.lit("in_progress")) == "in_progress"
+    return F.when(batch_id.isNull(), "submit").when(running, "poll").otherwise("fetch")
 
 
 def chosen_rejected(verdict: Column, a: Column, b: Column) -> tuple[Column, Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def parse_output(text: Column) -> Column:
     """struct(reasoning, verdict); verdict PARSE_FAIL and null reasoning where the two tags don't follow each other."""
     pattern = r"(?s)<reasoning>(.*?)</reasoning>\s*<verdict>(A|B|TIE)</verdict>"
     verdict = _found(text, pattern, 2)
-    return F.struct(F.when(verdict.isNotNull(), strip(F.regexp_extract(text, pattern, 1))).alias("reasoning"), F.coalesce(verdict, F.lit(PARSE_FAIL)).alias("verdict"))
+    return F.struct(F.when(verdict.isNotNull(), F.regexp_extract(text, pattern, 1)).alias("reasoning"), F.coalesce(verdict, F.lit(PARSE_FAIL)).alias("verdict"))
 
 
 def validate_synth(text: Column, expected: Column) -> Column:
@@ -237,9 +238,9 @@ def truncate(c: Column, n: int) -> Column:
     return F.when(F.length(c) > n, F.concat(F.substring(c, 1, n - 3), F.lit("..."))).otherwise(c)
 
 
-def slug(c: Column, default: str = "model") -> Column:
-    """Lower-case runs of letters and digits joined by dashes."""
-    s = F.lower(F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9]+", "-"), r"^-+|-+$", ""))
+def slug(c: Column, default: str = "unknown") -> Column:
+    """A name for files: runs of other characters than letters, digits, _ and - become a dash."""
+    s = F.lower(F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9_-]+", "-"), r"^-+|-+$", ""))
     return F.coalesce(F.nullif(s, F.lit("")), F.lit(default))
 
 
@@ -257,10 +258,10 @@ def human_confidence(c: Column) -> Column:
 
 
 def display_name(path: Column) -> Column:
-    """Dpo before sft, else the last part of the path."""
+    """A trained stage named in the last part of the path (preference before supervised), else that part."""
     last = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
-    low = F.lower(path)
-    return F.when(F.contains(low, F.lit("dpo")), "dpo").when(F.contains(low, F.lit("sft")), "sft").otherwise(last)
+    low = F.lower(last)
+    return F.when(F.contains(low, F.lit("dpo")), "After SFT+DPO").when(F.contains(low, F.lit("sft")), "After SFT").otherwise(last)
 
 
 def strip_suffix(c: Column, suffix: str) -> Column:
@@ -275,10 +276,8 @@ def token_count(c: Column, pattern: str = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]") -> Col
 
 def tokenizer_udf(make, limit: int | None = None):
     """A pandas UDF text -> array<int> from ``make()``, a zero-argument factory of ``encode(text) -> list[int]``."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("array<int>")
+    @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
         tok = make()
         return texts.map(lambda t: None if t is None else list(tok(t))[:limit])
@@ -292,9 +291,13 @@ def attention_mask(ids: Column) -> Column:
 
 
 def format_metric(value: Column, kind: str) -> Column:
-    """Kappa to 3 places, share as percent to 1, signed tokens to 1; a dash for null and NaN."""
-    pattern, scale = {"kappa": ("%.3f", 1), "share": ("%.1f%%", 100), "tokens": ("%+.1f", 1)}[kind]
-    return F.when(value.isNull() | F.isnan(value), "—").otherwise(F.format_string(pattern, value * scale))
+    """Kappa to 3 places, share as percent to 1, tokens to 1 with a plus where positive; a dash for null and NaN."""
+    shown = {
+        "kappa": F.format_string("%.3f", value),
+        "share": F.format_string("%.1f%%", value * 100),
+        "tokens": F.concat(F.when(value > 0, "+").otherwise(""), F.format_string("%.1f", value)),
+    }[kind]
+    return F.when(value.isNull() | F.isnan(value), "—").otherwise(shown)
 
 
 def chat_request(custom_id: Column, model: str, max_tokens: int, system: str, user: Column) -> Column:

@@ -68,7 +68,7 @@ def with_stubs(df: DataFrame, stubs: dict[str, str]) -> DataFrame:
 
 
 #: A pass is (temperature, swapped, run); the table is the bijection.
-PASSES = [("plain", 0.0, False, 0), ("swapped", 0.0, True, 0), *[(f"sampled_{i}", 0.3, False, i) for i in range(5)]]
+PASSES = [("original", 0.0, False, 0), ("swapped", 0.0, True, 0), *[(f"consistency_{i}", 0.3, False, i) for i in range(5)]]
 
 
 def pass_spec(spark) -> DataFrame:

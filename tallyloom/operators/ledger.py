@@ -33,4 +33,6 @@ def projected(df: DataFrame, cost: str, full: int) -> DataFrame:
 def rough_tokens(df: DataFrame, texts: list[str], cap: int) -> DataFrame:
     """Characters div 4 as input tokens, half the cap a row as output tokens."""
     chars = sum((F.coalesce(F.length(c), F.lit(0)) for c in texts), F.lit(0))
-    return df.agg(F.expr("0").alias("_z"), F.sum(chars).alias("_s"), F.count("*").alias("n")).select("n", F.floor(F.coalesce("_s", F.lit(0)) / 4).cast("long").alias("input_tokens"), F.floor(F.col("n") * cap / 2).cast("long").alias("output_tokens"))
+    totals = df.agg(F.sum(chars).alias("_s"), F.count("*").alias("n"))
+    read = F.floor(F.coalesce("_s", F.lit(0)) / 4).cast("long")
+    return totals.select("n", read.alias("input_tokens"), (F.col("n") * (cap // 2)).alias("output_tokens"))

@@ -289,7 +289,7 @@ def p18_suffix(spark, d):
 def p27_partition_by_pass(spark, d):
     s = sampled(spark, d).select("pair", "model", F.lit(0.3).alias("temperature"), F.lit(False).alias("swapped"), F.col("run").alias("run_index"))
     known, _ = formatting.with_pass(s)
-    return known.where("pass = 'sampled_0'").groupBy("pair").agg(F.count_if(F.col("model") == "base").alias("base"), F.count("*").alias("n"))
+    return known.where("pass = 'consistency_0'").groupBy("pair").agg(F.count_if(F.col("model") == "base").alias("base"), F.count("*").alias("n"))
 
 
 @query("select r_name, n from (select unnest(['a', 'b']) as r_name, unnest([1, 2]) as n)")
@@ -388,7 +388,7 @@ def p24_label_stubs(spark, d):
     return formatting.with_stubs(rows, {"verdict": "string", "crosscheck_verdict_b": "string", "crosscheck_score": "int"})
 
 
-@query(f"""select pair, model, run, 'sampled_' || run as pass, case when verdict = 'PARSE_FAIL' then 'PARSE_FAIL' else verdict end as verdict from {SAMPLED}""")
+@query(f"""select pair, model, run, 'consistency_' || run as pass, case when verdict = 'PARSE_FAIL' then 'PARSE_FAIL' else verdict end as verdict from {SAMPLED}""")
 def p25_prediction_rows(spark, d):
     s = sampled(spark, d)
     raw = F.when(F.col("verdict") == "PARSE_FAIL", "none").otherwise(F.concat(F.lit("<reasoning>r</reasoning><verdict>"), "verdict", F.lit("</verdict>")))

@@ -146,7 +146,7 @@ def t24_truncate(spark, d):
     return docs(spark, d).select("doc_id", text.truncate(F.col("text"), 50).alias("t"))
 
 
-@query("select doc_id, coalesce(nullif(lower(trim(regexp_replace(substr(text, 1, 30), '[^A-Za-z0-9]+', '-', 'g'), '-')), ''), 'model') as slug from documents")
+@query("select doc_id, coalesce(nullif(lower(trim(regexp_replace(substr(text, 1, 30), '[^A-Za-z0-9_-]+', '-', 'g'), '-')), ''), 'unknown') as slug from documents")
 def t25_slug(spark, d):
     return docs(spark, d).select("doc_id", text.slug(F.substring("text", 1, 30)).alias("slug"))
 
@@ -158,9 +158,9 @@ def t26_human_input(spark, d):
     return docs(spark, d).select("doc_id", text.human_verdict(v).alias("verdict"), text.human_confidence(c).alias("confidence"))
 
 
-@query("select doc_id, case doc_id % 3 when 0 then 'dpo' when 1 then 'sft' else source end as name from documents")
+@query("select doc_id, case doc_id % 3 when 0 then 'After SFT+DPO' when 1 then 'After SFT' else source end as name from documents")
 def t27_display_name(spark, d):
-    p = F.concat(F.element_at(F.array(F.lit("/m/sft-DPO/"), F.lit("/m/sft/"), F.lit("/m/")), (F.col("doc_id") % 3 + 1).cast("int")), "source", F.lit("/"))
+    p = F.concat(F.element_at(F.array(F.lit("/m/sft-DPO-"), F.lit("/dpo/sft"), F.lit("/m/")), (F.col("doc_id") % 3 + 1).cast("int")), "source", F.lit("/"))
     return docs(spark, d).select("doc_id", text.display_name(p).alias("name"))
 
 
@@ -179,7 +179,7 @@ def t30_char_length(spark, d):
     return docs(spark, d).select("doc_id", F.length("text").alias("n"))
 
 
-@query("select o_orderkey, printf('%.3f', o_totalprice) as kappa, printf('%+.1f', floor(o_totalprice)) as tokens from orders")
+@query("select o_orderkey, printf('%.3f', o_totalprice) as kappa, '+' || printf('%.1f', floor(o_totalprice)) as tokens from orders")
 def t31_format_metric(spark, d):
     p = F.col("o_totalprice")
     return table(spark, d, "orders").select("o_orderkey", text.format_metric(p, "kappa").alias("kappa"), text.format_metric(F.floor(p).cast("double"), "tokens").alias("tokens"))
@@ -256,7 +256,7 @@ def c6_error_class(spark, d):
 @query("select event_type, case when event_type = 'error' then 'submit' when event_type = 'click' then 'fetch' else 'poll' end as action from events group by 1")
 def c7_lifecycle(spark, d):
     e = table(spark, d, "events").select("event_type").distinct()
-    return e.select("event_type", rules.lifecycle_action(F.when(F.col("event_type") != "error", "b"), F.when(F.col("event_type") == "click", "ended").otherwise("running")).alias("action"))
+    return e.select("event_type", rules.lifecycle_action(F.when(F.col("event_type") != "error", "b"), F.when(F.col("event_type") == "click", "ended").otherwise("in_progress")).alias("action"))
 
 
 @query(f"select pair, model, case plain when 'A' then len_a when 'B' then len_b end as chosen, case plain when 'A' then len_b when 'B' then len_a end as rejected from {WIDE}")

@@ -107,15 +107,16 @@ def preflight(spark: SparkSession, models: list[str], probe: Callable[[str], Non
             if status in (401, 403, 429):
                 raise
             out.append((m, "not_found" if status == 404 else "transient"))
+    if not any(state != "not_found" for _, state in out):
+        raise RuntimeError("no model survived the preflight")
     return spark.createDataFrame(out, "model string, state string")
 
 
-def suggestions(wanted: str, known: DataFrame, column: str = "model") -> DataFrame:
-    """Known ids that contain the wanted one, are contained in it, or share its first part."""
-    head = wanted.split("-")[0].split("/")[-1].lower()
-    low = F.lower(F.col(column))
-    test = F.contains(low, F.lit(wanted.lower())) | F.contains(F.lit(wanted.lower()), low) | F.startswith(low, F.lit(head))
-    return known.where((F.col(column) != wanted) & test).select(column).distinct()
+def suggestions(wanted: str, known: DataFrame, column: str = "model", most: int = 10) -> DataFrame:
+    """At most ``most`` known ids that contain the wanted one, whatever its case, or its part before a slash."""
+    maker = wanted.split("/")[0]
+    test = F.contains(F.lower(F.col(column)), F.lit(wanted.lower())) | F.contains(F.col(column), F.lit(maker))
+    return known.where((F.col(column) != wanted) & test).select(column).distinct().orderBy(column).limit(most)
 
 
 def chunk_plan(requests: DataFrame, done: DataFrame, key: str, size: int) -> DataFrame:

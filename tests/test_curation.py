@@ -92,8 +92,10 @@ def test_retries_polls_states(spark, tmp_path):
             raise Gone
 
     assert {r["model"]: r["state"] for r in connectors.preflight(spark, ["old", "new"], probe).collect()} == {"old": "not_found", "new": "ok"}
-    known = spark.createDataFrame([("acme-7b-chat",), ("other",)], "model string")
-    assert [r["model"] for r in connectors.suggestions("acme-7b", known).collect()] == ["acme-7b-chat"]
+    with pytest.raises(RuntimeError, match="no model"):
+        connectors.preflight(spark, ["old"], probe)
+    known = spark.createDataFrame([("Acme-7b-chat",), ("acme-7b/x",), ("other",)], "model string")
+    assert [r["model"] for r in connectors.suggestions("acme-7b", known).collect()] == ["Acme-7b-chat", "acme-7b/x"]
     plan = connectors.chunk_plan(spark.range(10), spark.createDataFrame([(0,)], "chunk long"), "id", 4)
     assert sorted(r["id"] for r in plan.collect()) == [4, 5, 6, 7, 8, 9]
 

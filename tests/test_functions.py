@@ -28,7 +28,7 @@ def test_parse_chosen(spark, given, want):
 
 def test_parse_output(spark):
     p = lambda s: value(spark, text.parse_output(F.col("s")), s=s)
-    assert tuple(p("x<reasoning>\n why\n</reasoning>\n<verdict>TIE</verdict>y")) == ("why", "TIE")
+    assert tuple(p("x<reasoning>\n why\n</reasoning>\n<verdict>TIE</verdict>y")) == ("\n why\n", "TIE")
     assert tuple(p("<reasoning></reasoning><verdict>A</verdict>")) == ("", "A")
     assert tuple(p("<reasoning>r</reasoning><verdict>a</verdict>")) == (None, "PARSE_FAIL")
     assert tuple(p(None)) == (None, "PARSE_FAIL")
@@ -72,9 +72,11 @@ def test_formatters(spark):
     assert v(text.clean_reasoning(s), s="<Think>a\nb</think> r <confidence> 3 </confidence> ") == "r"
     assert v(text.make_target(s, F.lit("A"), F.lit(True)), s="Response A wins") == "<reasoning>Response B wins</reasoning><verdict>B</verdict>"
     assert v(text.truncate(s, 5), s="abcdef") == "ab..." and v(text.truncate(s, 5), s="abcde") == "abcde"
-    assert v(text.slug(s), s="--Hé llo!!") == "h-llo" and v(text.slug(s), s="!!") == "model"
+    assert v(text.slug(s), s="--Hé llo!!") == "h-llo" and v(text.slug(s), s="!!") == "unknown" and v(text.slug(s), s="Org/Model_v1-2") == "org-model_v1-2"
     assert v(text.question_text(s, F.lit(None).cast("string")), s=" c ") == "c" and v(text.question_text(s, F.lit("q")), s="") == "q"
     assert v(text.format_metric(F.lit(0.2117), "share")) == "21.2%" and v(text.format_metric(F.lit(float("nan")), "kappa")) == "—"
+    assert [v(text.format_metric(F.lit(x), "tokens")) for x in (17.6, -2.0, 0.0)] == ["+17.6", "-2.0", "0.0"]
+    assert [v(text.display_name(s), s=x) for x in ("/m/SFT-x-dpo/", "/dpo/sft", "/m/base")] == ["After SFT+DPO", "After SFT", "base"]
     assert v(text.human_verdict(s), s=" Tie ") == "TIE" and v(text.human_verdict(s), s="c") is None
     assert [v(text.human_confidence(s), s=x) for x in (" 4 ", "", "0", "6", "-1", "abc", "3.5", "1.0")] == [4] + [None] * 7
     with pytest.raises(Exception, match="unknown verdict"):
@@ -112,6 +114,20 @@ def test_rules(spark):
     assert value(spark, rules.json_object(F.lit("é").alias("a"), F.lit(None).cast("int").alias("b"))) == '{"a":"é","b":null}'
 
 
+def test_states(spark):
+    a = lambda b, st: value(spark, rules.lifecycle_action(F.lit(b).cast("string"), F.lit(st).cast("string")))
+    assert [a(None, None), a("b", None), a("b", "in_progress"), a("b", "ended"), a("b", "expired")] == ["submit", "poll", "poll", "fetch", "fetch"]
+    e = lambda n, st: value(spark, rules.error_class(F.lit(n).cast("string"), F.lit(st).cast("int")))
+    got = [e("AuthenticationError", 401), e("NotFoundError", 404), e("RateLimitError", 429), e("APITimeoutError", None), e("APIConnectionError", None), e("APIError", 500), e("ValueError", None)]
+    assert got == ["auth", "model_not_found", "rate_limit", "timeout", "connection", "server", "unknown"]
+
+
+def test_tokenizer_udf(spark):
+    enc = text.tokenizer_udf(lambda: lambda t: [len(w) for w in t.split()], 2)
+    got = spark.createDataFrame([("a bb ccc",), (None,)], "s string").select(enc("s").alias("ids")).select("ids", text.attention_mask(F.col("ids")).alias("m")).collect()
+    assert got[0]["ids"] == [1, 2] and got[0]["m"] == [1, 1] and got[1]["ids"] is None
+
+
 def test_costs(spark):
     c = lambda conv, batch, *n: value(spark, cost.token_cost(*[F.lit(x) for x in n], F.lit(3.0), F.lit(0.3), F.lit(15.0), F.lit(batch), conv))
     assert c("inclusive", False, 10**6, 0, 0, 0) == 3.0 and c("inclusive", True, 10**6, 0, 0, 0) == 1.5

@@ -189,7 +189,7 @@ def test_training_rows(spark):
     dpo = formatting.dpo_rows(d, synth).collect()
     assert all(r["chosen"] != r["rejected"] for r in dpo) and len(dpo) % 2 == 0
     known, unknown = formatting.with_pass(spark.createDataFrame([(0.0, True, 0), (0.3, False, 4), (0.7, False, 0)], "temperature double, swapped boolean, run_index int"))
-    assert {r["pass"] for r in known.collect()} == {"swapped", "sampled_4"} and unknown.count() == 1
+    assert {r["pass"] for r in known.collect()} == {"swapped", "consistency_4"} and unknown.count() == 1
 
 
 def test_ledger(spark):
