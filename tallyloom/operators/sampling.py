@@ -19,13 +19,14 @@ def stratified(df: DataFrame, strata: list[str], key: str, seed: object, target:
     (WindowGroupLimit) where the target is a number.
     """
     order = hash_order(seed, *_cols(strata), F.col(key))
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy(order, F.col(key)))
     if isinstance(target, int):
-        limit: Column = F.lit(target)
-    else:
-        df, limit = df.join(F.broadcast(target) if target.count() <= 10_000 else target, strata), F.col("target")
-    w = Window.partitionBy(*strata).orderBy(order, F.col(key))
-    out = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")
-    return out if isinstance(target, int) else out.drop("target")
+        return df.withColumn("_n", place).where(F.col("_n") <= target).drop("_n")
+    # The largest target as a literal keeps the rank limit below the shuffle; then each stratum's own applies.
+    size = target.agg(F.max("target").alias("most"), F.count("*").alias("n")).first()
+    ranked = df.withColumn("_n", place).where(F.col("_n") <= F.lit(int(size["most"] or 0)))
+    spec = F.broadcast(target) if size["n"] <= 10_000 else target
+    return ranked.join(spec, strata).where(F.col("_n") <= F.col("target")).drop("_n", "target")
 
 
 def shortfall(df: DataFrame, strata: list[str], target: int) -> DataFrame:
@@ -90,12 +91,14 @@ def visit_order(df: DataFrame, key: str, seed: object, waiting: Column) -> DataF
 
 
 def chunks(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Chunk numbers of ``size`` rows in key order, without gathering rows: ranges get their offsets from counts."""
+    """Chunk numbers of ``size`` rows in key order, without gathering rows: ranges of about 100,000 rows (4,096 ranges at
+    most) get their offsets from counts."""
     w = Window.partitionBy("_b").orderBy(key)
-    bounds = df.agg(F.percentile_approx(key, [i / 64 for i in range(1, 64)], 10_000).alias("b")).first()["b"] or []
+    ranges = min(4096, max(1, df.count() // 100_000))
+    bounds = (df.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 4 * 4096).alias("b")).first()["b"] if ranges > 1 else None) or []
     bucket = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b <= F.col(key))) if bounds else F.lit(0)
     parts = df.withColumn("_b", bucket)
     before = parts.groupBy("_b").agg(F.count("*").alias("_n"))
     before = before.withColumn("_o", F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_b")) - F.col("_n")).select("_b", "_o")
-    out = parts.join(F.broadcast(before), "_b")  # at most 64 rows
+    out = parts.join(F.broadcast(before), "_b")  # a row a range
     return out.withColumn("chunk", F.floor((F.row_number().over(w) + F.col("_o") - 1) / size).cast("long")).drop("_b", "_o")

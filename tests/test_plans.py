@@ -31,7 +31,7 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_rank_limits_are_pushed_below_the_shuffle(spark):
-    for name in ("w1_stratified_sample", "w4_cap_per_group", "w8_hash_top_n", "w10_last_write"):
+    for name in ("w1_stratified_sample", "w2_bucket_sample", "w4_cap_per_group", "w8_hash_top_n", "w10_last_write"):
         assert "WindowGroupLimit" in plan(spark, name)
     assert "TakeOrderedAndProject" in plan(spark, "w15_longest")
 
