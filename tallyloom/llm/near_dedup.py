@@ -224,3 +224,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, recall: floa
 def _blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
     dealt = rows.repartition(F.col("block")).sortWithinPartitions("block")
     return dealt.mapInPandas(_linker(k, percent), "u long, v long")
+
+
+def oracle(k: int = 3, percent: int = 85) -> str:
+    """DuckDB SQL for ``near_duplicates``: all pairs that share a shingle, then reachability. For tables of a few thousand rows."""
+    gram = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return f"""
+with recursive t as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) >= {k} then list_transform(range(1, len(w) - {k - 2}), lambda i: {gram}) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from t),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+e as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= {percent} * (a.n + b.n - c)),
+l as (select x, y from e union all select y, x from e),
+r(x, y) as (select doc_id, doc_id from documents union select r.x, l.y from r join l on r.y = l.x),
+c as (select x as doc_id, min(y) as component_id from r group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from c left join n using (doc_id)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import decision_list, mixing, secrets, url_filter
+from tallyloom.llm import decision_list, mixing, near_dedup, secrets, url_filter
 from tallyloom.llm.common import load
 
 
@@ -39,9 +39,7 @@ def op4_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyloom.llm.near_dedup import near_duplicates
-
-    return near_duplicates(load(spark, sf_dir, "documents"), k=3, percent=85)
+    return near_dedup.near_duplicates(load(spark, sf_dir, "documents"), k=3, percent=85)
 
 
 def op6_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +71,23 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_mix_pareto, op2_decision_list, op3_html_boosted_dom, op4_quality_nbsvm, op5_minhash_near_dedup, op6_improbable_digest, op7_url_redirects, op8_secret_trigrams, op9_toxicity_levenshtein, op10_bpe_tree)
+    for f in (
+        op1_mix_pareto,
+        op2_decision_list,
+        op3_html_boosted_dom,
+        op4_quality_nbsvm,
+        op5_minhash_near_dedup,
+        op6_improbable_digest,
+        op7_url_redirects,
+        op8_secret_trigrams,
+        op9_toxicity_levenshtein,
+        op10_bpe_tree,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_pareto": mixing.ORACLE, "op7_url_redirects": url_filter.ORACLE, "op8_secret_trigrams": secrets.oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mix_pareto": mixing.ORACLE,
+    "op5_minhash_near_dedup": near_dedup.oracle(3, 85),
+    "op7_url_redirects": url_filter.ORACLE,
+    "op8_secret_trigrams": secrets.oracle(),
+}
