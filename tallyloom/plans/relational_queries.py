@@ -40,10 +40,10 @@ def _message_lines(spark, d):
 
 
 @query("""select event_id::varchar as custom_id, case when event_type = 'error' then 'errored' else 'succeeded' end as status, case when event_type <> 'error' then event_type || user_id end as text,
-  case when event_type <> 'error' then event_id % 1000 end as input_tokens, case when event_type = 'error' then 'overloaded' end as error, case when event_type <> 'error' then 'end_turn' end as stop_reason from events""")
+  case when event_type <> 'error' then event_id % 1000 else -1 end as input_tokens, case when event_type = 'error' then 'overloaded' end as error, case when event_type <> 'error' then 'end_turn' end as stop_reason from events""")
 def s10_message_results(spark, d):
     r = jsonl.message_results(_message_lines(spark, d))
-    return r.select("custom_id", "status", "text", F.try_element_at("usage", F.lit("input_tokens")).alias("input_tokens"), "error", "stop_reason")
+    return r.select("custom_id", "status", "text", F.coalesce(F.try_element_at("usage", F.lit("input_tokens")), F.lit(-1)).alias("input_tokens"), "error", "stop_reason")
 
 
 def _chat_lines(spark, d, bad: bool):
@@ -129,20 +129,20 @@ def _run(spark, d, name):
 _RUN = "(select pair, plain as verdict, case when plain <> 'PARSE_FAIL' then length(plain) + pair % {k} end as confidence from {w} where model = '{m}')"
 
 
-@query(f"""select pair, va, vb, ca, cb, case when va is distinct from vb then 'verdict_flip' when ca is distinct from cb then 'confidence_shift' else 'identical' end as outcome
+@query(f"""select pair, va, vb, coalesce(ca, -1) as ca, coalesce(cb, -1) as cb, case when va is distinct from vb then 'verdict_flip' when ca is distinct from cb then 'confidence_shift' else 'identical' end as outcome
   from (select pair, verdict as va, confidence as ca from {_RUN.format(k=2, w=WIDE, m='base')}) full join (select pair, verdict as vb, confidence as cb from {_RUN.format(k=3, w=WIDE, m='tuned')}) using (pair)""")
 def j10_compare_runs(spark, d):
-    return merge.compare_runs(_run(spark, d, "base"), _run(spark, d, "tuned"), "pair")
+    return merge.compare_runs(_run(spark, d, "base"), _run(spark, d, "tuned"), "pair").na.fill(-1, ["ca", "cb"])
 
 
-@query(f"""select pair, base as verdict, tuned as verdict_b, third as verdict_c, case when tuned is null and third is null then null else not (base = coalesce(tuned, base) and base = coalesce(third, base) and coalesce(tuned, base) = coalesce(third, base)) end as disagreement from
+@query(f"""select pair, base as verdict, tuned as verdict_b, third as verdict_c, case when tuned is null and third is null then null else (not (base = coalesce(tuned, base) and base = coalesce(third, base) and coalesce(tuned, base) = coalesce(third, base)))::varchar end as disagreement from
   (select b.pair, b.plain as base, t.plain as tuned, s.swapped as third from (select * from {WIDE} where model = 'base') b left join (select * from {WIDE} where model = 'tuned' and pair % 3 = 0) t using (pair) left join (select * from {WIDE} where model = 'base' and pair % 5 = 0) s using (pair))""")
 def j12_cross_check(spark, d):
     w = wide(spark, d)
     base = w.where("model = 'base'").select("pair", F.col("plain").alias("verdict"))
     b = w.where("model = 'tuned' and pair % 3 = 0").select("pair", F.col("plain").alias("verdict"))
     c = w.where("model = 'base' and pair % 5 = 0").select("pair", F.col("swapped").alias("verdict"))
-    return formatting.cross_checked(base, b, c, "pair")
+    return formatting.cross_checked(base, b, c, "pair").withColumn("disagreement", F.col("disagreement").cast("string"))
 
 
 @query(f"select pair, model, {', '.join(f'max(case when run = {i} then verdict end) as run_{i}' for i in range(5))} from {SAMPLED} group by 1, 2")
@@ -382,10 +382,10 @@ def p21_first_n(spark, d):
     return table(spark, d, "orders").orderBy("o_orderkey").limit(25).select("o_orderkey", "o_orderstatus")
 
 
-@query(f"select pair_id, verdict, null::varchar as crosscheck_verdict_b, null::int as crosscheck_score from {DIALOGUE}")
+@query(f"select pair_id, verdict, null::varchar as crosscheck_verdict_b from {DIALOGUE}")
 def p24_label_stubs(spark, d):
     rows = dialogue(spark, d).select("pair_id", "verdict")
-    return formatting.with_stubs(rows, {"verdict": "string", "crosscheck_verdict_b": "string", "crosscheck_score": "int"})
+    return formatting.with_stubs(rows, {"verdict": "string", "crosscheck_verdict_b": "string"})
 
 
 @query(f"""select pair, model, run, 'consistency_' || run as pass, case when verdict = 'PARSE_FAIL' then 'PARSE_FAIL' else verdict end as verdict from {SAMPLED}""")

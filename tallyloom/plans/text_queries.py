@@ -42,10 +42,10 @@ def t1_parse_chosen(spark, d):
     return docs(spark, d).select("doc_id", text.parse_chosen(_answered()).alias("letter"))
 
 
-@query("select doc_id, case doc_id % 4 when 0 then 0 when 1 then 1 when 2 then 2 end as idx from documents")
+@query("select doc_id, case doc_id % 4 when 0 then 0 when 1 then 1 when 2 then 2 else -1 end as idx from documents")
 def t2_letter_index(spark, d):
     letter = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("C"), F.lit("D")), (F.col("doc_id") % 4 + 1).cast("int"))
-    return docs(spark, d).select("doc_id", text.letter_index(letter).alias("idx"))
+    return docs(spark, d).select("doc_id", F.coalesce(text.letter_index(letter), F.lit(-1)).alias("idx"))
 
 
 _OUT = "(case doc_id % 4 when 0 then '<reasoning>' || substr(text, 1, 30) || '</reasoning> <verdict>TIE</verdict>' when 1 then '<reasoning></reasoning><verdict>A</verdict>' when 2 then '<verdict>B</verdict>' else substr(text, 1, 30) end)"
@@ -75,10 +75,10 @@ _TAGGED = """(case doc_id % 9 when 0 then '' when 1 then '<verdict>A</verdict><c
 
 
 @query("""select doc_id, case doc_id % 9 when 0 then 'empty output' when 1 then 'missing reasoning' when 2 then 'missing verdict' when 3 then 'missing confidence' when 4 then 'empty reasoning' when 5 then 'invalid verdict'
-  when 6 then 'non-integer confidence' when 7 then 'confidence out of range' end as error, case when doc_id % 9 = 8 then 'TIE' end as verdict, case when doc_id % 9 = 8 then 4 end as confidence from documents""")
+  when 6 then 'non-integer confidence' when 7 then 'confidence out of range' end as error, case when doc_id % 9 = 8 then 'TIE' end as verdict, case when doc_id % 9 = 8 then 4 else -1 end as confidence from documents""")
 def t5_parse_tagged(spark, d):
     p = docs(spark, d).select("doc_id", F.expr(_TAGGED).alias("s")).select("doc_id", text.parse_tagged(F.col("s")).alias("p"))
-    return p.select("doc_id", "p.error", "p.verdict", "p.confidence")
+    return p.select("doc_id", "p.error", "p.verdict", F.coalesce("p.confidence", F.lit(-1)).alias("confidence"))
 
 
 @query("select doc_id, doc_id % 3 = 0 or doc_id % 7 = 0 as refused from documents")
@@ -151,11 +151,11 @@ def t25_slug(spark, d):
     return docs(spark, d).select("doc_id", text.slug(F.substring("text", 1, 30)).alias("slug"))
 
 
-@query("select doc_id, (['A', 'B', 'TIE', 'TIE', null])[doc_id % 5 + 1] as verdict, ([4, null, null, null, null, 5])[doc_id % 6 + 1]::int as confidence from documents")
+@query("select doc_id, (['A', 'B', 'TIE', 'TIE', null])[doc_id % 5 + 1] as verdict, ([4, -1, -1, -1, -1, 5])[doc_id % 6 + 1]::int as confidence from documents")
 def t26_human_input(spark, d):
     v = F.element_at(F.array(*[F.lit(x) for x in (" a", "B ", "t", "Tie", "x")]), (F.col("doc_id") % 5 + 1).cast("int"))
     c = F.element_at(F.array(*[F.lit(x) for x in (" 4 ", "", "0", "3.5", "abc", "5")]), (F.col("doc_id") % 6 + 1).cast("int"))
-    return docs(spark, d).select("doc_id", text.human_verdict(v).alias("verdict"), text.human_confidence(c).alias("confidence"))
+    return docs(spark, d).select("doc_id", text.human_verdict(v).alias("verdict"), F.coalesce(text.human_confidence(c), F.lit(-1)).alias("confidence"))
 
 
 @query("select doc_id, case doc_id % 3 when 0 then 'After SFT+DPO' when 1 then 'After SFT' else source end as name from documents")
@@ -241,10 +241,10 @@ def c2_classify_level(spark, d):
     return table(spark, d, "events").select("event_id", rules.classify_level(k).alias("level"))
 
 
-@query(f"select pair, model, case when pair % 3 <> 0 then plain <> swapped end as strict, case when pair % 3 <> 0 then plain <> swapped or plain <> human or human <> swapped else plain <> human end as available from {WIDE}")
+@query(f"select pair, model, case when pair % 3 <> 0 then (plain <> swapped)::varchar end as strict, case when pair % 3 <> 0 then plain <> swapped or plain <> human or human <> swapped else plain <> human end as available from {WIDE}")
 def c3_disagreement(spark, d):
     other = F.when(F.col("pair") % 3 != 0, F.col("swapped"))
-    return wide(spark, d).select("pair", "model", rules.disagreement([F.col("plain"), other], "strict").alias("strict"), rules.disagreement([F.col("plain"), other, F.col("human")]).alias("available"))
+    return wide(spark, d).select("pair", "model", rules.disagreement([F.col("plain"), other], "strict").cast("string").alias("strict"), rules.disagreement([F.col("plain"), other, F.col("human")]).alias("available"))
 
 
 @query("select event_id, case when event_id % 5 = 0 then 'rate_limit' when event_id % 5 = 1 then 'auth' when event_id % 5 = 2 then 'server' when event_id % 5 = 3 then 'timeout' else 'unknown' end as class from events")
@@ -259,10 +259,10 @@ def c7_lifecycle(spark, d):
     return e.select("event_type", rules.lifecycle_action(F.when(F.col("event_type") != "error", "b"), F.when(F.col("event_type") == "click", "ended").otherwise("in_progress")).alias("action"))
 
 
-@query(f"select pair, model, case plain when 'A' then len_a when 'B' then len_b end as chosen, case plain when 'A' then len_b when 'B' then len_a end as rejected from {WIDE}")
+@query(f"select pair, model, case plain when 'A' then len_a when 'B' then len_b else -1 end as chosen, case plain when 'A' then len_b when 'B' then len_a else -1 end as rejected from {WIDE}")
 def c9_chosen_rejected(spark, d):
     a, b = rules.chosen_rejected(F.col("plain"), F.col("len_a"), F.col("len_b"))
-    return wide(spark, d).select("pair", "model", a.alias("chosen"), b.alias("rejected"))
+    return wide(spark, d).select("pair", "model", F.coalesce(a, F.lit(-1)).alias("chosen"), F.coalesce(b, F.lit(-1)).alias("rejected"))
 
 
 @query("select doc_id, case when doc_id % 3 = 0 then 0 else 2 end::int as n from documents")
