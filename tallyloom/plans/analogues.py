@@ -117,8 +117,8 @@ def dialogue(spark: SparkSession, d: str) -> DataFrame:
     j = u.join(a, ["conv_id", "turn"])
     verdict = F.element_at(F.array(F.lit("A"), F.lit("B"), F.lit("TIE")), ((F.col("conv_id") + F.col("turn")) % 3 + 1).cast("int"))
     return j.select(
-        F.concat_ws("::", "conv_id", "turn").alias("pair_id"), "question", "a", F.substring("question", 1, 40).alias("b"),
-        F.concat(F.lit("<think>x</think>Response A says "), F.substring("a", 1, 30), F.lit(" but response B does not <confidence>4</confidence>")).alias("reasoning"),
+        F.concat_ws("::", "conv_id", "turn").alias("pair_id"), "question", "a", F.col("question").alias("b"),
+        F.concat(F.lit("<think>x</think>Response A says "), F.col("a"), F.lit(" but response B does not <confidence>4</confidence>")).alias("reasoning"),
         verdict.alias("verdict"), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int").alias("confidence"),
     )
 

@@ -22,7 +22,7 @@ _SAID = "(case doc_id % 6 when 0 then 'I think ' when 1 then 'It  might   have '
 
 def _said():
     m = F.col("doc_id") % 6
-    return F.concat(F.when(m == 0, "I think ").when(m == 1, "It  might   have ").when(m == 2, "Hard to say: ").when(m == 3, "mightily ").otherwise(""), F.substring("text", 1, 60))
+    return F.concat(F.when(m == 0, "I think ").when(m == 1, "It  might   have ").when(m == 2, "Hard to say: ").when(m == 3, "mightily ").otherwise(""), F.col("text"))
 
 
 _ANSWERED = "(case doc_id % 5 when 0 then 'so < answer > b' when 1 then 'the rest is long **C**' when 2 then ' A. because ' || repeat('x ', 100) when 3 then 'none of them' else '(b)' end)"
@@ -53,8 +53,8 @@ _OUT = "(case doc_id % 4 when 0 then '<reasoning>' || substr(text, 1, 30) || '</
 
 def _out():
     m = F.col("doc_id") % 4
-    head = F.substring("text", 1, 30)
-    return F.when(m == 0, F.concat(F.lit("<reasoning>"), head, F.lit("</reasoning> <verdict>TIE</verdict>"))).when(m == 1, "<reasoning></reasoning><verdict>A</verdict>").when(m == 2, "<verdict>B</verdict>").otherwise(head)
+    whole = F.col("text")
+    return F.when(m == 0, F.concat(F.lit("<reasoning>"), whole, F.lit("</reasoning> <verdict>TIE</verdict>"))).when(m == 1, "<reasoning></reasoning><verdict>A</verdict>").when(m == 2, "<verdict>B</verdict>").otherwise(whole)
 
 
 @query(rf"""select doc_id, coalesce(nullif(regexp_extract(s, '(?s)<reasoning>(.*?)</reasoning>\s*<verdict>(A|B|TIE)</verdict>', 2), ''), 'PARSE_FAIL') as verdict from (select doc_id, {_OUT} as s from documents)""")
@@ -83,7 +83,7 @@ def t5_parse_tagged(spark, d):
 
 @query("select doc_id, doc_id % 3 = 0 or doc_id % 7 = 0 as refused from documents")
 def t6_detect_refusal(spark, d):
-    s = F.concat(F.when(F.col("doc_id") % 3 == 0, "  I Cannot Help with that. ").otherwise(""), F.substring("text", 1, 20))
+    s = F.concat(F.when(F.col("doc_id") % 3 == 0, "  I Cannot Help with that. ").otherwise(""), F.col("text"))
     return docs(spark, d).select("doc_id", text.detect_refusal(s, F.when(F.col("doc_id") % 7 == 0, "refusal").otherwise("end")).alias("refused"))
 
 
@@ -111,13 +111,13 @@ def t12_joined_key(spark, d):
 
 @query("select doc_id, trim(substr(text, 1, 20), ' ' || chr(10)) as clean from documents")
 def t13_clean_reasoning(spark, d):
-    s = F.concat(F.lit("<thinking>a\nb</thinking> "), F.substring("text", 1, 20), F.lit(" <Confidence> 3 </Confidence>"))
+    s = F.concat(F.lit("<thinking>a\nb</thinking> "), F.col("text"), F.lit(" <Confidence> 3 </Confidence>"))
     return docs(spark, d).select("doc_id", text.clean_reasoning(s).alias("clean"))
 
 
 @query("select doc_id, 'Response B, response A: ' || substr(text, 1, 20) || ' RESPONSE A' as swapped from documents")
 def t14_swap_labels(spark, d):
-    s = F.concat(F.lit("Response A, response B: "), F.substring("text", 1, 20), F.lit(" RESPONSE A"))
+    s = F.concat(F.lit("Response A, response B: "), F.col("text"), F.lit(" RESPONSE A"))
     return docs(spark, d).select("doc_id", text.swap_labels(s).alias("swapped"))
 
 
@@ -148,7 +148,7 @@ def t24_truncate(spark, d):
 
 @query("select doc_id, coalesce(nullif(lower(trim(regexp_replace(substr(text, 1, 30), '[^A-Za-z0-9_-]+', '-', 'g'), '-')), ''), 'unknown') as slug from documents")
 def t25_slug(spark, d):
-    return docs(spark, d).select("doc_id", text.slug(F.substring("text", 1, 30)).alias("slug"))
+    return docs(spark, d).select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 @query("select doc_id, (['A', 'B', 'TIE', 'TIE', null])[doc_id % 5 + 1] as verdict, ([4, -1, -1, -1, -1, 5])[doc_id % 6 + 1]::int as confidence from documents")
