@@ -106,7 +106,7 @@ _PATCH = "(select user_id as c_custkey, case when event_type = 'error' then null
 
 
 def _patches(spark, d):
-    e = table(spark, d, "events").where("user_id % 2 = 0")
+    e = table(spark, d, "events")
     return e.select(F.col("user_id").alias("c_custkey"), F.when(F.col("event_type") != "error", F.col("value")).alias("c_acctbal"), F.col("event_type").alias("note"), "ts", "event_id")
 
 
@@ -140,8 +140,8 @@ def j10_compare_runs(spark, d):
 def j12_cross_check(spark, d):
     w = wide(spark, d)
     base = w.where("model = 'base'").select("pair", F.col("plain").alias("verdict"))
-    b = w.where("model = 'tuned' and pair % 3 = 0").select("pair", F.col("plain").alias("verdict"))
-    c = w.where("model = 'base' and pair % 5 = 0").select("pair", F.col("swapped").alias("verdict"))
+    b = w.where("model = 'tuned'").select("pair", F.col("plain").alias("verdict"))
+    c = w.where("model = 'base'").select("pair", F.col("swapped").alias("verdict"))
     return formatting.cross_checked(base, b, c, "pair").withColumn("disagreement", F.col("disagreement").cast("string"))
 
 
@@ -224,7 +224,7 @@ def j25_nearest_match(spark, d):
 @query(f"select pair, coalesce(b.plain, '') as base, coalesce(t.plain, '') as tuned from (select * from {WIDE} where model = 'base') b left join (select pair, plain from {WIDE} where model = 'tuned' and pair % 2 = 0) t using (pair)")
 def j26_side_by_side(spark, d):
     w = wide(spark, d)
-    t = w.where("model = 'tuned' and pair % 2 = 0").select("pair", F.col("plain").alias("t"))
+    t = w.where("model = 'tuned'").select("pair", F.col("plain").alias("t"))
     return w.where("model = 'base'").select("pair", "plain").join(t, "pair", "left").select("pair", F.coalesce("plain", F.lit("")).alias("base"), F.coalesce("t", F.lit("")).alias("tuned"))
 
 

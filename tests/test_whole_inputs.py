@@ -12,6 +12,7 @@ def rows(spark, tmp_path):
             spark.createDataFrame(data, schema).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/{table}.parquet")
         return [r.asDict() for r in catalog.queries()[name](spark, str(tmp_path)).collect()]
 
+    run.folder = str(tmp_path)
     return run
 
 
@@ -51,3 +52,26 @@ def test_whole_turns(rows):
     got = {r["swap"]: r for r in rows("j22_sft_rows", conversations=turns)}
     assert got[False]["target"] == f"<reasoning>Response A says {answer} but response B does not</reasoning><verdict>B</verdict>"
     assert got[True]["target"] == f"<reasoning>Response B says {answer.replace('B', 'A')} but response A does not</reasoning><verdict>A</verdict>"
+
+
+def test_patches_of_odd_keys(rows):
+    customer = [(k, f"c{k}", 1.0) for k in (1, 2, 3)], "c_custkey long, c_name string, c_acctbal double"
+    events = [(1, 1, "click", 5.0, "2024-01-01"), (2, 2, "error", 6.0, "2024-01-01"), (3, 1, "view", 7.0, "2024-01-02"), (4, 9, "view", 8.0, "2024-01-02")], "event_id long, user_id long, event_type string, value double, ts string"
+    got = {r["c_custkey"]: (r["c_acctbal"], r["note"]) for r in rows("j9_merge_patches", customer=customer, events=events)}
+    assert got == {1: (7.0, "view"), 2: (None, "error"), 3: (1.0, None)}
+    assert rows("j9_merge_counts", customer=customer, events=events) == [{"base_rows": 3, "patch_rows": 4, "patched": 2, "unmatched": 1}]
+
+
+def test_all_pairs_are_checked(spark, rows):
+    from tallyloom.plans.analogues import wide
+
+    labels = [(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int"
+    docs = [(i, "en", "t", "s", 9) for i in range(40)], "doc_id long, lang string, text string, source string, n_chars long"
+    check = rows("j12_cross_check", labels=labels, documents=docs)
+    side = rows("j26_side_by_side", labels=labels, documents=docs)
+    said = {(r["pair"], r["model"]): (r["plain"], r["swapped"]) for r in wide(spark, rows.folder).collect()}
+    assert len(check) == len(side) == 40
+    for r in check:
+        three = (said[r["pair"], "base"][0], said[r["pair"], "tuned"][0], said[r["pair"], "base"][1])
+        assert (r["verdict"], r["verdict_b"], r["verdict_c"]) == three and r["disagreement"] == str(len(set(three)) > 1).lower()
+    assert {(r["pair"], r["base"], r["tuned"]) for r in side} == {(i, said[i, "base"][0], said[i, "tuned"][0]) for i in range(40)}
