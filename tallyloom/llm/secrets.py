@@ -11,6 +11,9 @@
 Spans are [start, end) in code points: ``split`` gives the gaps between matches and ``regexp_extract_all``
 the matches, both leftmost and non-overlapping, so running lengths give the places.
 
+A PEM key ends at its END line; without one at the end of its base64 block, and then words after the block count to it, up
+to the first other character.
+
 Defined cases: null and empty text have no spans; repeated rows are scanned as one text each; a null doc_id is
 scanned as any other; an empty table gives an empty result. Further columns
 pass through, but for those whose names start with ``secret_``, which are dropped.
@@ -42,17 +45,23 @@ def _either(word: str) -> str:
 
 _KEYS = "|".join(_either(w) for w in ("password", "passwd", "secret", "token")) + "|" + _either("api") + "_?" + _either("key")
 
+_PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_PEM_END = r"[^-]*(?:Proc-Type:[^-]*)?(?:DEK-Info:\x20*[A-Za-z0-9-]+[^-]*)?-----END [A-Z ]*PRIVATE KEY-----"
+_PEM_HEADERS = r"(?:[\x20\t\r\n\\nr]*Proc-Type:[^-]*DEK-Info:\x20*[A-Za-z0-9-]+,[0-9A-Fa-f]+)?"
+# No repeated groups: Java's matcher recurses in them, and a long block would overflow its stack.
+_PEM_BLOCK = r"[\x20\t\r\n\\nr]*(?:[A-Za-z0-9+/]{40,}[A-Za-z0-9+/=\x20\t\r\n\\]*|[A-Za-z0-9+/=]*[\x20\t\r\n]*$)"
+
 #: The three base kinds, then formats of widely used credentials.
 RULES = [
     SecretRule("assign", rf"({_KEYS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, True),
     SecretRule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     SecretRule("hex", r"[0-9a-f]+", 0, 24, True),
-    SecretRule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    SecretRule("github", r"gh[opsur]_[A-Za-z0-9]{36,255}"),
-    SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
+    SecretRule("pem", f"{_PEM}(?:{_PEM_END}|{_PEM_HEADERS}{_PEM_BLOCK})?"),
+    SecretRule("github", r"gh[opsur]_[A-Za-z0-9]{36,}"),
+    SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     SecretRule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{10,900}\.eyJ[A-Za-z0-9_-]{10,900}\.[A-Za-z0-9_-]{5,900}"),
-    SecretRule("login", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@?#]{1,100}:[^\x00-\x20/:@?#]{3,100}@"),
+    SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
+    SecretRule("login", r"[a-z][a-z0-9+.-]{1,20}://[^\x00-\x20/:@?#]{1,}:[^\x00-\x20/:@?#]{3,}@"),
 ]
 
 

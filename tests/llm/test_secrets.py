@@ -83,3 +83,34 @@ def test_empty_and_extra(spark, empty_docs, awkward_docs):
     assert secrets.report(empty_docs).count() == 0
     d = awkward_docs.selectExpr("*", "1 as secret_key", "2 as rule", "3 as trigram")
     assert secrets.scan(d).count() == awkward_docs.count()
+
+
+LINES = "\n".join("MIIEow+/" * 8 for _ in range(25)) + "\nQm9keQ=="
+BEGIN, END = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+INFO = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123456789ABCDEF\n\n"
+PART = "eyJ" + "aB3_" * 400
+WHOLE = [
+    f"{BEGIN}\n{LINES}\n{END}", f"{BEGIN}\r\n{LINES}\r\n{END}", f"{BEGIN}\n{INFO}{LINES}\n{END}", (BEGIN + "\n" + LINES + "\n" + END).replace("\n", "\\n"),
+    (BEGIN + "\n" + LINES + "\n" + END).replace("\n", "\n> "), f"{BEGIN}\n" + "\n".join(["A" * 64] * 20_000) + f"\n{END}",
+    f"{PART}.{PART}.{'s-_9' * 300}", "ghp_" + "aZ9" * 200, "xoxb-" + "1-aB" * 200, f"db://{'u' * 300}:{'p' * 300}@",
+]
+
+
+def test_secrets_are_found_whole(spark):
+    texts = [f"é before, {w}. after {w} - end" for w in WHOLE]
+    cut = [f"before {BEGIN}\n{LINES}", f"before {BEGIN}\n{INFO}{LINES}", f"before {BEGIN}\nMIIEow", f"before {BEGIN}\n" + "\n".join(["A" * 64] * 20_000)]
+    bare = [f"the line {BEGIN} is first, then - {BEGIN}\n{LINES}\n{END}\nand prose."]
+    every = texts + cut + bare
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(every)], DOCS)
+    d = secrets.scan(docs)
+    got = dict(d.select("doc_id", secrets.redacted(d["text"], d["secret_spans"])).collect())
+    for i, t in enumerate(texts):
+        assert got[i] == "é before, [SECRET]. after [SECRET] - end", (i, got[i][:300])
+    for i in range(len(texts), len(texts) + len(cut)):
+        assert got[i] == "before [SECRET]", (i, got[i][:300])
+    assert got[len(every) - 1] == "the line [SECRET] is first, then - [SECRET]\nand prose."
+    found = sorted(repr(tuple(r)) for r in secrets.report(docs).collect())
+    assert found == sorted(repr((i, *by_hand(t))) for i, t in enumerate(every))
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    assert found == sorted(map(repr, c.sql(secrets.oracle()).fetchall()))
