@@ -1,7 +1,7 @@
 """Main-text extraction: boosted trees over DOM nodes and hierarchical decoding.
 
-1. ``parse`` builds a tree of elements from tag soup: scripts, styles, comments and markup go, optional end tags are
-   implied, a tag cut off at the end of the page is dropped.
+1. ``parse`` builds a tree of elements from tag soup: scripts, styles, comments, markup and elements hidden by their
+   attribute or inline style go, optional end tags (of the head, too) are implied, a tag cut off at the end of the page is dropped.
 2. ``node_features``: depth, subtree text, link and tag density, punctuation, attribute tokens, the element's kind, and
    how it compares with its siblings, its parent and the page.
 3. Gradient-boosted trees give each node the chance of being inside the article. ``pages`` carry no labels, so the
@@ -35,7 +35,9 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("script style noscript template title svg math iframe object textarea head canvas audio video".split())
+DROPPED = frozenset("script style noscript template title iframe textarea head canvas audio video".split())
+#: What may stand in a head; any other element or text ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -51,14 +53,18 @@ ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))
 SPACE = re.compile(r"\s+")
 PUNCT = re.compile(r"[.,;:!?]")
 TOKENS = re.compile(r"[a-z]+")
+QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+HIDDEN_ATTR = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+HIDDEN_STYLE = re.compile(r"(?:^|;)\s*visibility\s*:\s*hidden\b", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "items", "truth", "chars", "linked", "tags", "marks", "words", "paragraphs", "state")
+    __slots__ = ("tag", "names", "parent", "items", "truth", "chars", "linked", "tags", "marks", "words", "paragraphs", "state", "hidden")
 
     def __init__(self, tag: str, names: tuple[str, ...], parent: Node | None, truth: str = ""):
         self.tag, self.names, self.parent, self.truth = tag, names, parent, truth
         self.items: list = []
+        self.hidden = False
         self.chars = self.linked = self.tags = self.marks = self.words = self.paragraphs = self.state = 0
 
 
@@ -67,7 +73,10 @@ def parse(page: str) -> Node:
     top, at, n = root, 0, len(page)
 
     def text(upto: int) -> None:
+        nonlocal top
         if upto > at:
+            if top.tag == "head" and not page[at:upto].isspace():
+                top = top.parent
             top.items.append(page[at:upto])
 
     while at < n:
@@ -87,6 +96,12 @@ def parse(page: str) -> Node:
             if node is not root:
                 top = node.parent
             continue
+        if tag not in IN_HEAD and tag != "html":
+            node = top
+            while node is not None and node.tag not in ("head", "template"):
+                node = node.parent
+            if node is not None and node.tag == "head":  # its end tag is optional
+                top = node.parent
         if tag in ("html", "body"):
             continue
         if tag in RAW:
@@ -105,14 +120,14 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node.tag in CLOSES[tag]:
                 top = node.parent
-        names, truth = (), ""
+        names, truth, hidden = (), "", False
         if m[3]:
             attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTR.finditer(m[3])}
             names = tuple(TOKENS.findall(" ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower()))
             truth = attrs.get("data-truth", "")
-            if "hidden" in m[3].lower() and ("hidden" in attrs.get("style", "").lower() or re.search(r"\bhidden\b(?!\s*=)", m[3])):
-                names += ("hidden",)
+            hidden = HIDDEN_ATTR.search(QUOTED.sub("=x", m[3])) is not None or HIDDEN_STYLE.search(attrs.get("style", "")) is not None
         node = Node(tag, names, top, truth)
+        node.hidden = hidden
         top.items.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             top = node
@@ -125,7 +140,7 @@ def nodes_of(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         order.append(node)
-        todo.extend(x for x in reversed(node.items) if isinstance(x, Node) and x.tag not in DROPPED and "hidden" not in x.names)
+        todo.extend(x for x in reversed(node.items) if isinstance(x, Node) and x.tag not in DROPPED and not x.hidden)
     for node in order:
         for x in node.items:
             if isinstance(x, str):
@@ -245,7 +260,7 @@ def article(root: Node) -> str:
             if inside:
                 part.append(x)
             continue
-        if x.tag in DROPPED or "hidden" in x.names:
+        if x.tag in DROPPED or x.hidden:
             continue
         if x.tag == "br":
             part.append(" ")

@@ -62,3 +62,20 @@ def test_query_rows(spark):
     rows = h.main_text(pages).collect()
     assert len(rows) == 4 and all(r["n_chars"] == len(r["text"]) for r in rows)
     assert h.main_text(pages.limit(0)).count() == 0
+
+
+def test_nothing_of_an_article_is_dropped():
+    whole = run([PAGE])[0]
+    for names in ('class="overflow-hidden"', 'class="hidden-xs"', 'id="not-hidden"', 'title="a hidden thing"', 'style="overflow: hidden"'):
+        assert run([PAGE.replace("<article>", f"<article {names}>")]) == [whole], names
+        assert run([PAGE.replace("<article>", f"<div {names}><article>").replace("</article>", "</article></div>")]) == [whole], names
+    assert run([PAGE.replace("</head>", "")]) == [whole]
+    assert run([PAGE.replace("</head>", "").replace("<body>", "")]) == [whole]
+    assert run([PAGE.replace("First", "<math><mi>x</mi></math> <object>other</object> <svg><text>label</text></svg> First")]) == [whole.replace("First", "x other label First")]
+    assert run(["<head><title>t</title>plain text"]) == ["plain text"]
+
+
+def test_hidden_elements_go():
+    whole = run([PAGE])[0]
+    for names in ("hidden", "HIDDEN", 'hidden=""', 'hidden="hidden"', 'class="a" hidden', 'style="color: red; visibility: hidden"'):
+        assert run([PAGE.replace("<p>Second", f"<p {names}>Gone, and it was long enough to count.</p><p>Second")]) == [whole], names
