@@ -28,7 +28,7 @@ from tallyloom.llm.components import connected_components
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-TRACKING = r"(?:utm_[a-z]+|gclid|fbclid|ref)=[^&#]*&?"
+TRACKING = r"(^|&)(?:(?:utm_[a-z]+|gclid|fbclid|ref)=[^&#]*(?:&|$))+"
 
 
 @dataclass(frozen=True)
@@ -65,14 +65,24 @@ def rule_of(rules: list[Rule], host: Column, path: Column) -> tuple[Column, Colu
 
 def key_of(url: Column) -> Column:
     """What aliases of one address share; null without ``://``."""
-    query = F.regexp_replace(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)", 1), TRACKING, "")
+    query = F.regexp_replace(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)", 1), TRACKING, "$1")
     query = F.regexp_replace(query, "&$", "")
     path = F.regexp_replace(path_of(url), "/+$", "")
     return F.when(url.contains("://"), F.concat(host_of(url), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
+def undotted(path: Column) -> Column:
+    """An absolute path without its ``.`` and ``..`` parts."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+    end = F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), end)
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """(url, to) of canonical links and redirects; paths are resolved against the page's host."""
+    """(url, to) of canonical links and redirects, resolved against the page's address."""
     tag = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)))
     t = pages.where("url is not null and html is not null").where(F.col("html").rlike(r"(?i)canonical|http-equiv")).select("url", tag.alias("tag"))
     href = F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
@@ -82,11 +92,20 @@ def links(pages: DataFrame) -> DataFrame:
     )
     t = t.select("url", F.replace(to, F.lit("&amp;"), F.lit("&")).alias("to")).where("to <> ''")
     scheme = F.regexp_extract("url", r"^([^:/?#]*)://", 1)
+    site, path = F.concat(scheme, F.lit("://"), host_of(F.col("url"))), path_of(F.col("url"))
+    tail = F.regexp_extract("to", r"(?s)^[^?#]*(.*)$", 1)
+    relative = F.concat(F.regexp_replace(path, "[^/]*$", ""), F.regexp_extract("to", r"(?s)^([^?#]*)", 1))
+    relative = F.when(relative.startswith("/"), relative).otherwise(F.concat(F.lit("/"), relative))
+    query = F.regexp_extract("url", r"(?s)^[^?#]*(\?[^#]*)", 1)
     full = (
-        F.when(F.col("to").contains("://"), F.col("to"))
+        F.when(F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
         .when(F.col("to").startswith("//"), F.concat(scheme, F.lit(":"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("url")), F.col("to")))
+        .when(F.col("to").startswith("/"), F.concat(site, undotted(F.regexp_extract("to", r"(?s)^([^?#]*)", 1)), tail))
+        .when(F.col("to").startswith("?"), F.concat(site, path, F.col("to")))
+        .when(F.col("to").startswith("#"), F.concat(site, path, query))
+        .when(~F.col("to").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(site, undotted(relative), tail))  # mailto: and the like are no addresses
     )
+    full = F.when(F.col("url").contains("://"), full)
     return t.select("url", full.alias("to")).where("to is not null")
 
 

@@ -47,3 +47,26 @@ def test_oracle_without_edges(spark, n):
     c.register("pages", spark.createDataFrame(rows, SCHEMA).toPandas().astype({"page_id": "Int64"}))
     want = sorted(map(repr, c.sql(u.ORACLE).fetchall()))
     assert sorted(repr(tuple(r)) for r in u.judge(spark.createDataFrame(rows, SCHEMA), u.RULES).collect()) == want
+
+
+def test_relative_targets_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    bases = ["https://h.com/a/b/c.html?x=1#f", "https://h.com/a/b/", "https://h.com", "https://h.com?q=1", "https://h.com/p"]
+    targets = ["login.php", "?id=3", "../x", "./y", "../../../z?u=http://o.net/", "d/../e/", "..", ".", "/k/../l", "//o.net/m", "https://o.net/n", "#top", "i?r=/../s", "z?t=a/b#g"]
+    pages = spark.createDataFrame([(i, b, LINK.format(t)) for i, (b, t) in enumerate((b, t) for b in bases for t in targets)], SCHEMA)
+    got = sorted((r["url"], r["k"]) for r in u.links(pages).select("url", u.key_of(u.F.col("to")).alias("k")).collect())
+    joined = spark.createDataFrame([(b, urljoin(b, t)) for b in bases for t in targets], "url string, to string")
+    assert got == sorted((r["url"], r["k"]) for r in joined.select("url", u.key_of(u.F.col("to")).alias("k")).collect())
+
+
+def test_verdicts_pass_to_relative_aliases(spark):
+    rows = [(1, "https://x.com/de/9", LINK.format("login.php")), (2, "https://x.com/de/login.php", ""), (3, "https://x.com/de/7", LINK.format("../up")), (4, "https://x.com/up", ""), (5, "https://x.com/no", "")]
+    got = {r["page_id"]: r["verdict"] for r in u.judge(spark.createDataFrame(rows, SCHEMA), u.RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
+def test_tracking_names_are_whole(spark):
+    urls = {"?pref=1": "?pref=1", "?pref=2": "?pref=2", "?ref=1": "", "?a=1&ref=2": "?a=1", "?ref=2&a=1": "?a=1", "?a=1&utm_source=x&gclid=y&b=2": "?a=1&b=2", "?xutm_a=1&fbclid=2": "?xutm_a=1"}
+    d = spark.createDataFrame([(f"https://h.com/p{q}", f"h.com/p{k}") for q, k in urls.items()], "url string, want string")
+    assert all(r["k"] == r["want"] for r in d.select("want", u.key_of(u.F.col("url")).alias("k")).collect())
