@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -179,6 +180,8 @@ def node_features(blocks: list[Node]) -> np.ndarray:
     seen: dict[int, int] = {}
     for b in blocks:
         kin.setdefault(id(b.parent), []).append(b)
+    largest = {k: max(x.chars for x in peers) for k, peers in kin.items()}
+    alike = {k: Counter(x.tag for x in peers) for k, peers in kin.items()}
     rows = []
     for b in blocks:
         p = b.parent
@@ -188,14 +191,14 @@ def node_features(blocks: list[Node]) -> np.ndarray:
         peers = kin[id(p)]
         i = seen[id(p)] = seen.get(id(p), -1) + 1
         chars = max(1, b.chars)
-        most = max(x.chars for x in peers) if len(peers) < 200 else max(x.chars for x in peers[max(0, i - 100) : i + 100])
+        most = largest[id(p)]
         kind = [0.0] * len(KINDS)
         if b.tag in KIND:
             kind[KIND[b.tag]] = 1.0
         rows.append([
             depth[id(b)], np.log1p(b.chars), b.chars / total, b.linked / chars, b.tags / chars, b.marks / max(1, b.words), b.chars / max(1, b.words),
             np.log1p(b.words), np.log1p(b.paragraphs), np.log1p(b.tags), g, w, good[id(b)], bad[id(b)], i / max(1, len(peers) - 1), np.log1p(len(peers)),
-            sum(x.tag == b.tag for x in peers[:200]) / min(len(peers), 200), b.chars / max(1, most), b.chars / max(1, p.chars if p else b.chars),
+            alike[id(p)][b.tag] / len(peers), b.chars / max(1, most), b.chars / max(1, p.chars if p else b.chars),
             KIND.get(p.tag, -1) if p else -1, *kind,
         ])
     return np.array(rows, np.float64)

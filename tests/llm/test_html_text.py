@@ -79,3 +79,12 @@ def test_hidden_elements_go():
     whole = run([PAGE])[0]
     for names in ("hidden", "HIDDEN", 'hidden=""', 'hidden="hidden"', 'class="a" hidden', 'style="color: red; visibility: hidden"'):
         assert run([PAGE.replace("<p>Second", f"<p {names}>Gone, and it was long enough to count.</p><p>Second")]) == [whole], names
+
+
+def test_all_siblings_count():
+    sizes = [3] * 300 + [90] + [7] * 250
+    page = "<body>" + "".join(f"<{'div' if i < 300 else 'p'}>{'x' * n}</{'div' if i < 300 else 'p'}>" for i, n in enumerate(sizes)) + "</body>"
+    blocks = h._blocks(h.nodes_of(h.parse(page)))
+    f = h.node_features(blocks)[1:]
+    assert np.allclose(f[:, 17], np.array(sizes) / max(sizes))
+    assert np.allclose(f[:, 16], [(300 if i < 300 else 251) / 551 for i in range(551)])
