@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.sources.scratch import materialize, shared_folder  # noqa: F401  (for the operators)
+from tallyloom.sources.scratch import discard, materialize, shared_folder  # noqa: F401  (for the operators)
 
 #: A word is a run of anything but ASCII white space (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,18 +51,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, folds: int,
     """(doc_id, y, text) of at most ``most`` labelled documents outside the held-out fold.
 
     Documents are taken in order of a hash of the id, so the sample is the same in every run.
-    Conflicting labels of one id resolve to the larger; null labels and ids are skipped.
-    ``most`` bounds the broadcast side: two numbers a row.
+    Conflicting labels of one id resolve to the larger, texts of one id to the last in order; null labels and ids
+    and labels without a document are skipped. ``most`` bounds the broadcast side: two numbers a row.
     """
-    chosen = (
+    known = (
         labels.where(F.col(target).isNotNull() & F.col("doc_id").isNotNull())
         .where(fold(F.col("doc_id"), folds) != held)
         .groupBy("doc_id")
         .agg(F.max(F.col(target).cast("int")).alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    # Labels grow with the corpus: they are cut to the quota by the ids that documents have, before any text moves.
+    there = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    chosen = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "y").agg(F.max("text").alias("text")).select("doc_id", "y", "text")
 
 
 def sigmoid_fit(x, y, rounds: int = 100):

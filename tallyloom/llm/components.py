@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize
+from tallyloom.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -34,17 +34,21 @@ def connected_components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         step = materialize(step, "cc-step")
         steps.append(step)
         a, b = step.toDF("u", "a"), step.toDF("v", "b")
-        live = materialize(
+        before, live = live, materialize(
             live.join(a, "u").join(b, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(),
             "cc-edges",
         )
+        discard(before)
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     if not steps:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).limit(0)
-    whole = steps[-1].toDF("node", "component")
+    discard(live)
+    last, whole = steps[-1], steps[-1].toDF("node", "component")
     for step in reversed(steps[:-1]):
         whole = materialize(
             step.join(whole.withColumnRenamed("node", "to"), "to", "left").select("node", F.coalesce("component", "to").alias("component")), "cc-map"
         )
+        discard(last, step)
+        last = whole
     return whole

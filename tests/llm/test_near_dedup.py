@@ -99,3 +99,70 @@ def test_components_of_paths_stars_and_noise(spark):
         groups.setdefault(c, set()).add(low[n])
     assert all(len(g) == 1 for g in groups.values()) and len({*map(min, groups.values())}) == len(groups)
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_spanning_links_against_all_pairs():
+    rnd = random.Random(3)
+    for percent in (80, 85):
+        for trial in range(30):
+            template = list(range(1000, 1000 + rnd.choice([0, 5, 40])))
+            sets = []
+            for _ in range(rnd.randint(2, 40)):
+                own = [rnd.randrange(10**6) for _ in range(rnd.randint(1, 20))]
+                s = rnd.choice(sets)[:] if sets and rnd.random() < 0.5 else own + template
+                for _ in range(rnd.randint(0, 3)):
+                    s[rnd.randrange(len(s))] = rnd.randrange(10**6)
+                sets.append(s)
+            arrays = [np.unique(np.array(s, np.uint64)) for s in sets]
+            ids = np.array(rnd.sample(range(1000), len(sets)))
+            askers = trial % 3 == 0
+            side = np.array([2 * (askers and rnd.random() < 0.4) for _ in sets])
+            found = near_dedup.spanning_links(ids, arrays, side, percent)
+            low = {int(i): int(i) for i in ids}
+
+            def top(x, low=low):
+                while low[x] != x:
+                    x = low[x]
+                return x
+
+            for a, b in found:
+                low[top(a)] = top(b)
+            for i, x in enumerate(arrays):
+                for j, y in enumerate(arrays[:i]):
+                    both = len(np.intersect1d(x, y))
+                    alike = 100 * both >= percent * (len(x) + len(y) - both)
+                    if (int(ids[i]), int(ids[j])) in found or (int(ids[j]), int(ids[i])) in found:
+                        assert alike
+                    if alike and (not side.any() or side[i] == 2 or side[j] == 2):
+                        assert top(int(ids[i])) == top(int(ids[j]))
+
+
+def test_templated_cluster_of_many_blocks(spark):
+    """Pages that share half of their words and link nowhere, with a few near copies among them, in blocks of a few pages."""
+    rnd = random.Random(8)
+    template = made_text(rnd, 60).split(" ")
+    rows = []
+    for i in range(90):
+        own = [f"own{rnd.randrange(10**7)}" for _ in range(55)]
+        rows.append([i, " ".join(template + own), "en", "s", 0])
+    for i in range(90, 110):
+        t = rows[rnd.randrange(90)][1].split(" ")
+        t[rnd.randrange(60, len(t))] = f"new{i}"
+        rows.append([i, " ".join(t), "en", "s", 0])
+    docs = spark.createDataFrame([tuple(r) for r in rows], DOCS)
+    check(docs, 3, 85, block=1500)
+
+
+def test_an_id_that_holds_many_rows(spark):
+    rnd = random.Random(9)
+    t = made_text(rnd, 80)
+    rows = [(7, t, "en", "s", 0)] * 300 + [(None, t, "en", "s", 0)] * 200 + [(8, t + " end", "en", "s", 0), (3, t, "en", "s", 0)]
+    check(spark.createDataFrame(rows, DOCS), 3, 85)
+
+
+def test_the_filter_of_ids_loses_none(spark):
+    docs = spark.range(0, 5000).select(F.col("id").alias("doc"), F.lit("t").alias("text"))
+    chosen = spark.range(0, 5000, 50).select(F.col("id").alias("doc"))
+    for bits, most in ((None, 400), (1 << 7, 5000)):
+        got = {r["doc"] for r in near_dedup.only_ids_of(docs, "doc", chosen, bits).collect()}
+        assert got >= set(range(0, 5000, 50)) and len(got) <= most
