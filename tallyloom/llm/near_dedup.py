@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import discard, materialize
 from tallyloom.llm.components import connected_components
+from tallyloom.llm.idfilter import may_hold
 from tallyloom.llm.shingles import WordHashes, shingle_set
 
 HALF = 5  # minhashes in a half-key
-FILTER_BITS = 1 << 26  # at most: 8 MB
 SLOTS = 1 << 20  # of the counts that order shingles in clusters of several blocks
 
 
@@ -198,25 +198,6 @@ def _blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
     return dealt.mapInPandas(_linker(k, percent), "u long, v long")
 
 
-def only_ids_of(docs: DataFrame, column: str, chosen: DataFrame, bits: int | None = None) -> DataFrame:
-    """``docs`` without most rows whose id is not among ``chosen`` (column ``doc``): a Bloom filter of two hashes.
-
-    The filter has 16 bits an id, FILTER_BITS at most: beyond four million ids it lets more and more rows through, never fewer.
-    """
-    if bits is None:
-        bits = min(FILTER_BITS, max(1 << 12, 1 << (16 * chosen.count()).bit_length()))
-    place = lambda c, i: F.xxhash64(F.lit(i), c).bitwiseAND(F.lit(bits - 1))
-    word = lambda p: F.shiftright(p, 6).cast("int")
-    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)).cast("int"))
-    at = chosen.select(F.explode(F.array(place("doc", 0), place("doc", 1))).alias("p"))
-    words = at.groupBy(word(F.col("p")).alias("w")).agg(F.bit_or(bit(F.col("p"))).alias("b"))
-    every = docs.sparkSession.range(0, bits >> 6, 1, 8).select(F.col("id").cast("int").alias("w"))
-    every = every.join(words.hint("shuffle_hash"), "w", "left").select("w", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
-    whole = every.agg(F.array_sort(F.collect_list(F.struct("w", "b")))["b"].alias("bits"))
-    has = lambda i: F.get(whole.scalar(), word(place(column, i))).bitwiseAND(bit(place(column, i))) != 0
-    return docs.where(has(0) & has(1))
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0.9995, block: int = 400_000) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
 
@@ -273,7 +254,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, recall: floa
 def _candidate_texts(docs: DataFrame, clusters: DataFrame) -> DataFrame:
     """``clusters`` with the texts, a row a document and text; only candidates' texts are moved."""
     texts = docs.select(F.col("doc_id").alias("doc"), "text").where("doc is not null and text is not null")
-    texts = only_ids_of(texts, "doc", clusters)
+    texts = texts.where(may_hold(clusters, "doc", F.col("doc")))
     # Rows that are repeated become one before they are moved; the hash stands for the text as a key.
     texts = texts.groupBy("doc", F.xxhash64("text").alias("mark")).agg(F.first("text").alias("text")).select("doc", "text")
     # The candidates grow with the corpus: never broadcast them; hash them beside the texts.
