@@ -10,13 +10,15 @@
    documents are taken in order of Q until the words left after the certain copies are filled; the document
    that crosses the line is taken if that brings the source nearer to its target, so a source misses by half
    a document at most. With equal importance p is the same inside a source and differs between sources.
+   Rows of equal rank, size and id are counted, and as many of them are taken as fit.
 
 No source is gathered in one task: the place of the cut is found by a histogram of Q over ``BINS`` bins a
 source, then over ``BINS`` parts of the one bin that holds the cut; only documents in that part (about a
 millionth of the source) are put in order. Every histogram is summed before its shuffle.
 
-Defined cases: null text has no words and takes none; a source without words has target 0; rows that are
-equal in id, source and size get equal ranks and are interchangeable; an empty table gives an empty result.
+Defined cases: null text has no words and takes none; a source without words has target 0; rows that are equal in
+id, source and size have equal ranks: where the line falls between them the exact number is taken, by place of the row
+in its input partition; rows without an id are told apart by a hash of their text; an empty table gives an empty result.
 Further columns pass through, but for those whose names start with ``mix_`` or ``cut_``, which are dropped. The result depends on rows and seed only.
 """
 
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize, word_count
+from tallyloom.llm.common import discard, materialize, word_count
 
 BINS = 1024
 
@@ -72,7 +74,8 @@ def mix(
         F.col("source").alias("mix_source"),
         (F.lit(1.0) if importance is None else importance.cast("double")).alias("mix_imp"),
     )
-    base = base.withColumn("mix_u", uniform(seed, F.col("source"), F.col("doc_id"), F.col("mix_size")))
+    name = F.when(F.col("doc_id").isNull(), F.concat(F.lit("\\N"), F.md5(F.coalesce("text", F.lit(""))))).otherwise(F.col("doc_id").cast("string"))
+    base = base.withColumn("mix_u", uniform(seed, F.col("source"), name, F.col("mix_size")))
     thin = materialize(base.select(F.col("doc_id").alias("mix_id"), "mix_source", "mix_size", "mix_imp", "mix_u"), "mix-thin")
     sums = thin.groupBy("mix_source").agg(F.sum("mix_size").alias("mix_source_size"), F.sum(F.col("mix_size") * F.col("mix_imp")).alias("mix_imp_size"))
     sums = materialize(sums, "mix-sums")
@@ -116,24 +119,41 @@ def mix(
     parts = inside.groupBy("mix_source", "mix_part", F.col("cut_need").alias("mix_need")).agg(F.sum("mix_size").alias("words"))
     second = cut(parts, "mix_part").toDF("cut_source2", "cut_mix_part", "cut_need2")
     inside = inside.join(second, F.col("mix_source").eqNullSafe(F.col("cut_source2")) & (F.col("mix_part") == F.col("cut_mix_part")))
-    order = Window.partitionBy("mix_source").orderBy("mix_q", "mix_size", F.col("mix_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.sum("mix_size").over(order)
-    inside = inside.withColumn("mix_fits", upto - F.col("mix_size") / 2 <= F.col("cut_need2"))
+    ties = inside.groupBy("mix_source", "mix_q", "mix_size", "mix_id").agg(F.count("*").alias("mix_n"), F.first("cut_need2").alias("mix_need"))
+    order = Window.partitionBy("mix_source").orderBy("mix_q", "mix_size", F.col("mix_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    upto = F.coalesce(F.sum(F.col("mix_n") * F.col("mix_size")).over(order), F.lit(0))
+    fit = F.floor(F.try_divide(F.col("mix_need") - upto + F.col("mix_size") / 2, F.col("mix_size")))
+    ties = ties.withColumn("mix_fit", F.greatest(F.lit(0), F.least("mix_n", F.coalesce(fit, F.col("mix_n")))))
     last = F.struct("mix_q", "mix_size", F.coalesce("mix_id", F.lit(2**63 - 1)).alias("mix_id"))
-    line = inside.where("mix_fits").groupBy(F.col("mix_source").alias("cut_source")).agg(F.max(last).alias("mix_line"))
+    line = ties.where("mix_fit > 0").groupBy(F.col("mix_source").alias("cut_source")).agg(F.max(F.struct(last.alias("at"), "mix_fit", "mix_n")).alias("m"))
+    line = line.select("cut_source", F.col("m.at").alias("mix_line"), F.col("m.mix_fit").alias("cut_fit"), F.col("m.mix_n").alias("cut_n"))
     line = first.select("cut_source", "cut_mix_bin").join(second.select(F.col("cut_source2").alias("c2"), "cut_mix_part"), F.col("cut_source").eqNullSafe(F.col("c2"))).join(
         line.withColumnRenamed("cut_source", "c3"), F.col("cut_source").eqNullSafe(F.col("c3")), "left"
-    ).select("cut_source", "cut_mix_bin", "cut_mix_part", "mix_line")
+    ).select("cut_source", "cut_mix_bin", "cut_mix_part", "mix_line", "cut_fit", "cut_n")
     line = materialize(line, "mix-line")
 
     out = ranked(base).join(line, F.col("mix_source").eqNullSafe(F.col("cut_source")), "left")
     here = F.struct("mix_q", "mix_size", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("mix_id"))
+    part = (F.col("mix_bin") == F.col("cut_mix_bin")) & (F.col("mix_part") == F.col("cut_mix_part"))
     extra = F.when(F.col("mix_q").isNull() | F.col("cut_mix_bin").isNull(), False).otherwise(
         (F.col("mix_bin") < F.col("cut_mix_bin"))
         | ((F.col("mix_bin") == F.col("cut_mix_bin")) & (F.col("mix_part") < F.col("cut_mix_part")))
-        | ((F.col("mix_bin") == F.col("cut_mix_bin")) & (F.col("mix_part") == F.col("cut_mix_part")) & F.coalesce(here <= F.col("mix_line"), F.lit(False)))
+        | (part & F.coalesce(here <= F.col("mix_line"), F.lit(False)))
     )
-    out = out.withColumn("mix_copies", F.coalesce(F.col("mix_sure"), F.lit(0).cast("long")) + extra.cast("long"))
+    out = out.withColumn("mix_extra", extra)
+    if not line.where("cut_fit < cut_n").isEmpty():
+        # The line falls between equal rows of some source: these are counted by input partition, and the first that fit are taken.
+        split = F.coalesce((F.col("cut_fit") < F.col("cut_n")) & part & (here == F.col("mix_line")), F.lit(False))
+        edge = materialize(out.where(split).withColumn("cut_slot", F.monotonically_increasing_id()), "mix-edge")
+        edge = edge.withColumn("cut_task", F.shiftright("cut_slot", 33))
+        tasks = edge.groupBy(F.col("mix_source").alias("s"), F.col("cut_task").alias("t")).agg(F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        edge = edge.join(tasks.select("s", "t", before.alias("cut_before")), F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("cut_task") == F.col("t")))
+        nth = F.row_number().over(Window.partitionBy("mix_source", "cut_task").orderBy("cut_slot"))
+        edge = edge.withColumn("mix_extra", F.col("cut_before") + nth <= F.col("cut_fit"))
+        out = out.where(~split).unionByName(edge.select(*out.columns))
+    out = out.withColumn("mix_copies", F.coalesce(F.col("mix_sure"), F.lit(0).cast("long")) + F.col("mix_extra").cast("long"))
+    discard(thin)
     return out.select(*docs.columns, "mix_size", F.coalesce("mix_source_size", F.lit(0).cast("long")).alias("mix_source_size"), F.coalesce("mix_target", F.lit(0.0)).alias("mix_target"), "mix_copies")
 
 
@@ -145,7 +165,7 @@ def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
 ORACLE = r"""
 with d as (
   select doc_id, source,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(text, '')) as mark
   from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 w as (
@@ -161,7 +181,7 @@ r as (select *, case when source_size > 0 then target / source_size else 0 end a
 q as (
   select d.doc_id, d.source, d.size, r.source_size, r.target, least(2.0::double, r.rate) as copies,
          floor(least(2.0::double, r.rate))::bigint as sure,
-         (('0x' || substr(sha1('17|' || coalesce(d.source, '\N') || '|' || coalesce(d.doc_id::varchar, '\N') || '|' || d.size), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
+         (('0x' || substr(sha1('17|' || coalesce(d.source, '\N') || '|' || coalesce(d.doc_id::varchar, '\N' || d.mark) || '|' || d.size), 1, 13))::bigint::double + 0.5) / 4503599627370496.0::double as u
   from d join r on d.source is not distinct from r.source),
 o as (
   select *, case when copies - sure > 0 then (u / (1 - u)) / ((copies - sure) / (1 - (copies - sure))) end as odds,

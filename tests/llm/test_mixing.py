@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import mixing
 
-from .conftest import words
+from .conftest import DOCS, words
 
 
 def weights_by_hand(sizes, share=1.5, cap=2.0):
@@ -78,7 +78,25 @@ def test_repeated_rows(corpus):
     assert mixing.repeated(mixed, corpus.columns).count() == n
 
 
-@pytest.mark.parametrize("which", ["corpus", "awkward_docs"])
+@pytest.fixture(scope="module")
+def tied(spark):
+    """Sources of many equal rows, of which only a part fits; rows without an id, of one text and of several."""
+    ten = "a b c d e f g h i j"
+    rows = [(5, ten, "en", "rep", 19)] * 300 + [(6, ten, "en", "other", 19)] * 40 + [(None, ten, "en", "none", 19)] * 70
+    rows += [(None, f"{i} b c d e f g h i j", "en", "none2", 19) for i in range(50)] + [(i, ten + " k" * (i % 3), "en", "plain", 19) for i in range(100, 160)]
+    return spark.createDataFrame(rows, DOCS).repartition(7)
+
+
+def test_a_line_between_equal_rows(tied):
+    rows = check(tied)
+    again = mixing.mix(tied.repartition(3)).collect()
+    key = lambda r: (r["source"], r["doc_id"] or -1, r["mix_size"], r["mix_copies"])
+    assert sorted(map(key, rows)) == sorted(map(key, again))
+    copies = {r["mix_copies"] for r in rows if r["source"] == "rep"}
+    assert len(copies) == 2  # the line does fall between equal rows
+
+
+@pytest.mark.parametrize("which", ["corpus", "awkward_docs", "tied"])
 def test_oracle(which, request):
     docs = request.getfixturevalue(which)
     c = duckdb.connect()
