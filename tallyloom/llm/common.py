@@ -38,6 +38,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row: a lambda's variable is never replaced by its expression."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 

@@ -13,7 +13,7 @@ Bound: ``most`` labelled rows (in order of a hash of the id) are learned from. T
 
 Defined cases: null and empty text: all statistics 0 (so the base rule fails it); without labels, or of one class
 only, the list is empty and keeps what the base rule keeps; repeated rows are judged one by one; a null doc_id
-is judged as any other; ``judge`` ignores further columns.
+is judged as any other; ``judge`` ignores further columns; ``statistics`` replaces columns whose names start with ``stat_``.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import WORD, labelled_sample, materialize
+from tallyloom.llm.common import WORD, labelled_sample, let, materialize
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -44,37 +44,52 @@ FEATURES = {
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """``docs`` with the stat_ columns (long)."""
-    t = F.coalesce("text", F.lit(""))
+    """``docs`` with the stat_ columns (long).
+
+    All are made in one expression whose parts are bound once (``let``), and leave it through a generator: a consumer's filter
+    stays above it and never repeats the work.
+    """
     zero = F.lit(0).cast("long")
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
-    d = docs.withColumn("stat_words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
-    d = d.withColumn("stat_n_words", F.size("stat_words").cast("long"))
-    # Only a text with a window met twice needs the windows' places.
-    n = F.size("stat_words")
-    triple = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws("\n", F.get("stat_words", i - 1), F.get("stat_words", i), F.get("stat_words", i + 1)))
-    d = d.withColumn("stat_triples", F.when(n >= 4, triple))
-    repeats = F.size("stat_triples") > F.size(F.array_distinct("stat_triples"))
-    placed = F.sort_array(F.transform("stat_triples", lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
-    d = d.withColumn("stat_placed", F.when(repeats, placed))
-    same = lambda x, j: x["w"].eqNullSafe(F.get("stat_placed", j)["w"])
-    met = F.filter("stat_placed", lambda x, i: same(x, i - 1) | same(x, i + 1))
-    d = d.withColumn("stat_met", F.sort_array(F.transform(met, lambda x: x["i"])))
-    # Windows are three long: each adds what lies beyond the one before it.
-    fresh = F.transform("stat_met", lambda x, i: F.least(F.lit(3), F.coalesce(x - F.get("stat_met", i - 1), F.lit(3))))
-    d = d.withColumn("stat_n_repeat_words", F.coalesce(F.aggregate(fresh, zero, lambda a, x: a + x), zero))
-    count = lambda p: F.regexp_count(t, F.lit(p)).cast("long")
-    d = d.withColumn("stat_lines", lines)
-    d = d.withColumns({
-        "stat_word_chars": F.length(F.regexp_replace(t, SPACE, "")).cast("long"),
-        "stat_n_symbols": count(SYMBOLS),
-        "stat_n_lines": F.size("stat_lines").cast("long"),
-        "stat_n_dup_lines": (F.size("stat_lines") - F.size(F.array_distinct("stat_lines"))).cast("long"),
-        "stat_n_upper": count(r"\p{Lu}"),
-        "stat_n_marks": count(r"[!?]"),
-        "stat_n_digits": count(r"[0-9]"),
-    })
-    return d.drop("stat_words", "stat_triples", "stat_placed", "stat_met", "stat_lines")
+    long = lambda c: c.cast("long")
+
+    def repeats(words: Column) -> Column:
+        """Words inside three-word windows that occur twice."""
+
+        def placed(p: Column) -> Column:
+            same = lambda x, j: x["w"].eqNullSafe(F.get(p, j)["w"])
+            met = F.filter(p, lambda x, i: same(x, i - 1) | same(x, i + 1))
+            # Windows are three long: each adds what lies beyond the one before it.
+            step = lambda acc, x: F.struct(x.alias("at"), (acc["n"] + F.least(F.lit(3), x - acc["at"])).alias("n"))
+            begin = F.struct(F.lit(-3).alias("at"), F.lit(0).alias("n"))
+            return F.aggregate(F.sort_array(F.transform(met, lambda x: x["i"])), begin, step, lambda acc: long(acc["n"]))
+
+        def windows(w: Column) -> Column:
+            # Only a text with a window met twice needs the windows' places.
+            places = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))
+            return F.when(F.size(w) > F.size(F.array_distinct(w)), let(places, placed)).otherwise(zero)
+
+        n = F.size(words)
+        triple = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.concat_ws("\n", F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))
+        return F.when(n >= 4, let(triple, windows)).otherwise(zero)
+
+    def all_of(t: Column) -> Column:
+        count = lambda p: long(F.regexp_count(t, F.lit(p)))
+        words = let(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: F.struct(long(F.size(w)).alias("n"), repeats(w).alias("r")))
+        lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD))
+        lines = let(lines, lambda x: F.struct(long(F.size(x)).alias("n"), long(F.size(x) - F.size(F.array_distinct(x))).alias("d")))
+        return F.struct(
+            words.alias("w"), lines.alias("l"), long(F.length(F.regexp_replace(t, SPACE, ""))).alias("word_chars"), count(SYMBOLS).alias("n_symbols"),
+            count(r"\p{Lu}").alias("n_upper"), count(r"[!?]").alias("n_marks"), count(r"[0-9]").alias("n_digits"),
+        )
+
+    d = docs.drop(*[c for c in docs.columns if c.lower().startswith("stat_")])
+    made = F.transform(F.array(F.coalesce("text", F.lit(""))), all_of)
+    d = d.select("*", F.explode_outer(made).alias("stat_all"))
+    return d.select(
+        *[c for c in d.columns if c != "stat_all"], F.col("stat_all.w.n").alias("stat_n_words"), F.col("stat_all.w.r").alias("stat_n_repeat_words"),
+        F.col("stat_all.l.n").alias("stat_n_lines"), F.col("stat_all.l.d").alias("stat_n_dup_lines"),
+        *[F.col(f"stat_all.{c}").alias(f"stat_{c}") for c in ("word_chars", "n_symbols", "n_upper", "n_marks", "n_digits")],
+    )
 
 
 def base_failed() -> Column:
@@ -178,12 +193,22 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", folds: in
             worth.append(((p - n) / (p + n) if p + n else -1.0, -size))
         if not worth or max(worth)[0] <= 0.8:  # a rule must be right nine times in ten
             break
-        rule = rule[: -max(worth)[1]]
+        rule = tightest(rule[: -max(worth)[1]])
         found.append(rule)
         left = left.where(~all_of(rule))
     return _halfway(found, stats)
 
 
+def tightest(rule: list[Condition]) -> list[Condition]:
+    """The rule with one condition a feature and direction: the others follow from it."""
+    out: dict[tuple[str, bool], Condition] = {}
+    for c in rule:
+        key = (c.feature, c.above)
+        if key not in out or (c.value > out[key].value) == c.above:
+            out[key] = c
+    return list(out.values())
+
+
 def _halfway(rules: Rules, stats: DataFrame) -> Rules:
     """Each threshold moves to the middle of the gap between the sample's values on its two sides."""
     flat = sorted({c for rule in rules for c in rule}, key=str)
