@@ -2,6 +2,7 @@
 
 1. ``parse`` builds a tree of elements from tag soup: scripts, styles, comments, markup and elements hidden by their
    attribute or inline style go, optional end tags (of the head, too) are implied, a tag cut off at the end of the page is dropped.
+   A page is scanned once from left to right and each element opened and closed once, so broken pages cost no more than others.
 2. ``node_features``: depth, subtree text, link and tag density, punctuation, attribute tokens, the element's kind, and
    how it compares with its siblings, its parent and the page.
 3. Gradient-boosted trees give each node the chance of being inside the article. ``pages`` carry no labels, so the
@@ -40,6 +41,7 @@ DROPPED = frozenset("script style noscript template title iframe textarea head c
 #: What may stand in a head; any other element or text ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
+RAW_END = {t: re.compile(rf"</{t}\b[^>]*+>?", re.I) for t in RAW}
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
@@ -49,13 +51,14 @@ BAD = frozenset(
     " reply disqus cookie consent notice alert popup modal overlay related more recommended share social follow widget tag tags subscribe newsletter signup login search"
     " form pagination pager meta byline copyright legal toolbar links".split()
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[/!?a-zA-Z][^<>]*\Z", re.S)
-ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|(!--)|([!?]|/(?=[^>])))")
+#: One attribute, or what ends the tag. Possessive: a page is read once, whatever it holds.
+ATTR = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?+)")
 SPACE = re.compile(r"\s+")
 PUNCT = re.compile(r"[.,;:!?]")
 TOKENS = re.compile(r"[a-z]+")
-QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
-HIDDEN_ATTR = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+LEADING_ZEROS = re.compile(r"(&#[xX]?)0++(?=[0-9a-fA-F])")
+LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{7,}+);?")
 HIDDEN_STYLE = re.compile(r"(?:^|;)\s*visibility\s*:\s*hidden\b", re.I)
 
 
@@ -69,69 +72,99 @@ class Node:
         self.chars = self.linked = self.tags = self.marks = self.words = self.paragraphs = self.state = 0
 
 
+def attributes(page: str, at: int) -> tuple[int, dict[str, str], bool]:
+    """(where the tag ends, its attributes, whether it closes itself), from the end of the tag's name; -1 if the page ends first.
+
+    Quotes count only right after an equals sign; a quoted value that nothing closes ends where an unquoted one would.
+    """
+    out: dict[str, str] = {}
+    while True:
+        m = ATTR.match(page, at)
+        if m is None:
+            return -1, out, False
+        if m[1]:
+            return m.end(), out, page[m.end() - 2] == "/"
+        value = m[3] if m[3] is not None else m[4] if m[4] is not None else m[5]
+        out.setdefault(m[2].lower(), value or "")
+        at = m.end()
+
+
+CONTAINERS = ("ul", "ol", "dl", "table", "tbody", "select")
+
+
 def parse(page: str) -> Node:
     root = Node("html", (), None)
-    top, at, n = root, 0, len(page)
-
-    def text(upto: int) -> None:
-        nonlocal top
-        if upto > at:
-            if top.tag == "head" and not page[at:upto].isspace():
-                top = top.parent
-            top.items.append(page[at:upto])
+    stack, at, n = [root], 0, len(page)
+    depths: dict[str, list[int]] = {}  # places in the stack of the open elements of a name
+    blocks: list[int] = []  # and of all open blocks
+
+    def close(depth: int) -> None:
+        """End the element at this place of the stack and all inside it; each element is ended once."""
+        while len(stack) > depth:
+            gone = stack.pop()
+            depths[gone.tag].pop()
+            if gone.tag in BLOCK:
+                blocks.pop()
+
+    def place(tag: str) -> int:
+        known = depths.get(tag)
+        return known[-1] if known else -1
+
+    def text(start: int, end: int) -> None:
+        if end > start:
+            if stack[-1].tag == "head" and not page[start:end].isspace():
+                close(len(stack) - 1)
+            stack[-1].items.append(page[start:end])
 
     while at < n:
-        m = TAG.search(page, at)
+        m = OPEN.search(page, at)
         if m is None:
-            text(n)
+            text(at, n)
             break
-        text(m.start())
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        text(at, m.start())
+        if m[3]:
+            end = page.find("-->", m.start() + 4) if page[m.end() : m.end() + 1] != ">" else m.end() - 2
+            at = end + 3 if end >= 0 else n
+            continue
+        if m[4]:
+            end = page.find(">", m.end())
+            at = end + 1 if end >= 0 else n
             continue
+        tag = m[2].lower()
+        at, attrs, closed = attributes(page, m.end())
+        if at < 0:  # a tag cut off at the end of the page
+            break
         if m[1]:
-            node = top
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                top = node.parent
+            if (depth := place(tag)) >= 0:
+                close(depth)
             continue
-        if tag not in IN_HEAD and tag != "html":
-            node = top
-            while node is not None and node.tag not in ("head", "template"):
-                node = node.parent
-            if node is not None and node.tag == "head":  # its end tag is optional
-                top = node.parent
+        if tag not in IN_HEAD and tag != "html" and (depth := place("head")) > place("template"):  # the head's end tag is optional
+            close(depth)
         if tag in ("html", "body"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
+            end = RAW_END[tag].search(page, at)
             at = end.end() if end else n
             continue
-        if tag in BLOCK:  # a block ends an open paragraph, up to the nearest other block
-            node = top
-            while node is not root and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p":
-                top = node.parent
+        if tag in BLOCK and blocks and stack[blocks[-1]].tag == "p":  # a block ends an open paragraph, up to the nearest other block
+            close(blocks[-1])
         if tag in CLOSES:
-            node = top
-            while node is not root and node.tag not in CLOSES[tag] and node.tag not in ("ul", "ol", "dl", "table", "tbody", "select"):
-                node = node.parent
-            if node.tag in CLOSES[tag]:
-                top = node.parent
+            depth = max(map(place, CLOSES[tag]))
+            if depth > max(map(place, CONTAINERS)):
+                close(depth)
         names, truth, hidden = (), "", False
-        if m[3]:
-            attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTR.finditer(m[3])}
+        if attrs:
             names = tuple(TOKENS.findall(" ".join(attrs.get(k, "") for k in ("class", "id", "role")).lower()))
             truth = attrs.get("data-truth", "")
-            hidden = HIDDEN_ATTR.search(QUOTED.sub("=x", m[3])) is not None or HIDDEN_STYLE.search(attrs.get("style", "")) is not None
-        node = Node(tag, names, top, truth)
+            hidden = "hidden" in attrs or HIDDEN_STYLE.search(attrs.get("style", "")) is not None
+        node = Node(tag, names, stack[-1], truth)
         node.hidden = hidden
-        top.items.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
-            top = node
+        stack[-1].items.append(node)
+        if tag not in VOID and not closed:
+            depths.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            stack.append(node)
     return root
 
 
@@ -206,12 +239,15 @@ def node_features(blocks: list[Node]) -> np.ndarray:
 
 def _blocks(order: list[Node]) -> list[Node]:
     """Block-level nodes that hold text; each one's parent link then skips inline elements."""
-    keep = [n for i, n in enumerate(order) if (n.tag in BLOCK or i == 0) and n.chars > 0]
-    for n in keep:
-        p = n.parent
-        while p is not None and not (p.tag in BLOCK or p.parent is None):
-            p = p.parent
-        n.parent = p
+    block_of: dict[int, Node | None] = {}
+    keep = []
+    for i, n in enumerate(order):
+        above = block_of[id(n.parent)] if n.parent is not None else None
+        if block := n.tag in BLOCK or i == 0:
+            n.parent = above
+            if n.chars > 0:
+                keep.append(n)
+        block_of[id(n)] = n if block else above
     return keep
 
 
@@ -241,13 +277,20 @@ def decode(blocks: list[Node], chance: np.ndarray) -> None:
             b.state = INSIDE if above == INSIDE and best[i, INSIDE] >= best[i, NOISE] else NOISE
 
 
+def decoded(text: str) -> str:
+    """Character references as characters; a number beyond all characters is the replacement character, however long."""
+    if "&#" in text:
+        text = LONG_REFERENCE.sub("\ufffd", LEADING_ZEROS.sub(r"\1", text))
+    return entities.unescape(text)
+
+
 def article(root: Node) -> str:
     """The text of INSIDE nodes in page order, a line a block."""
     lines: list[str] = []
     part: list[str] = []
 
     def flush() -> None:
-        line = SPACE.sub(" ", entities.unescape("".join(part))).strip()
+        line = SPACE.sub(" ", decoded("".join(part))).strip()
         part.clear()
         if line:
             lines.append(line)

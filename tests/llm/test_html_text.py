@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -88,3 +89,29 @@ def test_all_siblings_count():
     f = h.node_features(blocks)[1:]
     assert np.allclose(f[:, 17], np.array(sizes) / max(sizes))
     assert np.allclose(f[:, 16], [(300 if i < 300 else 251) / 551 for i in range(551)])
+
+
+def test_attributes_are_read_as_html_does():
+    whole = run([PAGE])[0]
+    for names in ("class=it's", "title=\"a > b\"", "title='say \"x\"'", "data-x=a'b\"c", "a b=c d='e' f=\"g\"/", "class = 'x' '", "x=y=z", "\"odd\"=1", "a=<b"):
+        assert run([PAGE.replace("<p>Second", f"<p {names}>Second")]) == [whole], names
+        assert run([PAGE.replace("<article>", f"<article {names}>")]) == [whole], names
+    assert h.attributes("a x=1 Y='2 3' z=\"4\" w =5 v>t", 1) == (27, {"x": "1", "y": "2 3", "z": "4", "w": "5", "v": ""}, False)
+    assert h.attributes("a/>", 1) == (3, {}, True) and h.attributes("a b='c>d", 1) == (7, {"b": "'c"}, False) and h.attributes("a b", 1)[0] == -1
+
+
+def test_hostile_pages_take_linear_time():
+    n = 1_000_000
+    parts = ["<a '", "<a ", "<a b='", '<a b="', "<!--", "<", "</", "<div>", "</x>", "<p>", "<b>", "<b><p>", "<li>", "<div></x>", "<b><div></x>", "<head><template><div>", "&#9", "&amp", "<td>", "<svg><p>x", "<a b=' c=\""]
+    for part in parts:
+        page = f"<p>start</p>{part * (n // len(part))}"
+        root_time = time.time()
+        h.nodes_of(h.parse(page))
+        assert time.time() - root_time < 20, part  # a quadratic reading of a megabyte takes hours
+    for part in ("<a '", "<a ", "<div>x", "<b>x", "x</x>", "<p>x", "<b><p>x", "<li>x"):
+        assert len(run([f"<p>start</p>{part * (100_000 // len(part))}"])) == 1
+
+
+def test_character_references():
+    assert h.decoded("&#" + "9" * 5000 + ";x") == "\ufffdx" and h.decoded("&#x" + "f" * 9 + ";") == "\ufffd"
+    assert h.decoded("&#" + "0" * 5000 + "65;&#x0041;&#65;&#x41") == "AAAA" and h.decoded("&amp;#65;") == "&#65;"
