@@ -8,8 +8,8 @@
    wins over blocks, a block without an allow is passed on to every member without a rule, and without either
    the verdict is ``default``. Explicit rules of a page itself always stand.
 
-Scale: rules never shuffle; only pages' keys do. Decisions are reduced by a map-side aggregation per component and
-only components that change a verdict are joined back.
+Scale: rules never shuffle; only keys of pages without a rule do. Decisions are reduced by a map-side aggregation per
+component and only components that change a verdict are joined back; a very common address is split by the engine's skew join.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, fits no rule, has no aliases and gets the
 default; null or broken html has no edges; repeated rows each get their verdict; an empty table gives an empty
@@ -127,7 +127,10 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFr
     other = F.when(F.col("a"), "allow").when(F.col("b"), "block").otherwise(default)
     changed = decided.select("component", other.alias("passed")).where(F.col("passed") != default)
     changed = said.select("key", "component").join(changed, "component").select(F.col("key").alias("k"), "passed")
-    out = base.join(changed, F.col("key") == F.col("k"), "left")
+    # Only rows that no rule decides ask their component; rows without an address have none, and would be one key.
+    asks = F.col("action").isNull() & F.col("key").isNotNull()
+    asked = base.where(asks).join(changed, F.col("key") == F.col("k"), "left").select(*base.columns, "passed")
+    out = asked.unionByName(base.where(~asks).withColumn("passed", F.lit(None).cast("string")))
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", "passed", F.lit(default)).alias("verdict"))
 
 
@@ -145,7 +148,7 @@ with recursive p as (
   select page_id, url, html,
          translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') as path,
-         regexp_replace(regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)', 1), '(?:utm_[a-z]+|gclid|fbclid|ref)=[^&#]*&?', '', 'g'), '&$', '') as query
+         regexp_replace(regexp_replace(regexp_extract(url, '(?s)^.*?://[^/?#]*[^?#]*\?([^#]*)', 1), '(^|&)(?:(?:utm_[a-z]+|gclid|fbclid|ref)=[^&#]*(?:&|$))+', '\1', 'g'), '&$', '') as query
   from pages),
 k as (
   select *, case when contains(url, '://') then host || regexp_replace(path, '/+$', '') || case when query <> '' then '?' || query else '' end end as key,
