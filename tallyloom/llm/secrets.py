@@ -1,12 +1,12 @@
 """Secret scans with a trigram inverted index (DataFrame operations only).
 
 1. Each rule's regular expression gives a Boolean trigram query (``trigrams.trigram_query``).
-2. The index: postings (trigram, document) of the trigrams that some rule asks for, over the lower-cased texts.
-3. Postings are joined with the rules' alternatives (a literal table bounded by the rules) and counted by document: an alternative
-   holds if all its trigrams are there, a clause if one alternative does, a rule is a candidate if all clauses do.
-   Counting by document means that a trigram of every document is no hot key.
-4. Candidates are joined back to the texts and the expressions run only there. A rule without a mandatory
-   trigram (hex runs) scans every text.
+2. The index: for each chunk of the documents (about ``chunk`` of them, by a hash of the key) a posting list of each trigram that
+   some rule asks for, over the lower-cased texts. A trigram that every document has is a list a chunk, never one hot key.
+3. A rule's query is evaluated on the lists of a chunk: an alternative intersects the postings of its trigrams, a
+   clause unites its alternatives, the rule intersects its clauses; what is left are its candidates.
+4. Candidates meet their texts again, behind a filter of their keys of bounded size, so only candidates' texts move; the
+   expressions run only there. A rule without a mandatory trigram (hex runs) scans every text.
 
 Spans are [start, end) in code points: ``split`` gives the gaps between matches and ``regexp_extract_all``
 the matches, both leftmost and non-overlapping, so running lengths give the places.
@@ -26,7 +26,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import materialize
+from tallyloom.llm.common import let, materialize
+from tallyloom.llm.idfilter import may_hold
 from tallyloom.llm.trigrams import trigram_query
 
 
@@ -54,8 +55,8 @@ _PEM_BLOCK = r"[\x20\t\r\n\\nr]*(?:[A-Za-z0-9+/]{40,}[A-Za-z0-9+/=\x20\t\r\n\\]*
 #: The three base kinds, then formats of widely used credentials.
 RULES = [
     SecretRule("assign", rf"({_KEYS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6, True),
-    SecretRule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
-    SecretRule("hex", r"[0-9a-f]+", 0, 24, True),
+    SecretRule("access", r"AKIA[A-Z0-9]{16,}", 0, 20, True),  # the same matches as of AKIA[A-Z0-9]+ with 20 characters or more
+    SecretRule("hex", r"[0-9a-f]{24,}", 0, 24, True),  # and of [0-9a-f]+ with 24 or more, without the shorter runs
     SecretRule("pem", f"{_PEM}(?:{_PEM_END}|{_PEM_HEADERS}{_PEM_BLOCK})?"),
     SecretRule("github", r"gh[opsur]_[A-Za-z0-9]{36,}"),
     SecretRule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -65,12 +66,16 @@ RULES = [
 ]
 
 
+PART = 256  # matches that are put in one array at a time
+
+
 def _places(text: Column, rule: SecretRule, number: int) -> Column:
     """array<struct<start, rule, end>> of the matches that are long enough."""
     gaps = F.split(text, rule.pattern, -1)
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     counted = found if not rule.group else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     empty = F.array().cast("array<struct<start:long,rule:int,end:long>>")
+    none = F.array().cast("array<array<struct<start:long,rule:int,end:long>>>")
     row = F.arrays_zip(gaps.alias("g"), found.alias("f"), counted.alias("c"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -80,36 +85,68 @@ def _places(text: Column, rule: SecretRule, number: int) -> Column:
         keep = x["f"].isNotNull() & (F.length(x["c"]) >= rule.least)
         return F.struct(end.cast("long").alias("at"), F.when(keep, F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
-    spans = F.aggregate(row, begin, add, lambda acc: acc["out"])
-    return F.when(text.rlike(rule.pattern), spans).otherwise(empty)
+    def spans(rows: Column) -> Column:
+        # An array is copied when it grows: matches are gathered by parts, so that many of them cost no square.
+        def part(acc: Column, i: Column) -> Column:
+            begin = F.struct(acc["at"].alias("at"), empty.alias("out"))
+            return let(
+                F.aggregate(F.slice(rows, i * PART + 1, F.lit(PART)), begin, add),
+                lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], F.array(p["out"])).alias("out")),
+            )
+
+        begin = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / PART).cast("int")), begin, part, lambda acc: F.flatten(acc["out"]))
+
+    return F.when(text.rlike(rule.pattern), let(row, spans)).otherwise(empty)
 
 
 def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def candidates(docs: DataFrame, rules: list[SecretRule]) -> DataFrame:
+def candidates(docs: DataFrame, rules: list[SecretRule], chunk: int = 20_000) -> DataFrame:
     """(secret_key, secret_rules): numbers of the rules whose trigram query a document satisfies."""
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     wanted = sorted({t for q in queries.values() for clause in q for alt in clause for t in alt})
-    rows = [(i, c, a, t, len(alt), len(q)) for i, q in queries.items() for c, clause in enumerate(q) for a, alt in enumerate(clause) for t in sorted(alt)]
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(rows or [(0, 0, 0, "", 1, 1)], "rule int, clause int, alt int, trigram string, need int, clauses int"))
-    low = F.lower("text")
-    has = F.filter(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted] or [F.lit(None).cast("string")]), lambda t: t.isNotNull())
-    postings = docs.where("text is not null").select(_key().alias("secret_key"), low.alias("low")).select("secret_key", F.explode(has).alias("trigram"))
-    met = postings.join(table, "trigram").groupBy("secret_key", "rule", "clauses", "clause", "alt", "need").agg(F.countDistinct("trigram").alias("n")).where("n = need")
-    good = met.groupBy("secret_key", "rule", "clauses").agg(F.countDistinct("clause").alias("n")).where("n = clauses")
-    return good.groupBy("secret_key").agg(F.collect_set("rule").alias("secret_rules"))
+    if not wanted:
+        return docs.select(_key().alias("secret_key"), F.array().cast("array<int>").alias("secret_rules")).limit(0)
+    has = F.filter(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in wanted]), lambda t: t.isNotNull())
+    postings = docs.where("text is not null").select(_key().alias("secret_key"), F.lower("text").alias("low")).select("secret_key", F.explode(has).alias("trigram"))
+    postings = materialize(postings, "secret-postings")
+    # About five postings a document: a chunk's lists hold as many keys, whatever the corpus.
+    chunks = max(1, -(-postings.count() // (5 * chunk)))
+    lists = postings.groupBy(F.pmod("secret_key", F.lit(chunks)).alias("chunk"), "trigram").agg(F.collect_set("secret_key").alias("keys"))
+    index = lists.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("index"))
+    none = F.array().cast("array<bigint>")
+
+    def meet(columns: list[Column]) -> Column:
+        out = columns[0]
+        for c in columns[1:]:
+            out = F.array_intersect(out, c)
+        return out
+
+    def answer(index: Column, query) -> Column:
+        posting = lambda t: F.coalesce(F.try_element_at(index, F.lit(t)), none)
+        clauses = []
+        for clause in query:
+            alternatives = [meet([posting(t) for t in sorted(alt)]) for alt in clause]
+            clauses.append(F.array_distinct(F.flatten(F.array(*alternatives))))
+        return meet(clauses)
+
+    found = F.array(*[F.struct(F.lit(i).alias("rule"), answer(F.col("index"), q).alias("keys")) for i, q in queries.items()])
+    hits = index.select(F.explode(found).alias("hit")).select("hit.rule", F.explode("hit.keys").alias("secret_key"))
+    return hits.groupBy("secret_key").agg(F.collect_set("rule").alias("secret_rules"))
 
 
 def scan(docs: DataFrame, rules: list[SecretRule] = RULES) -> DataFrame:
     """``docs`` with secret_spans: array<struct<start, rule, end>>, in order of start, then of the rules."""
     docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("secret_")])
     known = materialize(candidates(docs.select("doc_id", "text"), rules), "secret-candidates").withColumnRenamed("secret_key", "secret_of")
-    # Candidates grow with the corpus: never broadcast them; hash them beside the texts.
-    d = docs.withColumn("secret_key", _key()).join(known.hint("shuffle_hash"), F.col("secret_key") == F.col("secret_of"), "left")
+    d = docs.withColumn("secret_key", _key())
+    may = may_hold(known, "secret_of", F.col("secret_key"))
+    # Candidates grow with the corpus: never broadcast them; hash them beside the few texts that may be theirs.
+    met = d.where(may).join(known.hint("shuffle_hash"), F.col("secret_key") == F.col("secret_of"), "left")
+    d = met.unionByName(d.where(~may).withColumn("secret_of", F.lit(None).cast("long")).withColumn("secret_rules", F.lit(None).cast("array<int>")))
     text = F.coalesce("text", F.lit(""))
     empty = F.array().cast("array<struct<start:long,rule:int,end:long>>")
     parts = []

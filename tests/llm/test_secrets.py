@@ -31,6 +31,29 @@ def by_hand(text):
     return count(0), count(1), count(2), hashlib.sha256(base.encode()).hexdigest(), ",".join(shown)
 
 
+def test_bounded_patterns_find_the_same():
+    """The registered forms of the base kinds against the ones as specified: longest matches, short ones dropped."""
+    rnd = random.Random(11)
+    given = {"access": (r"AKIA[A-Z0-9]+", 20), "hex": (r"[0-9a-f]+", 24)}
+    for r in secrets.RULES:
+        if r.kind in given:
+            pattern, least = given[r.kind]
+            for _ in range(3000):
+                t = "".join(rnd.choice(["AKIA", "A", "K", "Z9", "deadbeef", "0a", "f" * 11, "g", " ", "-"]) for _ in range(rnd.randint(1, 14)))
+                want = [m.span() for m in re.finditer(pattern, t) if len(m[0]) >= least]
+                assert [m.span() for m in re.finditer(r.pattern, t) if len(m[0]) >= r.least] == want, t
+
+
+def test_many_matches_and_chunks(spark):
+    many = " ".join(f"{'%024x' % i} token=abcdef{i}" for i in range(1500))
+    docs = spark.createDataFrame([(i, f"{many} {i}", "en", "s", 0) for i in range(3)] + [(i, f"secret = hunter{i:04}", "en", "s", 0) for i in range(10, 60)], DOCS)
+    want = sorted(repr((r["doc_id"], *by_hand(r["text"]))) for r in docs.collect())
+    assert sorted(repr(tuple(r)) for r in secrets.report(docs).collect()) == want
+    few, one = secrets.candidates(docs, secrets.RULES, chunk=5), secrets.candidates(docs, secrets.RULES)
+    rows = lambda d: sorted((r["secret_key"], sorted(r["secret_rules"])) for r in d.collect())
+    assert rows(few) == rows(one) and len(rows(one)) == 53
+
+
 def texts_frame(spark):
     return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(TEXTS)], DOCS)
 
@@ -61,7 +84,7 @@ def test_trigram_queries_never_lose_a_match():
                 if re.search(r.pattern, t2):
                     low = t2.lower()
                     assert all(any(all(g in low for g in alt) for alt in clause) for clause in query), (r.kind, t2)
-    assert trigram_query("[0-9a-f]+") == [] and trigram_query("ab") == []
+    assert trigram_query("[0-9a-f]{24,}") == trigram_query("[0-9a-f]+") == [] and trigram_query("ab") == []
     assert trigram_query("(abc|de)x*") == [] and trigram_query("a(bc|de)f") == [[frozenset({"abc", "bcf"}), frozenset({"ade", "def"})]]
     assert trigram_query("abcd(x|y)?") == [[frozenset({"abc", "bcd"})]]
 
