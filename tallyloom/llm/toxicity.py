@@ -5,14 +5,15 @@
    beginnings that many such words share become stems (inflected forms then match though never seen).
 2. Matching. Terms and stems form a trie. A word of a text is matched by walking the trie and the word's
    Levenshtein automaton together: a state is the set of (position, edits) the automaton can be in, kept
-   as one bit vector per number of edits, and a branch is cut once no state is alive. Terms under
-   ``FUZZY`` letters and stems match exactly only.
+   as one bit vector per number of edits, and a branch is cut once no state is alive. An edit inserts, drops or replaces a
+   letter or swaps two neighbours; terms of ``FUZZY`` letters take one, of ``LONG`` letters two. Shorter terms and stems match exactly only.
 3. Context. Each hit has a window of ``WINDOW`` words on both sides. Quotation marks that enclose it and
    words of reporting lower its weight, address and a further hit raise it. The features of a document
    (exact, misspelled, stem hits, quoted and unquoted, per length) go to a logistic model
-   fitted on the sample.
+   fitted on the sample; no weight is negative, so a hit never speaks for a document.
 
-Bounds: ``most`` labelled documents; ``terms`` words and ``stems`` stems at most.
+Bounds: ``most`` labelled documents; ``terms`` words and ``stems`` stems at most. A term is in four toxic documents of the sample at
+least, between six different pairs of neighbours; rarer ones can't be told from chance.
 
 Defined cases: null and empty text have no hit and score the model's bias; a table without labels of both
 classes gives the share of label 1 (0.5 without any); rows are scored one by one, so repeated rows
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import fold, labelled_sample, materialize
 
-FUZZY, WINDOW = 5, 8
+FUZZY, LONG, WINDOW = 5, 9, 8
 TOKEN = re.compile(r"[^\W_]+|[\"“”„«»‘’]")
 QUOTES = frozenset("\"“”„«»‘’")
 REPORTING = frozenset("said says wrote quoted called quote reported claimed alleged dit écrit cité sagte schrieb zitiert dijo escribió citado".split())
@@ -74,28 +75,30 @@ class Trie:
         places: dict[str, int] = {}
         for i, ch in enumerate(word):
             places[ch] = places.get(ch, 0) | 1 << i
-        # state: one bit vector per number of edits; bit i: i letters of the word are read
-        start = [1]
+        # state: one bit vector per number of edits; bit i: i letters of the word are read. The second vector holds
+        # places where the term's last letter was the word's next but one, so that its next may complete a swap.
+        start = [(1, 0)]
         for _ in range(edits):
-            start.append(start[-1] | start[-1] << 1 & full)
+            start.append((start[-1][0] | start[-1][0] << 1 & full, 0))
         best: tuple[int, int] | None = None
         todo = [(self, start)]
         while todo:
             node, state = todo.pop()
             if node.end >= 0 and not node.stem:
-                for e, bits in enumerate(state):
+                for e, (bits, _) in enumerate(state):
                     if bits & accept and (best is None or (e, node.end) < (best[1], best[0])):
                         best = (node.end, e)
                         break
             for ch, child in node.next.items():
                 at, new = places.get(ch, 0), []
-                for e, bits in enumerate(state):
-                    to = (bits & at) << 1
+                for e, (bits, half) in enumerate(state):
+                    to, swap = (bits & at) << 1 | (half & at) << 2, 0
                     if e:
-                        prev = state[e - 1]
-                        to |= prev | prev << 1 | new[e - 1] << 1  # insert, replace, delete
-                    new.append(to & full)
-                if new[-1] or any(new):
+                        prev = state[e - 1][0]
+                        to |= prev | prev << 1 | new[e - 1][0] << 1  # insert, replace, delete
+                        swap = prev & at >> 1
+                    new.append((to & full, swap))
+                if any(bits or half for bits, half in new):
                     todo.append((child, new))
         return best
 
@@ -116,11 +119,16 @@ class Matcher(dict):
     def __init__(self, terms: list[str], stems: list[str]):
         super().__init__()
         self.trie = Trie.of(terms, stems)
-        self.fuzzy = Trie.of([t for t in terms if len(t) >= FUZZY], [])
-        sizes = [len(t) for t in terms if len(t) >= FUZZY]
-        self.low, self.high = min(sizes, default=99) - 1, max(sizes, default=0) + 1
-        # One edit leaves the first two or the last two letters of a term as they are.
-        self.heads, self.tails = ({t[:2] for t in terms if len(t) >= FUZZY}, {t[-2:] for t in terms if len(t) >= FUZZY})
+        self.fuzzy = []
+        for edits, some in ((1, [t for t in terms if FUZZY <= len(t) < LONG]), (2, [t for t in terms if len(t) >= LONG])):
+            # Of ``edits`` + 1 pieces of a term one stays whole: a word without any of their first letters needs no walk.
+            heads = {t[i * len(t) // (edits + 1) :][:2] for t in some for i in range(edits + 1)}
+            sizes = [len(t) for t in some] or [-9]
+            self.fuzzy.append((edits, Trie.of(some, []), heads, min(sizes) - edits, max(sizes) + edits))
+
+    def misspelled(self, word: str) -> bool:
+        pairs = {word[i : i + 2] for i in range(len(word) - 1)}
+        return any(low <= len(word) <= high and not heads.isdisjoint(pairs) and trie.within(word, edits) is not None for edits, trie, heads, low, high in self.fuzzy)
 
     def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
@@ -128,10 +136,8 @@ class Matcher(dict):
         low = word.lower()
         if (hit := self.trie.exact(low)) is not None:
             kind = 1 if hit[0] == "term" else 2
-        elif self.low <= len(low) <= self.high and (low[:2] in self.heads or low[-2:] in self.tails) and self.fuzzy.within(low, 1) is not None:
-            kind = 3
         else:
-            kind = 0
+            kind = 3 * self.misspelled(low)
         self[word] = kind
         return kind
 
@@ -193,23 +199,33 @@ def lexicon(sample: DataFrame, terms: int = 5000, stems: int = 500) -> tuple[lis
     for s in sorted((r["s"] for r in heads.select("s").collect()), key=len):
         if not any(s.startswith(f) for f in found) and not any(c.startswith(s) and len(c) - len(s) < 2 for c in chosen):
             found.append(s)
-    return [w for w in chosen if not any(w.startswith(f) for f in found)], found
+    return chosen, found
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int = 60) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Ridge-penalised logistic regression by Newton's method on standardised features."""
+    """Ridge-penalised logistic regression by Newton's method on standardised features, with weights of at least 0.
+
+    Features whose weight comes out negative leave one after another, the most negative first, until none is.
+    """
     mean, scale = x.mean(0), np.where(x.std(0) > 1e-9, x.std(0), 1.0)
-    z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
-    ridge = np.full(len(w), penalty * len(y) / 10)
-    ridge[-1] = 1e-6
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-9), z.T @ (p - y) + ridge * w)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+    left = list(range(x.shape[1]))
+    while True:
+        z = np.hstack([((x - mean) / scale)[:, left], np.ones((len(x), 1))])
+        w = np.zeros(z.shape[1])
+        ridge = np.full(len(w), penalty * len(y) / 10)
+        ridge[-1] = 1e-6
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-9), z.T @ (p - y) + ridge * w)
+            w -= step
+            if np.abs(step).max() < 1e-8:
+                break
+        if not left or w[:-1].min() >= 0:
             break
-    return w[:-1], float(w[-1]), mean, scale
+        left.pop(int(w[:-1].argmin()))
+    weights = np.zeros(x.shape[1])
+    weights[left] = w[:-1]
+    return weights, float(w[-1]), mean, scale
 
 
 def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int = 3, held: int = 1, most: int = 12_000) -> Model:

@@ -78,13 +78,71 @@ def test_awkward(module, awkward_docs, empty_docs, labels, no_labels):
 
 
 def edit_distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+    """Letters inserted, dropped or replaced and neighbours swapped; a swapped pair isn't edited again."""
+    d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
+
+
+def test_misspelled_words_against_distances():
+    """What the matcher calls misspelled, by brute force over the terms: one edit from five letters on, two from nine."""
+    rnd = random.Random(9)
+    terms = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randint(3, 12))) for _ in range(40)})
+    m = toxicity.Matcher(terms, [])
+    for _ in range(1500):
+        t = list(rnd.choice(terms))
+        for _ in range(rnd.randint(0, 3)):
+            k = rnd.randrange(len(t))
+            t[k : k + 1] = rnd.choice([[], [rnd.choice("abcd")], [t[k], rnd.choice("abcd")], t[k : k + 2][::-1][:1]]) or ["a"]
+        w = "".join(t)
+        near = any(edit_distance(w, x) <= (2 if len(x) >= 9 else 1) for x in terms if len(x) >= 5)
+        assert m[w] == (1 if w in terms else 3 if near else 0), w
+
+
+def score_by_hand(text, model):
+    """Features and score of a text, in plain Python."""
+    tokens = toxicity.TOKEN.findall(text or "")
+
+    def kind(w):
+        w = w.lower()
+        if w in model.terms:
+            return 1
+        if any(w.startswith(s) for s in model.stems):
+            return 2
+        return 3 if any(edit_distance(w, t) <= (2 if len(t) >= 9 else 1) for t in model.terms if len(t) >= 5) else 0
+
+    kinds = [kind(t) for t in tokens]
+    n, free, best, m = [0, 0, 0], [0, 0, 0], 0.0, 8
+    for i, k in enumerate(kinds):
+        if not k:
+            continue
+        left, right, around = tokens[max(0, i - m) : i], tokens[i + 1 : i + 1 + m], range(max(0, i - m), min(len(tokens), i + 1 + m))
+        quoted = any(t in toxicity.QUOTES for t in left) and any(t in toxicity.QUOTES for t in right)
+        words = {tokens[j].lower() for j in around}
+        w = (0.4 if quoted else 1) * (0.7 if quoted and words & toxicity.REPORTING else 1) * (1.2 if words & toxicity.ADDRESS else 1)
+        w *= 1 + 0.5 * min(2, sum(1 for j in around if kinds[j]) - 1)
+        n[k - 1] += 1
+        free[k - 1] += not quoted
+        best = max(best, w * (0.5 if k == 3 else 1))
+    x = [*np.log1p(n), *np.log1p(free), best, np.log1p(100 * sum(n) / max(1, len(tokens))), float(n[0] + n[1] > 0)]
+    z = float(((np.array(x) - model.mean) / model.scale) @ model.weights + model.bias)
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_against_brute_force(spark):
+    docs, labels = labelled(spark, insult, 200)
+    more = ["", None, 'he said "blockhead" there', "you blockhead, you nitwittery", "blokchead", "nitwitetry here", "“dunderpate” she wrote", "a " * 3000 + "dunderpate"]
+    docs = docs.unionByName(spark.createDataFrame([(900 + i, t, "en", "s", 0) for i, t in enumerate(more)], DOCS))
+    model = toxicity.train(docs, labels)
+    assert model.weights.min() >= 0 and model.terms
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        assert abs(got[r["doc_id"]] - score_by_hand(r["text"], model)) < 1e-9
+    assert got[904] > got[900] and got[905] > got[900]  # a swap of neighbours is a misspelling
 
 
 def test_automaton_against_distances():
@@ -102,7 +160,7 @@ def test_automaton_against_distances():
 
 def test_stems_and_quotes():
     m = toxicity.Matcher(["blockhead"], ["dund"])
-    assert m["Blockhead"] == 1 and m["dunderpate"] == 2 and m["blockhaed"] == 0 and m["blokhead"] == 3 and m["fine"] == 0
+    assert m["Blockhead"] == 1 and m["dunderpate"] == 2 and m["blockhaed"] == 3 and m["blohekcad"] == 0 and m["blokhead"] == 3 and m["fine"] == 0
     insult_ = toxicity.features("you are a blockhead", m)
     quoted = toxicity.features('he wrote "you are a blockhead" in it', m)
     assert insult_[6] > quoted[6] and insult_[3] > quoted[3] == 0
