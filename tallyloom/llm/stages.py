@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import mixing, nbsvm, secrets
 from tallyloom.llm.bpe import encode_documents
-from tallyloom.llm.common import load
+from tallyloom.llm.common import load, materialize
+from tallyloom.llm.idfilter import may_hold
 from tallyloom.llm.near_dedup import near_duplicates
 
 
@@ -34,14 +35,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five-word shingles, similarity 0.8): the one of smallest id.
 
-    Rows repeated with one id leave the row of smallest text; rows without an id all stay.
+    An id is one document: its repeated rows leave the row of smallest text; rows without an id all stay. Only rows that may be
+    near copies or share their id (a filter of ids of bounded size tells the others) are moved.
     """
     gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    alone, nth = fresh(docs, "alone"), fresh(docs, "nth")
-    order = Window.partitionBy("doc_id", alone).orderBy("text", "source")
-    left = left.withColumn(alone, F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return left.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns)
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    odd = materialize(gone.select("doc_id", F.lit(True).alias("gone")).unionByName(twice.select("doc_id", F.lit(False).alias("gone"))), "odd-ids")
+    may = may_hold(odd, "doc_id", F.col("doc_id"))
+    some = docs.where(may).join(odd.where("gone").select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    nth = fresh(docs, "nth")
+    order = Window.partitionBy("doc_id").orderBy("text", "source")
+    some = some.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns)
+    return some.unionByName(docs.where(~may))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

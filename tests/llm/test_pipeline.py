@@ -57,3 +57,23 @@ def test_run(spark, awkward_docs, empty_docs, labels, no_labels, tmp_path):
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns) and out.count() >= 0
     sf = tables(spark, tmp_path / "b", empty_docs, no_labels)
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_near_dedup_stage_with_a_hot_group_and_repeated_ids(spark, corpus, tmp_path):
+    """A third of the rows are near copies of one text, others repeat an id or have none: by brute force over ids."""
+    import random
+
+    rnd, rows = random.Random(21), [tuple(r) for r in corpus.collect()]
+    base = [f"b{rnd.randrange(500)}" for _ in range(90)]
+    for i in range(60):
+        t = list(base)
+        t[rnd.randrange(90)] = f"e{rnd.randrange(9)}"
+        rows.append((1000 + i, " ".join(t), "en", "hot", 0))
+    rows += [(1000, rows[-1][1], "en", "hot", 0), (3, "z other text of the same id", "en", "s", 0), (None, "no id", "en", "s", 0), (None, "no id", "en", "s", 0), (4000, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, corpus.schema).repartition(5)
+    got = [r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, docs, "").collect()]
+    assert got.count(None) == 2 and len([g for g in got if g is not None]) == len({g for g in got if g is not None})
+    near = by_hand([(d, t) for d, t in {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None and not (r["doc_id"] == 3 and r["text"].startswith("z "))}.items()], 5, 80)
+    want = {low for _, low in near.values()}
+    assert {g for g in got if g is not None} - {3} == want - {3}
+
