@@ -27,6 +27,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tallyloom.llm.common import tidy
+
 LEAF = 16  # bytes
 _NONE = 1 << 60
 
@@ -169,4 +171,4 @@ def encode_documents(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken", with_
             yield frame(out)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), schema)

@@ -33,8 +33,38 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tallyloom", "zip", root, "tallyloom"))
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def tidy(run):
+    """``run`` over the batches of a task; then the memory that it used goes back, since workers stay for later tasks."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of documents; sessions with the default size of Arrow batches (10,000 rows of text) get smaller ones."""
     ship_package(spark)
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tallyloom.llm.boosting import Boosted, boost
+from tallyloom.llm.common import tidy
 
 #: HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -433,4 +434,4 @@ def main_text(pages: DataFrame, chunk: int = 200) -> DataFrame:
                 texts += extract(html[i : i + chunk], trees)
             yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInPandas(tidy(run), "page_id long, url string, text string, n_chars long")

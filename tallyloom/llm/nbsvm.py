@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import fold, labelled_sample, sigmoid_fit
+from tallyloom.llm.common import fold, labelled_sample, sigmoid_fit, tidy
 
 BITS = 18
 _MASK = np.uint64((1 << BITS) - 1)
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", folds: in
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "f": [features(t, known).astype(np.int32) for t in pdf["text"]]})
 
-    got = sample.mapInPandas(run, "doc_id long, y int, f array<int>").toArrow().combine_chunks()
+    got = sample.mapInPandas(tidy(run), "doc_id long, y int, f array<int>").toArrow().combine_chunks()
     if not got.num_rows:
         return fit([], np.empty(0))
     lists = got.column("f").combine_chunks()
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 5,
             for batch in batches:
                 yield batch.filter(pa.array(scored(batch.column("text").to_pylist(), known) >= threshold, pa.bool_()))
 
-        return docs.mapInArrow(filtered, docs.schema)
+        return docs.mapInArrow(tidy(filtered), docs.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
@@ -178,5 +178,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 5,
             s = scored(pdf["text"], known)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
-    out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    out = docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, score double, predicted int")
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", "predicted")

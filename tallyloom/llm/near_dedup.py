@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import discard, materialize
+from tallyloom.llm.common import discard, materialize, tidy
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.idfilter import may_hold
 from tallyloom.llm.shingles import WordHashes, shingle_set
@@ -87,7 +87,7 @@ def _signer(k: int, m: int, seed: int = 11):
 
 def signatures(docs: DataFrame, k: int, m: int) -> DataFrame:
     schema = "doc_id long, n_shingles long, digest binary, keys array<long>"
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(_signer(k, m), schema)
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(tidy(_signer(k, m)), schema)
 
 
 def candidate_clusters(reps: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def _linker(k: int, percent: int):
 def _blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
     """``rows``: (block, doc, side, text) -> links (u, v)."""
     dealt = rows.select("block", "doc", "side", "text").repartition("block").sortWithinPartitions("block")
-    return dealt.mapInPandas(_linker(k, percent), "u long, v long")
+    return dealt.mapInPandas(tidy(_linker(k, percent)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, recall: float = 0.9995, block: int = 400_000) -> DataFrame:
@@ -286,7 +286,7 @@ def _across_blocks(big: DataFrame, part: DataFrame, k: int, percent: int, block:
             at = np.flatnonzero(total)
             yield pd.DataFrame({"slot": at, "n": total[at]})
 
-    seen = sample.mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    seen = sample.mapInPandas(tidy(count), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
     counts = np.zeros(SLOTS, np.int32)
     counts[seen["slot"].to_numpy(np.int64)] = np.minimum(seen["n"].to_numpy(np.int64), 2**31 - 1)
 
@@ -302,7 +302,7 @@ def _across_blocks(big: DataFrame, part: DataFrame, k: int, percent: int, block:
             out = {c: np.repeat(pdf[c].to_numpy(), size) for c in ("cluster", "doc", "asks", "n_shingles")}
             yield pd.DataFrame(out | {"token": np.concatenate(tokens)}).astype({"asks": "Int32"})
 
-    tokens = rows.select("cluster", "doc", "asks", "n_shingles", "text").mapInPandas(prefixes, "cluster long, doc long, asks int, n_shingles long, token long")
+    tokens = rows.select("cluster", "doc", "asks", "n_shingles", "text").mapInPandas(tidy(prefixes), "cluster long, doc long, asks int, n_shingles long, token long")
     tokens = materialize(tokens, "prefixes")
     asked = tokens.where("asks is not null").groupBy("cluster", "token", F.col("asks").alias("to")).agg(F.min("doc").alias("a"), F.max("doc").alias("b"))
     met = tokens.join(asked, ["cluster", "token"]).where("a <> b or a <> doc").groupBy("cluster", "doc", "to").agg(F.first("n_shingles").alias("n"))

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import fold, labelled_sample, materialize
+from tallyloom.llm.common import fold, labelled_sample, materialize, tidy
 
 FUZZY, LONG, WINDOW = 5, 9, 8
 TOKEN = re.compile(r"[^\W_]+|[\"“”„«»‘’]")
@@ -237,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", folds: int
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "f": [features(t, matcher) for t in pdf["text"]]})
 
-    got = sample.mapInPandas(run, "doc_id long, y int, f array<double>").toPandas().sort_values("doc_id", kind="stable")
+    got = sample.mapInPandas(tidy(run), "doc_id long, y int, f array<double>").toPandas().sort_values("doc_id", kind="stable")
     y = got["y"].to_numpy(dtype=np.float64)
     if not len(y) or y.min() == y.max():
         p = min(max(float(y.mean()) if len(y) else 0.5, 1e-3), 1 - 1e-3)
@@ -255,5 +255,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, folds: int = 3,
             s = 1 / (1 + np.exp(-np.clip(((x - model.mean) / model.scale) @ model.weights + model.bias, -30, 30)))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
-    out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double, predicted int")
+    out = docs.select("doc_id", "text").mapInPandas(tidy(run), "doc_id long, score double, predicted int")
     return out.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", "predicted")
