@@ -56,6 +56,11 @@ def ratio(a: Column, b: Column, empty: float | None = None) -> Column:
     return r if empty is None else F.coalesce(r, F.lit(empty))
 
 
+def reported(value: Column, places: int = 6) -> Column:
+    """M6: rounded as reports show it: 6 places of a cost, 4 of a total, 2 of a time."""
+    return F.round(value.cast("double"), places)
+
+
 def synth_projection(n: Column, prefix: int, suffix: int, output: int, price_in: float, price_cached: float, price_out: float) -> Column:
     """One request creates the cached prefix, the others read it."""
     made = prefix / MILLION * price_in * 1.25

@@ -86,6 +86,21 @@ def json_object(*columns: Column) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def merged(base: Column, *over: Column) -> Column:
+    """A shallow merge of maps: of a key that several have the last one's value stays, nulls included."""
+    none = F.create_map().cast("map<string,string>")
+    out = F.coalesce(base, none)
+    for m in over:
+        own = F.map_keys(F.coalesce(m, none))
+        out = F.map_concat(F.map_filter(out, lambda k, _: ~F.array_contains(own, k)), F.coalesce(m, none))  # noqa: B023  (used at once)
+    return out
+
+
+def iso_stamp(ts: Column) -> Column:
+    """A UTC time with its zone; the session's time zone is UTC."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
 def stamp(ts: Column) -> Column:
     """D3."""
     return F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'")

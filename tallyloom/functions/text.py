@@ -285,6 +285,12 @@ def tokenizer_udf(make, limit: int | None = None):
     return encode
 
 
+def hashed_ids(c: Column, limit: int, size: int = 50_000, pattern: str = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]") -> Column:
+    """T33 without a model's vocabulary: ids of regular-expression tokens by a hash, the first ``limit`` of them."""
+    tokens = F.slice(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), 1, limit)
+    return F.transform(tokens, lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % size).cast("int"))
+
+
 def attention_mask(ids: Column) -> Column:
     """T33."""
     return F.transform(ids, lambda _: F.lit(1))

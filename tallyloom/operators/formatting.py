@@ -46,6 +46,13 @@ def routed(df: DataFrame, output: str, status: str, stop: str, known: Column) ->
     return d.withColumn("route", route)
 
 
+def routed_synth(df: DataFrame, output: str, status: str, expected: Column) -> DataFrame:
+    """K9: batch_error, parse_error (with its reason) or ok of synthesised targets; one partitioned write stores all routes."""
+    d = df.withColumn("checked", text.validate_synth(F.col(output), expected))
+    route = F.when(F.col(status) != "succeeded", "batch_error").when(F.col("checked.ok"), "ok").otherwise("parse_error")
+    return d.withColumn("route", route).withColumn("reason", F.when(route == "parse_error", F.col("checked.reason"))).drop("checked")
+
+
 def cross_checked(base: DataFrame, first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """Two optional verdicts beside the label, with the disagreement of those there are."""
     a = first.select(key, F.col("verdict").alias("verdict_b"))

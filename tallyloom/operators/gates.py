@@ -93,6 +93,14 @@ def mask_sanity(df: DataFrame, labels: str) -> DataFrame:
     return df.agg(F.count_if(bad).alias("bad"), F.count("*").alias("n")).select(F.lit("mask").alias("gate"), F.when((F.col("bad") == 0) & (F.col("n") > 0), "PASS").otherwise("FAIL").alias("decision"), F.format_string("%d of %d rows", "bad", "n").alias("reason"))
 
 
+def dry_run_complete(meta: DataFrame, size: int, tolerance: float) -> DataFrame:
+    """G12 over (n_records, ratio), a row or none: the dry run is there, whole, and within its length gate."""
+    one = meta.agg(F.count("*").alias("rows"), F.max("n_records").alias("n"), F.max("ratio").alias("r"))
+    n, r = F.coalesce("n", F.lit(0)), F.coalesce("r", F.lit(0.0))
+    reason = F.when(F.col("rows") == 0, "no dry run").when(n != size, F.format_string("%d of %d records", n, F.lit(size))).when(r > tolerance, "length gate failed").otherwise("complete")
+    return one.select(F.lit("dry_run").alias("gate"), F.when(reason == "complete", "PROCEED").otherwise("STOP").alias("decision"), reason.alias("reason"))
+
+
 def artifacts(present: DataFrame, wanted: DataFrame, floor: int) -> DataFrame:
     """G14 over file tables (name, bytes) and (name): missing and undersized files."""
     j = wanted.join(present, "name", "left")

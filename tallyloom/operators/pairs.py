@@ -70,10 +70,33 @@ def sample_pairs(pairs: DataFrame, targets: dict[str, int], seed: object, per_qu
 
     Each bucket: anti-join what is picked, the first row of each pair id, the first rows of each question, the first
     ``target`` in question-major hash order (a top-n, no sort of the whole). Picked rows are bounded by the targets.
+
+    Order is question-major, so only the first questions in hash order count: a share of them that should hold all targets
+    is read (the cut reaches both sides of the join that made the pairs), and a larger one if it turns out too small.
     """
     base = pairs.withColumn("pair_id", pair_id(F.col("question").cast("string"), F.col("a_model").cast("string"), F.col("b_model").cast("string")))
     base = base.withColumn("_q", hash_order(seed, F.col("question"))).withColumn("_p", hash_order(seed, F.col("question"), F.col("a_key"), F.col("b_key")))
-    base = materialize(base, "pairs")
+    wanted = {p.name: targets[p.name] for p in pools if targets.get(p.name, 0) > 0}
+    below = lambda s: base if s >= 1 else base.where(F.col("_q") < format(int(s * 2**32), "08x"))
+    share = 1 / 64
+    seen_now = below(share).agg(*[F.count_if(F.col(f"in_{n}")).alias(n) for n in wanted]).first() if wanted else {}
+    share = min(1.0, share * max([4 * t / seen_now[n] if seen_now[n] else 64 for n, t in wanted.items()], default=1))
+    while True:
+        out, short = _first_wins(materialize(below(share), "pairs"), targets, per_question, seen, pools)
+        if not short or share >= 1:
+            break
+        share = min(1.0, 8 * share)
+    flip = coin(seed, F.col("pair_id"))
+    swap = lambda x, y: F.when(flip, F.col(y)).otherwise(F.col(x))
+    return out.select(
+        "bucket", "question", "pair_id", swap("a_key", "b_key").alias("a_key"), swap("b_key", "a_key").alias("b_key"),
+        swap("a_model", "b_model").alias("a_model"), swap("b_model", "a_model").alias("b_model"),
+    )
+
+
+def _first_wins(base: DataFrame, targets: dict[str, int], per_question: int, seen: DataFrame | None, pools: list[Pool]) -> tuple[DataFrame, bool]:
+    """(picked rows with their bucket, whether some target was not reached)."""
+    short = False
     taken = seen.select("pair_id") if seen is not None else None
     out: DataFrame | None = None
     for pool in pools:
@@ -86,16 +109,12 @@ def sample_pairs(pairs: DataFrame, targets: dict[str, int], seed: object, per_qu
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("question").orderBy("_q", "_p"))).where(F.col("_n") <= per_question)
         rows = rows.orderBy("_q", "_p").limit(targets[pool.name]).withColumn("bucket", F.lit(pool.name)).drop("_n")
         rows = materialize(rows, "picked")
+        short = short or rows.count() < targets[pool.name]
         out = rows if out is None else out.unionByName(rows)
         taken = rows.select("pair_id") if taken is None else taken.union(rows.select("pair_id"))
     if out is None:
         out = base.limit(0).withColumn("bucket", F.lit("")).select("question", "a_key", "b_key", "a_model", "b_model", "pair_id", "_q", "_p", "bucket")
-    flip = coin(seed, F.col("pair_id"))
-    swap = lambda x, y: F.when(flip, F.col(y)).otherwise(F.col(x))
-    return out.select(
-        "bucket", "question", "pair_id", swap("a_key", "b_key").alias("a_key"), swap("b_key", "a_key").alias("b_key"),
-        swap("a_model", "b_model").alias("a_model"), swap("b_model", "a_model").alias("b_model"),
-    )
+    return out, short
 
 
 def diagnostics(picked: DataFrame, targets: dict[str, int]) -> DataFrame:

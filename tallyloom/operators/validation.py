@@ -81,6 +81,15 @@ def subset(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFra
     return df.join(k, key, "left_semi"), k.join(df, key, "left_anti")
 
 
+def required_subset(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """P20: the rows of the keys; keys without a row fail the query."""
+    found, missing = subset(df, keys, key)
+    n = missing.count()
+    if n:
+        raise KeyError(f"{n} keys without a row, such as {missing.orderBy(key).first()[0]!r}")
+    return found
+
+
 def require_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """P11 on types: the declared columns in order; a missing or different one is an error at once."""
     have = {f.name: f.dataType for f in df.schema.fields}

@@ -123,7 +123,7 @@ def dialogue(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-DIALOGUE = """(select concat_ws('::', u.conv_id, u.turn) as pair_id, u.text as question, a.text as a, substr(u.text, 1, 40) as b,
-  '<think>x</think>Response A says ' || substr(a.text, 1, 30) || ' but response B does not <confidence>4</confidence>' as reasoning,
+DIALOGUE = """(select concat_ws('::', u.conv_id, u.turn) as pair_id, u.text as question, a.text as a, u.text as b,
+  '<think>x</think>Response A says ' || a.text || ' but response B does not <confidence>4</confidence>' as reasoning,
   (['A', 'B', 'TIE'])[(u.conv_id + u.turn) % 3 + 1] as verdict, ((u.conv_id + u.turn) % 5 + 1)::int as confidence
   from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant')"""

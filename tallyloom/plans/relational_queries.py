@@ -102,7 +102,7 @@ def j2_annotate(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_quantity").join(o, "l_orderkey").groupBy("l_orderkey", "o_orderpriority").agg(F.sum("l_quantity").alias("qty"))
 
 
-_PATCH = "(select user_id as c_custkey, case when event_type = 'error' then null else value end as c_acctbal, event_type as note, ts, event_id from events where user_id % 2 = 0)"
+_PATCH = "(select user_id as c_custkey, case when event_type = 'error' then null else value end as c_acctbal, event_type as note, ts, event_id from events)"
 
 
 def _patches(spark, d):
@@ -136,7 +136,7 @@ def j10_compare_runs(spark, d):
 
 
 @query(f"""select pair, base as verdict, tuned as verdict_b, third as verdict_c, case when tuned is null and third is null then null else (not (base = coalesce(tuned, base) and base = coalesce(third, base) and coalesce(tuned, base) = coalesce(third, base)))::varchar end as disagreement from
-  (select b.pair, b.plain as base, t.plain as tuned, s.swapped as third from (select * from {WIDE} where model = 'base') b left join (select * from {WIDE} where model = 'tuned' and pair % 3 = 0) t using (pair) left join (select * from {WIDE} where model = 'base' and pair % 5 = 0) s using (pair))""")
+  (select b.pair, b.plain as base, t.plain as tuned, s.swapped as third from (select * from {WIDE} where model = 'base') b left join (select * from {WIDE} where model = 'tuned') t using (pair) left join (select * from {WIDE} where model = 'base') s using (pair))""")
 def j12_cross_check(spark, d):
     w = wide(spark, d)
     base = w.where("model = 'base'").select("pair", F.col("plain").alias("verdict"))
@@ -221,7 +221,7 @@ def j25_nearest_match(spark, d):
     return j.where(F.startswith("c_name", F.lit("Customer")) & F.contains("n_name", F.substring("c_mktsegment", 1, 1))).select("c_custkey", "n_name")
 
 
-@query(f"select pair, coalesce(b.plain, '') as base, coalesce(t.plain, '') as tuned from (select * from {WIDE} where model = 'base') b left join (select pair, plain from {WIDE} where model = 'tuned' and pair % 2 = 0) t using (pair)")
+@query(f"select pair, coalesce(b.plain, '') as base, coalesce(t.plain, '') as tuned from (select * from {WIDE} where model = 'base') b left join (select pair, plain from {WIDE} where model = 'tuned') t using (pair)")
 def j26_side_by_side(spark, d):
     w = wide(spark, d)
     t = w.where("model = 'tuned'").select("pair", F.col("plain").alias("t"))

@@ -17,7 +17,7 @@ def _phrases(phrases):
     return r"(?i)\b(?:" + "|".join(p.replace(" ", r"\s+").replace("'", "''") for p in phrases) + r")\b"
 
 
-_SAID = "(case doc_id % 6 when 0 then 'I think ' when 1 then 'It  might   have ' when 2 then 'Hard to say: ' when 3 then 'mightily ' else '' end || substr(text, 1, 60))"
+_SAID = "(case doc_id % 6 when 0 then 'I think ' when 1 then 'It  might   have ' when 2 then 'Hard to say: ' when 3 then 'mightily ' else '' end || text)"
 
 
 def _said():
@@ -48,7 +48,7 @@ def t2_letter_index(spark, d):
     return docs(spark, d).select("doc_id", F.coalesce(text.letter_index(letter), F.lit(-1)).alias("idx"))
 
 
-_OUT = "(case doc_id % 4 when 0 then '<reasoning>' || substr(text, 1, 30) || '</reasoning> <verdict>TIE</verdict>' when 1 then '<reasoning></reasoning><verdict>A</verdict>' when 2 then '<verdict>B</verdict>' else substr(text, 1, 30) end)"
+_OUT = "(case doc_id % 4 when 0 then '<reasoning>' || text || '</reasoning> <verdict>TIE</verdict>' when 1 then '<reasoning></reasoning><verdict>A</verdict>' when 2 then '<verdict>B</verdict>' else text end)"
 
 
 def _out():
@@ -109,13 +109,13 @@ def t12_joined_key(spark, d):
     return docs(spark, d).select(text.joined_key(F.col("lang"), F.col("source"), F.col("doc_id").cast("string")).alias("key"))
 
 
-@query("select doc_id, trim(substr(text, 1, 20), ' ' || chr(10)) as clean from documents")
+@query("select doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as clean from documents")
 def t13_clean_reasoning(spark, d):
     s = F.concat(F.lit("<thinking>a\nb</thinking> "), F.col("text"), F.lit(" <Confidence> 3 </Confidence>"))
     return docs(spark, d).select("doc_id", text.clean_reasoning(s).alias("clean"))
 
 
-@query("select doc_id, 'Response B, response A: ' || substr(text, 1, 20) || ' RESPONSE A' as swapped from documents")
+@query("select doc_id, 'Response B, response A: ' || text || ' RESPONSE A' as swapped from documents")
 def t14_swap_labels(spark, d):
     s = F.concat(F.lit("Response A, response B: "), F.col("text"), F.lit(" RESPONSE A"))
     return docs(spark, d).select("doc_id", text.swap_labels(s).alias("swapped"))
@@ -146,7 +146,7 @@ def t24_truncate(spark, d):
     return docs(spark, d).select("doc_id", text.truncate(F.col("text"), 50).alias("t"))
 
 
-@query("select doc_id, coalesce(nullif(lower(trim(regexp_replace(substr(text, 1, 30), '[^A-Za-z0-9_-]+', '-', 'g'), '-')), ''), 'unknown') as slug from documents")
+@query("select doc_id, coalesce(nullif(lower(trim(regexp_replace(text, '[^A-Za-z0-9_-]+', '-', 'g'), '-')), ''), 'unknown') as slug from documents")
 def t25_slug(spark, d):
     return docs(spark, d).select("doc_id", text.slug(F.col("text")).alias("slug"))
 

@@ -112,6 +112,93 @@ def preflight(spark: SparkSession, models: list[str], probe: Callable[[str], Non
     return spark.createDataFrame(out, "model string, state string")
 
 
+def timed_calls(requests: DataFrame, make_client: Callable[[], Callable[[str], Iterator[str]]], key: str, prompt: str, clock: Callable[[], float] = time.perf_counter) -> DataFrame:
+    """(key, text, pieces, ttft_s, total_s, degraded, error) of streamed answers; ``make_client`` builds a client once a task.
+
+    A call that ends without a piece has the whole time as its first-token time and is marked degraded, so A37 can leave it out.
+    """
+    kind = requests.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client = make_client()
+        for pdf in batches:
+            out = []
+            for k, p in zip(pdf[key], pdf[prompt]):
+                start, first, parts, error = clock(), None, [], None
+                try:
+                    for piece in client(p):
+                        first = clock() - start if first is None else first
+                        parts.append(piece)
+                except Exception as e:
+                    error = type(e).__name__
+                total = clock() - start
+                out.append((k, "".join(parts), len(parts), total if first is None else first, total, first is None, error))
+            yield pd.DataFrame(out, columns=[key, "text", "pieces", "ttft_s", "total_s", "degraded", "error"])
+
+    return requests.select(key, prompt).mapInPandas(run, f"{key} {kind}, text string, pieces int, ttft_s double, total_s double, degraded boolean, error string")
+
+
+def resume_calls(spark: SparkSession, state_path: str, names: list[str], spawn: Callable[[str], str], fetch: Callable[[str], str | None], attempts: int = 6, **retry) -> dict[str, str]:
+    """One remote call a name; the state file keeps their ids, so a later run fetches what is in flight and spawns only the rest.
+
+    ``fetch`` gives a result, or None while the call runs. A call that fails is spawned again, ``attempts`` times in all.
+    """
+    from tallyloom.sources.jsonl import read_sidecar
+
+    done = {}
+    for name in names:
+        entry = read_sidecar(spark, state_path).get(name, {})
+        tried = int(entry.get("attempts", 0))
+        while "result" not in entry:
+            if not entry.get("call"):
+                if tried >= attempts:
+                    raise RuntimeError(f"{name} failed {tried} times")
+                tried += 1
+                entry = {"call": str(with_retries(lambda n=name: spawn(n), **retry)), "attempts": tried}
+                upsert_json(spark, state_path, name, entry)
+            try:
+                got = fetch(entry["call"])
+            except Exception:
+                entry = {"call": None, "attempts": tried}
+                upsert_json(spark, state_path, name, entry)
+                continue
+            if got is None:
+                break
+            entry = entry | {"result": got}
+            upsert_json(spark, state_path, name, entry)
+        if "result" in entry:
+            done[name] = entry["result"]
+    return done
+
+
+def label_session(rows: list[dict], ask: Callable[[dict], str], key: str = "pair_id") -> list[dict]:
+    """Patches of a labelling session, for J9. ``ask`` shows a row and returns what was typed:
+    "verdict [confidence] [notes]", "s" to skip, "k" to keep what is there, "c" to clear it, "q" to stop.
+    """
+    words = {"a": "A", "b": "B", "t": "TIE", "tie": "TIE"}
+    out = []
+    for row in rows:
+        verdict = None
+        while verdict is None:
+            said = ask(row).strip()
+            command = said.lower()
+            if command == "q":
+                return out
+            if command in ("s", "k"):
+                break
+            if command == "c":
+                out.append({key: row[key], "human_verdict": None, "confidence": None, "notes": None})
+                break
+            parts = said.split(None, 2)
+            verdict = words.get(parts[0].lower()) if parts else None
+            level = parts[1] if len(parts) > 1 else ""
+            if verdict is None or level and level not in "12345":
+                verdict = None  # asked again
+                continue
+            out.append({key: row[key], "human_verdict": verdict, "confidence": int(level) if level else None, "notes": parts[2] if len(parts) > 2 else None})
+    return out
+
+
 def suggestions(wanted: str, known: DataFrame, column: str = "model", most: int = 10) -> DataFrame:
     """At most ``most`` known ids that contain the wanted one, whatever its case, or its part before a slash."""
     maker = wanted.split("/")[0]

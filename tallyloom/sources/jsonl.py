@@ -25,6 +25,36 @@ def read_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
     return raw.where("_corrupt is null").drop("_corrupt", "_file"), raw.where("_corrupt is not null").select("_file", "_corrupt")
 
 
+def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """S3: (file, line, text) of the lines that don't fit, numbered from 1. For cache files, which one task can hold."""
+    full = T.StructType.fromDDL(schema).add("_corrupt", T.StringType())
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("at", "text"))
+    row = F.from_json("text", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    bad = files.where(F.trim("text") != "").where(row["_corrupt"].isNotNull())
+    return bad.select("file", (F.col("at") + 1).alias("line"), "text")
+
+
+def read_guarded(spark: SparkSession, path: str, needs: str) -> DataFrame:
+    """A table that an earlier step must have made."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"{path} is missing: run {needs} first")
+    return spark.read.parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, column: str, value: str) -> DataFrame:
+    """One split of a table that is partitioned by it; the others' files are not listed for reading."""
+    return spark.read.parquet(path).where(F.col(column) == value).drop(column)
+
+
+def probe_rows(df: DataFrame, key: str, ids: list) -> DataFrame:
+    """The rows of a fixed list of ids; an id without a row is an error."""
+    rows = df.where(F.col(key).isin(ids))
+    missing = set(ids) - {r[key] for r in rows.select(key).distinct().collect()}  # as many as the list
+    if missing:
+        raise KeyError(f"probe ids without a row: {sorted(missing)}")
+    return rows
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 

@@ -18,15 +18,39 @@ def append(df: DataFrame, path: str, form: str = "parquet") -> None:
 
 
 def replace(df: DataFrame, path: str, form: str = "parquet") -> None:
-    """K2: written beside the target and renamed over it; readers see the old table or the new one. The input may be the target."""
+    """K2: written beside the target, which then steps aside for it. The input may be the target.
+
+    A folder can't be renamed over another: between the two renames there is no table under the name, and no moment
+    without the old table or the new one on disk. ``recover`` undoes an interruption there; every replacement begins with it.
+    """
     spark = df.sparkSession
-    staged = f"{path}._staging-{uuid.uuid4().hex}"
+    recover(spark, path)
+    staged, previous = f"{path}._staging-{uuid.uuid4().hex}", f"{path}._previous-{uuid.uuid4().hex}"
     df.write.format(form).save(staged)
     fs, target = _fs(spark, path)
     _, source = _fs(spark, staged)
-    fs.delete(target, True)
+    _, old = _fs(spark, previous)
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        raise OSError(f"could not move {path} aside")
     if not fs.rename(source, target):
+        if had:
+            fs.rename(old, target)
         raise OSError(f"could not rename {staged} to {path}")
+    fs.delete(old, True)
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """The table that an interrupted replacement left aside is put back; whether there was one."""
+    fs, target = _fs(spark, path)
+    parent = target.getParent()
+    if not fs.exists(parent):
+        return False
+    aside = [s.getPath() for s in fs.listStatus(parent) if s.getPath().getName().startswith(f"{target.getName()}._previous-")]
+    back = bool(aside) and not fs.exists(target) and fs.rename(aside[0], target)
+    for p in aside:
+        fs.delete(p, True)  # of a finished replacement
+    return back
 
 
 def clean_staging(spark: SparkSession, folder: str) -> int:
@@ -56,6 +80,44 @@ def write_routes(df: DataFrame, path: str, route: str = "route") -> None:
     df.write.mode("append").partitionBy(route).parquet(path)
 
 
+def _over(spark: SparkSession, staged, target) -> None:
+    """One file renamed over another, at once where the store can."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf).rename(staged, target, options)
+
+
+def overwrite_named(spark: SparkSession, paths: list[str]) -> int:
+    """K5: before a forced run, exactly the listed outputs go; how many there were."""
+    gone = 0
+    for path in paths:
+        fs, p = _fs(spark, path)
+        gone += bool(fs.exists(p) and fs.delete(p, True))
+    return gone
+
+
+def copy_counted(spark: SparkSession, paths: list[str], into: str) -> DataFrame:
+    """Files copied into a folder of any store, with their sizes; (name, bytes, state), nothing raises for one file."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    rows = []
+    for path in paths:
+        fs, p = _fs(spark, path)
+        if not fs.exists(p):
+            rows.append((p.getName(), None, "missing"))
+            continue
+        to, target = _fs(spark, f"{into.rstrip('/')}/{p.getName()}")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, p, to, target, False, True, conf)
+        rows.append((p.getName(), to.getContentSummary(target).getLength(), "copied"))
+    return spark.createDataFrame(rows, "name string, bytes long, state string")
+
+
+def sorted_write(df: DataFrame, path: str, key: list[str], form: str = "parquet") -> None:
+    """The files in order of the key, and rows in order inside each: a range partitioning, no task sorts the whole."""
+    replace(df.repartitionByRange(*key).sortWithinPartitions(*key), path, form)
+
+
 def write_json(spark: SparkSession, value: object, path: str) -> None:
     """K3: one small JSON value, replaced by rename."""
     fs, target = _fs(spark, path)
@@ -63,9 +125,7 @@ def write_json(spark: SparkSession, value: object, path: str) -> None:
     out = fs.create(staged, True)
     out.write(bytearray(json.dumps(value, ensure_ascii=False, indent=2, sort_keys=True).encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(staged, target):
-        raise OSError(f"could not rename over {path}")
+    _over(spark, staged, target)
 
 
 def upsert_json(spark: SparkSession, path: str, key: str, entry: dict) -> dict:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators.merge import merge_patches
+from tallyloom.sources.scratch import discard, materialize
 from tallyloom.sources.sinks import replace
 
 
@@ -25,12 +26,38 @@ def spend_stream(ledger: DataFrame, ts: str, late: str, window: str, by: list[st
     return g.agg(F.round(F.sum(cost), 4).alias("spent"), F.count("*").alias("n")).select(F.col("window.start").alias("window_start"), *by, "spent", "n")
 
 
+BUCKET = "_bucket"
+
+
+def write_buckets(df: DataFrame, target: str, key: str, buckets: int = 256) -> None:
+    """A table for ``upsert_stream``, in folders by a hash of the key, so that a micro-batch rewrites only those it touches."""
+    bucket = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(buckets)).cast("int")
+    d = df.withColumn(BUCKET, bucket)
+    d.repartition(BUCKET).write.partitionBy(BUCKET).option("maxRecordsPerFile", 5_000_000).parquet(target)
+
+
 def upsert_stream(patches: DataFrame, target: str, key: str, order: list[str], checkpoint: str):
-    """Idempotent upserts: each micro-batch merges into the table and replaces it; a replayed batch changes nothing."""
+    """Idempotent upserts: each micro-batch merges into the table; a replayed batch changes nothing.
+
+    Of a table of ``write_buckets`` only the folders with patched keys are read and overwritten; any other is replaced whole.
+    """
+
+    def like(df: DataFrame, base: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in base.schema.fields])
 
     def merge(batch: DataFrame, _: int) -> None:
-        base = batch.sparkSession.read.parquet(target)
-        replace(merge_patches(base, batch, key, order).select(*base.columns), target)
+        spark = batch.sparkSession
+        base = spark.read.parquet(target)
+        if BUCKET not in base.columns:
+            replace(like(merge_patches(base, batch, key, order), base), target)
+            return
+        batch = materialize(batch, "patches")
+        some = base.join(batch.select(key), key, "left_semi").select(BUCKET).distinct()
+        touched = [r[0] for r in some.collect()]  # one number a bucket
+        part = base.where(F.col(BUCKET).isin(touched))
+        part = materialize(like(merge_patches(part, batch, key, order), base), "patched")
+        part.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(target)
+        discard(batch, part)
 
     return patches.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

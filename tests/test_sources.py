@@ -89,3 +89,49 @@ def test_streams(spark, tmp_path):
     assert [(r["k"], r["spent"], r["n"]) for r in spent] == [(1, 11.0, 2)]
     assert memory(incremental.retry_stream(log, "k", "ts", "10 minutes"), "dead", "complete")[0]["failures"] == 2
     assert memory(incremental.phase_states(log.withColumn("status", F.concat(F.lit("s"), "seq")), "k", "ts", "status"), "phases", "complete")[0]["status"] == "s2"
+
+
+def test_an_interrupted_replacement_is_undone(spark, tmp_path):
+    p = str(tmp_path / "t")
+    sinks.replace(spark.range(3), p)
+    (tmp_path / "t").rename(tmp_path / "t._previous-x")  # stopped between the two renames
+    assert sinks.recover(spark, p) and spark.read.parquet(p).count() == 3 and not sinks.recover(spark, p)
+    sinks.replace(spark.range(5), p)
+    assert spark.read.parquet(p).count() == 5 and [x.name for x in tmp_path.iterdir()] == ["t"]
+
+
+def test_upserts_rewrite_only_touched_buckets(spark, tmp_path):
+    src, base = tmp_path / "log", tmp_path / "base"
+    src.mkdir()
+    (src / "1.json").write_text('{"k": 7, "v": 5.0, "seq": 1}\n{"k": 7, "v": 6.0, "seq": 2}\n{"k": 9999, "v": 1.0, "seq": 1}\n')
+    incremental.write_buckets(spark.range(200).selectExpr("cast(id as int) as k", "0.0 as v"), str(base), "k", 16)
+    before = {f.name for f in base.rglob("*.parquet")}
+    stream = incremental.log_stream(spark, str(src), "k int, v double, seq int")
+    incremental.upsert_stream(stream, str(base), "k", ["seq"], str(tmp_path / "cp")).awaitTermination(60)
+    rows = {r["k"]: float(r["v"]) for r in spark.read.parquet(str(base)).collect()}
+    assert len(rows) == 200 and rows[7] == 6.0 and sum(rows.values()) == 6.0
+    assert len(before - {f.name for f in base.rglob("*.parquet")}) == 1
+
+
+def test_label_sessions_ask_again():
+    from tallyloom.sources import connectors
+
+    typed = iter(["what", "b 7", "b 2", "t", "k", "c", "q"])
+    got = connectors.label_session([{"pair_id": i} for i in range(9)], lambda row: next(typed))
+    assert got == [
+        {"pair_id": 0, "human_verdict": "B", "confidence": 2, "notes": None}, {"pair_id": 1, "human_verdict": "TIE", "confidence": None, "notes": None},
+        {"pair_id": 3, "human_verdict": None, "confidence": None, "notes": None},
+    ]
+
+
+def test_calls_give_up_after_their_attempts(spark, tmp_path):
+    from tallyloom.sources import connectors
+
+    spawned = []
+
+    def fetch(call):
+        raise OSError("lost")
+
+    with pytest.raises(RuntimeError, match="6 times"):
+        connectors.resume_calls(spark, str(tmp_path / "s.json"), ["a"], lambda n: spawned.append(n) or "c", fetch)
+    assert len(spawned) == 6
