@@ -352,7 +352,7 @@ def p4_nested_records(spark, d):
 @query("select o_orderkey from orders where o_orderstatus in ('F', 'P') and o_orderpriority in ('1-URGENT', '5-LOW')")
 def p5_stratum_cells(spark, d):
     cells = spark.createDataFrame([(p, s) for p in ("1-URGENT", "5-LOW") for s in "FP"], "o_orderpriority string, o_orderstatus string")
-    return table(spark, d, "orders").join(F.broadcast(cells), ["o_orderpriority", "o_orderstatus"], "left_semi").select("o_orderkey")
+    return table(spark, d, "orders").join(cells, ["o_orderpriority", "o_orderstatus"], "left_semi").select("o_orderkey")
 
 
 @query("select case when ('0x' || substr(sha1(o_orderkey::varchar), 1, 8))::bigint % 10 < 7 then 'synth' else 'flip' end as side, count(*)::bigint as n from orders group by 1")
