@@ -114,21 +114,48 @@ class Model:
 
 
 class Matcher(dict):
-    """word -> hit kind (0 none, 1 exact, 2 stem, 3 misspelled), cached."""
+    """word -> hit kind (0 none, 1 exact, 2 stem, 3 misspelled), cached.
+
+    The automaton walks a trie of only the terms that the word can be near to: an edit (a swap, too) leaves the first two or the last
+    two letters of a term as they are, two edits those or the letters from the fourth to the sixth, moved by one place at most;
+    the lengths differ by the edits at most, and each edit takes one of the term's letters away at most.
+    """
 
     def __init__(self, terms: list[str], stems: list[str]):
         super().__init__()
-        self.trie = Trie.of(terms, stems)
-        self.fuzzy = []
-        for edits, some in ((1, [t for t in terms if FUZZY <= len(t) < LONG]), (2, [t for t in terms if len(t) >= LONG])):
-            # Of ``edits`` + 1 pieces of a term one stays whole: a word without any of their first letters needs no walk.
-            heads = {t[i * len(t) // (edits + 1) :][:2] for t in some for i in range(edits + 1)}
-            sizes = [len(t) for t in some] or [-9]
-            self.fuzzy.append((edits, Trie.of(some, []), heads, min(sizes) - edits, max(sizes) + edits))
+        self.terms, self.trie = terms, Trie.of(terms, stems)
+        self.edits = [0 if len(t) < FUZZY else 1 if len(t) < LONG else 2 for t in terms]
+        self.letters = [frozenset(t) for t in terms]
+        self.heads: dict[str, set[int]] = {}
+        self.tails: dict[str, set[int]] = {}
+        self.middles: dict[str, set[int]] = {}
+        for i, t in enumerate(terms):
+            if self.edits[i]:
+                self.heads.setdefault(t[:2], set()).add(i)
+                self.tails.setdefault(t[-2:], set()).add(i)
+            if self.edits[i] == 2:
+                self.middles.setdefault(t[3:6], set()).add(i)
+        self.few: dict[tuple[int, ...], Trie] = {}
 
     def misspelled(self, word: str) -> bool:
-        pairs = {word[i : i + 2] for i in range(len(word) - 1)}
-        return any(low <= len(word) <= high and not heads.isdisjoint(pairs) and trie.within(word, edits) is not None for edits, trie, heads, low, high in self.fuzzy)
+        none: set[int] = set()
+        some = self.heads.get(word[:2], none) | self.tails.get(word[-2:], none)
+        for at in (2, 3, 4):
+            some = some | self.middles.get(word[at : at + 3], none)
+        if not some:
+            return False
+        letters, n = set(word), len(word)
+        for edits in (1, 2):
+            near = tuple(sorted(i for i in some if self.edits[i] == edits and abs(len(self.terms[i]) - n) <= edits and len(self.letters[i] - letters) <= edits))
+            if not near:
+                continue
+            if near not in self.few:
+                if len(self.few) > 10_000:
+                    self.few.clear()
+                self.few[near] = Trie.of([self.terms[i] for i in near], [])
+            if self.few[near].within(word, edits) is not None:
+                return True
+        return False
 
     def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
