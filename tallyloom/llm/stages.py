@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import mixing, nbsvm, secrets
 from tallyloom.llm.bpe import encode_documents
-from tallyloom.llm.common import load, materialize
+from tallyloom.llm.common import discard, load, materialize
 from tallyloom.llm.idfilter import may_hold
 from tallyloom.llm.near_dedup import near_duplicates
 
@@ -33,20 +33,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity 0.8): the one of smallest id.
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8): the one of smallest id, then text.
 
-    An id is one document: its repeated rows leave the row of smallest text; rows without an id all stay. Only rows that may be
-    near copies or share their id (a filter of ids of bounded size tells the others) are moved.
+    Each row is a document, whatever its id: rows that share an id or have none are judged by their texts, and of equal rows
+    one stays (of those without words, too, if their ids are equal). Only rows that may go (a filter of bounded size tells
+    the others) are moved.
     """
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    odd = materialize(gone.select("doc_id", F.lit(True).alias("gone")).unionByName(twice.select("doc_id", F.lit(False).alias("gone"))), "odd-ids")
-    may = may_hold(odd, "doc_id", F.col("doc_id"))
-    some = docs.where(may).join(odd.where("gone").select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
-    nth = fresh(docs, "nth")
-    order = Window.partitionBy("doc_id").orderBy("text", "source")
-    some = some.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).select(*docs.columns)
-    return some.unionByName(docs.where(~may))
+    row, mark = fresh(docs, "row"), fresh(docs, "mark")
+    # Numbered once in a written table, so a repeated task can't number anew.
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(mark, F.xxhash64("text")), "numbered")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("n"), "n_shingles", "component_id")
+    named = rows.select(F.col(row).alias("n"), F.col("doc_id").alias("id"), F.col(mark).alias("mark")).join(found.hint("shuffle_hash"), "n")
+    # Rows without words link with nothing; those of one id are repetitions.
+    blank = (F.col("n_shingles") == 0) & F.col("id").isNotNull()
+    group = F.struct(blank.alias("blank"), F.when(blank, F.col("id")).otherwise(F.col("component_id")).alias("of"))
+    named = materialize(named.select("n", "id", "mark", group.alias("g")), "groups")
+    # One row a group by a map-side minimum, then a join on the row's number: a large group is never one key.
+    stay = named.groupBy("g").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "n"))["n"].alias("n")).select("n")
+    gone = materialize(named.select("n").join(stay.hint("shuffle_hash"), "n", "left_anti"), "gone")
+    discard(named)
+    may = may_hold(gone, "n", F.col(row))
+    left = rows.where(may).join(gone.hint("shuffle_hash"), F.col(row) == F.col("n"), "left_anti")
+    return left.unionByName(rows.where(~may)).select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

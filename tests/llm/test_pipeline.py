@@ -3,6 +3,7 @@ import re
 
 import corpus_pipeline
 import tiktoken
+from pyspark.sql import functions as F
 from tallyloom.llm import bpe, mixing, nbsvm, secrets
 
 from .test_near_dedup import by_hand
@@ -59,8 +60,8 @@ def test_run(spark, awkward_docs, empty_docs, labels, no_labels, tmp_path):
     assert corpus_pipeline.run(spark, sf).count() == 0
 
 
-def test_near_dedup_stage_with_a_hot_group_and_repeated_ids(spark, corpus, tmp_path):
-    """A third of the rows are near copies of one text, others repeat an id or have none: by brute force over ids."""
+def test_near_dedup_stage_with_a_hot_group_and_repeated_ids(spark, corpus):
+    """A third of the rows are near copies of one text, others repeat an id or have none: by brute force over rows."""
     import random
 
     rnd, rows = random.Random(21), [tuple(r) for r in corpus.collect()]
@@ -69,11 +70,18 @@ def test_near_dedup_stage_with_a_hot_group_and_repeated_ids(spark, corpus, tmp_p
         t = list(base)
         t[rnd.randrange(90)] = f"e{rnd.randrange(9)}"
         rows.append((1000 + i, " ".join(t), "en", "hot", 0))
-    rows += [(1000, rows[-1][1], "en", "hot", 0), (3, "z other text of the same id", "en", "s", 0), (None, "no id", "en", "s", 0), (None, "no id", "en", "s", 0), (4000, None, "en", "s", 0)]
-    docs = spark.createDataFrame(rows, corpus.schema).repartition(5)
-    got = [r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, docs, "").collect()]
-    assert got.count(None) == 2 and len([g for g in got if g is not None]) == len({g for g in got if g is not None})
-    near = by_hand([(d, t) for d, t in {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] is not None and not (r["doc_id"] == 3 and r["text"].startswith("z "))}.items()], 5, 80)
-    want = {low for _, low in near.values()}
-    assert {g for g in got if g is not None} - {3} == want - {3}
-
+    rows.append((1000, rows[-1][1], "en", "hot", 0))  # a near copy that shares an id
+    rows += [(3, "z other text of the same id", "en", "s", 0)] * 2  # stays beside the document 3, once
+    rows += [(None, "no id", "en", "s", 0)] * 2 + [(None, " ".join(base), "en", "hot", 0)]
+    rows += [(4000, None, "en", "s", 0)] * 2 + [(4001, "", "en", "s", 0), (None, "", "en", "s", 0), (None, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, corpus.schema).repartition(5).withColumns({"row": F.lit(1), "mark": F.lit(2)})
+    out = corpus_pipeline.STAGES[1][1](spark, docs, "")
+    assert out.columns == docs.columns
+    groups: dict = {}
+    for i, (n, low) in by_hand([(i, r[1]) for i, r in enumerate(rows)], 5, 80).items():
+        groups.setdefault((low, None) if n or rows[i][0] is None else (None, rows[i][0]), []).append(rows[i])
+    key = lambda r: (r[0] is None, r[0] or 0)
+    want = sorted((str(min(g, key=key)[0]) for g in groups.values()))
+    got = [tuple(r)[:5] for r in out.collect()]
+    assert sorted(str(r[0]) for r in got) == want and set(got) <= set(rows)
+    assert sum(r[1] == "z other text of the same id" for r in got) == 1 and sum(r[1] == "no id" for r in got) == 1
