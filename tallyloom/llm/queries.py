@@ -69,6 +69,18 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(load(spark, sf_dir, "documents"))
 
 
+def op11_whiten_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.whitening import whiten
+
+    return whiten(load(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.token_counts import count_tokens
+
+    return count_tokens(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +94,8 @@ QUERIES = {
         op8_secret_trigrams,
         op9_toxicity_levenshtein,
         op10_bpe_tree,
+        op11_whiten_triangle,
+        op12_token_counts,
     )
 }
 

@@ -21,11 +21,13 @@ COLUMNS = {
     "op8": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op9": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op11": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op12": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
 }
 NAMES = sorted((n for n in entry.queries() if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
 
 
-def test_ten_queries_and_the_pipeline():
+def test_all_queries_and_the_pipeline():
     assert [n.split("_")[0] for n in NAMES] == list(COLUMNS) and "pipeline" in entry.queries()
 
 
@@ -34,8 +36,8 @@ def test_contract(name, spark):
     df = entry.queries()[name](spark, str(SF))
     want = dict(c.split(" ") for c in COLUMNS[name.split("_")[0]].split(", "))
     assert want.items() <= dict(df.dtypes).items()
-    table = "pages" if "page_id" in want else "documents"
-    assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+    table, each = ("pages", 1) if "page_id" in want else ("embeddings", 8) if "vec_id" in want else ("documents", 1)
+    assert df.count() == each * spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n in entry.oracle_sql()])
