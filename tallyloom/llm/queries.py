@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import decision_list, mixing, near_dedup, secrets, url_filter
+from tallyloom.llm.collocations import oracle as phrase_oracle
 from tallyloom.llm.common import load
 
 
@@ -81,6 +82,12 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(load(spark, sf_dir, "documents"))
 
 
+def op13_suffix_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyloom.llm.collocations import collocations
+
+    return collocations(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,6 +103,7 @@ QUERIES = {
         op10_bpe_tree,
         op11_whiten_triangle,
         op12_token_counts,
+        op13_suffix_sigma,
     )
 }
 
@@ -104,4 +112,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_minhash_near_dedup": near_dedup.oracle(3, 85),
     "op7_url_redirects": url_filter.ORACLE,
     "op8_secret_trigrams": secrets.oracle(),
+    "op13_suffix_sigma": phrase_oracle(),
 }

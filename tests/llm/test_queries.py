@@ -23,6 +23,7 @@ COLUMNS = {
     "op10": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     "op11": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
     "op12": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op13": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
 }
 NAMES = sorted((n for n in entry.queries() if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
 
@@ -37,6 +38,8 @@ def test_contract(name, spark):
     want = dict(c.split(" ") for c in COLUMNS[name.split("_")[0]].split(", "))
     assert want.items() <= dict(df.dtypes).items()
     table, each = ("pages", 1) if "page_id" in want else ("embeddings", 8) if "vec_id" in want else ("documents", 1)
+    if name.startswith("op13"):
+        return
     assert df.count() == each * spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
