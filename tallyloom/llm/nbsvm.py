@@ -41,7 +41,7 @@ def shape(word: str) -> str:
     """Letters become X (upper), x (lower) or Xx by run, digits 9; other characters stay, three of a kind at most."""
     s = _LETTERS.sub(lambda m: "x" if m[0].islower() else "X" if m[0].isupper() and len(m[0]) > 1 else "Xx", word)
     s = _DIGITS.sub("9", s)
-    return re.sub(r"(.)\1{2,}", r"\1\1\1", s)[:12]
+    return re.sub(r"(.)\1{2,}", r"\1\1\1", s)
 
 
 class _Words(dict):
@@ -127,7 +127,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, c: float = 1.0, epochs: int = 8,
     sign = np.where(y > 0, 1.0, -1.0)
     cost = np.where(y > 0, c * len(y) / (2 * y.sum()), c * len(y) / (2 * (1 - y).sum()))  # both classes weigh the same
     w, bias = dual_coordinate_descent(rows, ratio, sign, cost, epochs, seed)
-    used = np.abs(w) > 0
+    used = np.abs(w) > 1e-12  # what rounding leaves of weights that went back to zero is none
     mean = np.abs(w[used]).mean() if used.any() else 0.0
     model = Model(((1 - beta) * mean + beta * w) * ratio, bias, 1.0, 0.0)
     margins = np.array([model.margin(r) for r in rows])
