@@ -7,12 +7,13 @@
    Levenshtein automaton together: a state is the set of (position, edits) the automaton can be in, kept
    as one bit vector per number of edits, and a branch is cut once no state is alive. An edit inserts, drops or replaces a
    letter or swaps two neighbours; terms of ``FUZZY`` letters take one, of ``LONG`` letters two. Shorter terms and stems match exactly only.
-3. Context. Each hit has a window of ``WINDOW`` words on both sides. Quotation marks that enclose it and
-   words of reporting lower its weight, address and a further hit raise it. The features of a document
+3. Context. Each hit has a window of ``WINDOW`` words on both sides. A pair of quotation marks around it and
+   words of reporting lower its weight, address and a further hit raise it. Marks are paired by direction (“…”, „…“, «…», »…«, ‘…’) or,
+   where they have none, by turns; an apostrophe between letters is a letter, and no pair crosses a line. The features of a document
    (exact, misspelled, stem hits, quoted and unquoted, per length) go to a logistic model
    fitted on the sample; no weight is negative, so a hit never speaks for a document.
 
-Bounds: ``most`` labelled documents; ``terms`` words and ``stems`` stems at most. A term is in four toxic documents of the sample at
+Bound: ``most`` labelled documents; all their words may become terms. A term is in four toxic documents of the sample at
 least, between six different pairs of neighbours; rarer ones can't be told from chance.
 
 Defined cases: null and empty text have no hit and score the model's bias; a table without labels of both
@@ -34,8 +35,10 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import fold, labelled_sample, materialize, tidy
 
 FUZZY, LONG, WINDOW = 5, 9, 8
-TOKEN = re.compile(r"[^\W_]+|[\"“”„«»‘’]")
-QUOTES = frozenset("\"“”„«»‘’")
+TOKEN = re.compile(r"[^\W_]+|(?<![^\W\d_])[’‘]|[’‘](?![^\W\d_])|[\"“”„«»‚\n]")
+#: What ends a quotation that a mark begins. A mark that ends an open one begins none.
+CLOSED_BY = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’", '"': '"'}
+MARKS = frozenset("\"“”„«»‘’‚\n")
 REPORTING = frozenset("said says wrote quoted called quote reported claimed alleged dit écrit cité sagte schrieb zitiert dijo escribió citado".split())
 ADDRESS = frozenset("you your youre tu te toi vous du dich dir ihr tú usted eres".split())
 
@@ -172,20 +175,45 @@ class Matcher(dict):
 N_FEATURES = 9
 
 
+def quoted_words(tokens: list[str]) -> list[bool]:
+    """Whether each word is inside a pair of quotation marks; the marks in ``tokens`` go."""
+    depth: list[int] = [0]  # by how much the number of open pairs changes at each word
+    open_: list[tuple[str, int]] = []
+    for t in tokens:
+        if t not in MARKS:
+            depth.append(0)
+            continue
+        at = len(depth) - 1
+        if t == "\n":
+            open_.clear()
+            continue
+        match = next((k for k in range(len(open_) - 1, -1, -1) if t in CLOSED_BY[open_[k][0]]), -1)
+        if match >= 0:
+            depth[open_[match][1]] += 1
+            depth[at] -= 1
+            del open_[match:]
+        elif t in CLOSED_BY:
+            open_.append((t, at))
+    out, now = [], 0
+    for d in depth[:-1]:
+        now += d
+        out.append(now > 0)
+    return out
+
+
 def features(text: str | None, matcher: Matcher) -> np.ndarray:
     """Counts over the whole text: exact, stem, misspelled hits; unquoted of each; best window; share of hits; any."""
     out = np.zeros(N_FEATURES)
-    words = TOKEN.findall(text) if text else []
+    tokens = TOKEN.findall(text) if text else []
+    words = [w for w in tokens if w not in MARKS]
     kinds = list(map(matcher.__getitem__, words))
     if not any(kinds):
         return out
     hits = [i for i, k in enumerate(kinds) if k]
-    marks = {i for i, w in enumerate(words) if w in QUOTES and len(w) == 1}
+    inside = quoted_words(tokens)
     for i in hits:
-        before = sum(1 for j in range(max(0, i - WINDOW), i) if j in marks)
-        after = sum(1 for j in range(i + 1, min(len(words), i + 1 + WINDOW)) if j in marks)
         near = [w.lower() for w in words[max(0, i - WINDOW) : i + 1 + WINDOW]]
-        quoted = before > 0 and after > 0
+        quoted = inside[i]
         told = any(w in REPORTING for w in near)
         spoken = any(w in ADDRESS for w in near)
         others = sum(1 for k in kinds[max(0, i - WINDOW) : i + 1 + WINDOW] if k) - 1
@@ -201,7 +229,7 @@ def features(text: str | None, matcher: Matcher) -> np.ndarray:
     return out
 
 
-def lexicon(sample: DataFrame, terms: int = 5000, stems: int = 500) -> tuple[list[str], list[str]]:
+def lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     """Words and word beginnings of toxic documents, by smoothed log odds of their document counts.
 
     A word must also be met between different neighbours: the words of a passage that is copied through many
@@ -216,12 +244,12 @@ def lexicon(sample: DataFrame, terms: int = 5000, stems: int = 500) -> tuple[lis
     total = sample.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
     base = float(np.log((total["p"] + 1) / (total["n"] - total["p"] + 1)))
     odds = F.log((F.col("p") + 0.1) / (F.col("n") + 0.1)) - F.lit(base)
-    t = words.withColumn("odds", odds).where("p >= 4 and places >= 6 and odds > 4").orderBy(F.desc("p"), "w").limit(terms)
+    t = words.withColumn("odds", odds).where("p >= 4 and places >= 6 and odds > 4").orderBy(F.desc("p"), "w")
     chosen = [r["w"] for r in t.select("w").collect()]
     cuts = F.transform(F.sequence(F.lit(4), F.least(F.length("w") - 1, F.lit(7))), lambda k: F.substring("w", F.lit(1), k))
     heads = words.where("length(w) > 4").select("p", "n", "places", F.explode(cuts).alias("s"))
     heads = heads.groupBy("s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.sum("places").alias("places"), F.count_if(F.col("p") > 0).alias("forms"))
-    heads = heads.withColumn("odds", odds).where("forms >= 5 and places >= 30 and odds > 4").orderBy(F.desc("p"), "s").limit(stems)
+    heads = heads.withColumn("odds", odds).where("forms >= 5 and places >= 30 and odds > 4").orderBy(F.desc("p"), "s")
     found: list[str] = []
     for s in sorted((r["s"] for r in heads.select("s").collect()), key=len):
         if not any(s.startswith(f) for f in found) and not any(c.startswith(s) and len(c) - len(s) < 2 for c in chosen):

@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from tallyloom.llm import nbsvm, toxicity
 
@@ -77,6 +79,18 @@ def test_awkward(module, awkward_docs, empty_docs, labels, no_labels):
             assert module.score(empty_docs, model).count() == 0
 
 
+@pytest.mark.parametrize("module", [nbsvm, toxicity])
+def test_clashing_columns(module, awkward_docs, labels):
+    plain = [repr(r) for r in module.score(awkward_docs, module.train(awkward_docs, labels)).collect()]
+    docs, marks = awkward_docs, labels
+    for c in ("y", "f", "score", "held_out", "predicted", "w", "t", "m"):
+        docs, marks = docs.withColumn(c, F.lit("clash")), marks.withColumn(c, F.lit(7))
+    marks = marks.withColumn("text", F.lit("clash"))
+    assert sorted(plain) == sorted(repr(r) for r in module.score(docs, module.train(docs, marks)).collect())
+    if module is nbsvm:
+        assert module.score(docs, module.train(docs, marks), keep=True).columns == docs.columns
+
+
 def edit_distance(a, b):
     """Letters inserted, dropped or replaced and neighbours swapped; a swapped pair isn't edited again."""
     d = [[i + j if i * j == 0 else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
@@ -103,9 +117,129 @@ def test_misspelled_words_against_distances():
         assert m[w] == (1 if w in terms else 3 if near else 0), w
 
 
+PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‘": "’", "‚": "‘’", '"': '"'}
+
+
+def words_and_quotes(text):
+    """(words, whether each is quoted), letter by letter: a mark ends the last open one that it may end, else it may begin one."""
+    items = []
+    for line in (text or "").split("\n"):
+        word, open_, marked = "", [], []
+        for i, ch in enumerate(line + " "):
+            if ch.isalnum():
+                word += ch
+                continue
+            if word:
+                marked.append([word, False])
+                word = ""
+            if ch in "’‘" and 0 < i < len(line) - 1 and line[i - 1].isalpha() and line[i + 1].isalpha():
+                continue
+            ends = [k for k, (m, _) in enumerate(open_) if ch in PAIRS[m]]
+            if ends:
+                for w in marked[open_[ends[-1]][1] :]:
+                    w[1] = True
+                open_ = open_[: ends[-1]]
+            elif ch in PAIRS:
+                open_.append((ch, len(marked)))
+        items += marked
+    return [w for w, _ in items], [q for _, q in items]
+
+
+def test_quotations_against_pairs_by_hand():
+    rnd = random.Random(12)
+    for _ in range(800):
+        text = "".join(rnd.choice(["a", "bc", " ", " ", "’", "‘", '"', "“", "”", "„", "«", "»", "‚", ".", "1", "\n"]) for _ in range(rnd.randint(0, 40)))
+        tokens = toxicity.TOKEN.findall(text)
+        words, quoted = words_and_quotes(text)
+        assert [t for t in tokens if t not in toxicity.MARKS] == words and toxicity.quoted_words(tokens) == quoted, text
+
+
+def test_apostrophes_and_other_quotations_do_not_quote():
+    m = toxicity.Matcher(["idiot"], [])
+    for text in ("You’re an idiot and you don’t know it", 'She said "hi" and he is an idiot, then "bye"', "“hi” idiot “bye”", "the ‘90s idiot", "»a« idiot »b«", '"one\nidiot" two'):
+        assert toxicity.features(text, m)[3] > 0, text
+    assert toxicity.features("You’re an idiot and you don’t know it", m)[6] == toxicity.features("You're an idiot and you don't know it", m)[6]
+    for text in ('he said "you idiot" there', "„Du idiot“ sagte er", "« un idiot »", "»so ein idiot«", "‘an idiot’, they wrote", "“a ‘real’ idiot”"):
+        assert toxicity.features(text, m)[3] == 0 and toxicity.features(text, m)[0] > 0, text
+
+
+def test_no_term_is_dropped_by_count(spark):
+    """More distinct terms than any list was ever cut to."""
+    rnd = random.Random(2)
+    names = [f"{a}{b}{c}x" for a in "bcdfghjklmnp" for b in ("ar", "el", "im", "on", "ut") for c in (f"{i:03d}" for i in range(120))]
+    rows, half = [], [names[i : i + 360] for i in range(0, len(names), 360)]
+    for i in range(6 * len(half)):
+        w = list(half[i % len(half)])
+        rnd.shuffle(w)
+        rows.append((i, 1, " ".join(w)))
+    rows += [(10_000 + i, 0, "calm words only here") for i in range(400)]
+    terms, stems = toxicity.lexicon(spark.createDataFrame(rows, "doc_id long, y int, text string"))
+    assert len(names) > 5000 and set(names) == set(terms) | {n for n in names if any(n.startswith(s) for s in stems)}
+
+
+def plain_places(text):
+    """Feature places in plain integers."""
+    top = 1 << 64
+    a, b, c = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    words = (text or "").encode().split()
+    w = [xxhash.xxh64_intdigest(x.lower()) for x in words]
+    s = [xxhash.xxh64_intdigest(nbsvm.shape(x.decode()).encode(), 7) ^ (c if i and w[i] == w[i - 1] else 0) for i, x in enumerate(words)]
+    n = len(words)
+    g = [x * a % top for x in w] + [(x * b + 1) % top for x in s]
+    g += [((w[i] * a % top ^ w[i + 1]) * c + 2) % top for i in range(n - 1)] + [((s[i] * b % top ^ s[i + 1]) * a + 3) % top for i in range(n - 1)]
+    g += [(((s[i] * b % top ^ s[i + 1]) * a % top ^ s[i + 2]) * c + 4) % top for i in range(n - 2)]
+    return sorted({(x ^ x >> 31) * b % top >> 64 - nbsvm.BITS for x in g})
+
+
+def test_quality_scores_against_plain_python(spark):
+    """Features, log-count ratios, the dual descent and the scores of a small table, recomputed with lists and dicts."""
+    docs, labels = labelled(spark, junk, 60)
+    more = spark.createDataFrame([(900, None, "en", "s", 0), (901, "", "en", "s", 0), (902, "One ONE one a-b-c-d-e-f-g-h 12,5 Éa", "en", "s", 0)], DOCS)
+    docs = docs.unionByName(more)
+    model = nbsvm.train(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in nbsvm.score(docs, model).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    y = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    ids = sorted(y)
+    rows = {i: plain_places(t) for i, t in texts.items()}
+    good, bad = sum(y.values()), len(y) - sum(y.values())
+    pos, neg = {}, {}
+    for i in ids:
+        for f in rows[i]:
+            (pos if y[i] else neg)[f] = (pos if y[i] else neg).get(f, 0) + 1
+    ratio = {f: np.log((pos.get(f, 0) + 1) / (good + 2)) - np.log((neg.get(f, 0) + 1) / (bad + 2)) for f in {*pos, *neg} if pos.get(f, 0) + neg.get(f, 0) >= 3}
+    w, bias, alpha = {}, 0.0, dict.fromkeys(ids, 0.0)
+    rng = np.random.default_rng(5)
+    for _ in range(8):
+        most = 0.0
+        for at in rng.permutation(len(ids)):
+            i = ids[at]
+            k, sign, box = len(rows[i]) ** -0.5, 2 * y[i] - 1, len(ids) / (2 * (good if y[i] else bad))
+            v = {f: ratio[f] * k for f in rows[i] if f in ratio}
+            new = alpha[i] - (sign * (sum(w.get(f, 0) * x for f, x in v.items()) + bias) - 1) / (sum(x * x for x in v.values()) + 1)
+            new = min(max(new, 0), box)
+            d, alpha[i] = (new - alpha[i]) * sign, new
+            for f, x in v.items():
+                w[f] = w.get(f, 0) + d * x
+            bias += d
+            most = max(most, abs(d))
+        if most < 1e-3:
+            break
+    mean = np.mean([abs(x) for x in w.values() if abs(x) > 1e-12])
+    weight = {f: (0.25 * mean + 0.75 * w.get(f, 0)) * r for f, r in ratio.items()}
+    margin = {i: sum(weight.get(f, 0) for f in fs) / max(len(fs), 1) ** 0.5 + bias for i, fs in rows.items()}
+    for i in texts:
+        assert abs(got[i] - 1 / (1 + np.exp(-(model.a * margin[i] + model.b)))) < 1e-4, i
+    assert got[900] == got[901]
+
+
+def test_whole_shapes_are_features():
+    assert nbsvm.shape("a-b-c-d-e-f-g-h") != nbsvm.shape("a-b-c-d-e-f-!!") and nbsvm.shape("http://Ab.c/12345?x=yyy") == "x://Xx.x/9?x=x"
+
+
 def score_by_hand(text, model):
     """Features and score of a text, in plain Python."""
-    tokens = toxicity.TOKEN.findall(text or "")
+    tokens, inside = words_and_quotes(text)
 
     def kind(w):
         w = w.lower()
@@ -120,8 +254,7 @@ def score_by_hand(text, model):
     for i, k in enumerate(kinds):
         if not k:
             continue
-        left, right, around = tokens[max(0, i - m) : i], tokens[i + 1 : i + 1 + m], range(max(0, i - m), min(len(tokens), i + 1 + m))
-        quoted = any(t in toxicity.QUOTES for t in left) and any(t in toxicity.QUOTES for t in right)
+        around, quoted = range(max(0, i - m), min(len(tokens), i + 1 + m)), inside[i]
         words = {tokens[j].lower() for j in around}
         w = (0.4 if quoted else 1) * (0.7 if quoted and words & toxicity.REPORTING else 1) * (1.2 if words & toxicity.ADDRESS else 1)
         w *= 1 + 0.5 * min(2, sum(1 for j in around if kinds[j]) - 1)
