@@ -1,7 +1,7 @@
 """Main-text extraction: boosted trees over DOM nodes and hierarchical decoding.
 
-1. ``parse`` builds a tree of elements from tag soup: scripts, styles, comments, markup and elements hidden by their
-   attribute or inline style go, optional end tags (of the head, too) are implied, a tag cut off at the end of the page is dropped.
+1. ``parse`` builds a tree of elements from tag soup: scripts, styles, comments, markup, form controls with their labels and elements hidden by their
+   attribute or inline style (display or visibility) go, optional end tags (of the head, too) are implied, a tag cut off at the end of the page is dropped.
    A page is scanned once from left to right and each element opened and closed once, so broken pages cost no more than others.
 2. ``node_features``: depth, subtree text, link and tag density, punctuation, attribute tokens, the element's kind, and
    how it compares with its siblings, its parent and the page.
@@ -36,9 +36,9 @@ from tallyloom.llm.common import tidy
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
-    " header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
+    " header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("script style noscript template title iframe textarea head canvas audio video".split())
+DROPPED = frozenset("script style noscript template title iframe textarea head canvas audio video button select option datalist label".split())
 #: What may stand in a head; any other element or text ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
 RAW = frozenset("script style title textarea iframe noscript".split())
@@ -60,7 +60,7 @@ PUNCT = re.compile(r"[.,;:!?]")
 TOKENS = re.compile(r"[a-z]+")
 LEADING_ZEROS = re.compile(r"(&#[xX]?)0++(?=[0-9a-fA-F])")
 LONG_REFERENCE = re.compile(r"&#(?:[0-9]{8,}+|[xX][0-9a-fA-F]{7,}+);?")
-HIDDEN_STYLE = re.compile(r"(?:^|;)\s*visibility\s*:\s*hidden\b", re.I)
+HIDDEN_STYLE = re.compile(r"(?:^|;)\s*(?:visibility\s*:\s*hidden|display\s*:\s*none)\b", re.I)
 
 
 class Node:
@@ -342,7 +342,7 @@ def sample_page(rnd: random.Random) -> str:
 
     menu = lambda: named(pick(["nav", "nav", "div"]), ["nav", "menu", "navbar", "top-menu", "breadcrumb", "links"], links(2, 9))
     advert = lambda: named("div", ["ad", "ads", "advert", "banner", "promo-box", "sponsored"], pick([text(1, 2), f"<p>{text(1, 2)}</p>", f"<a href=x>{words(3, 9)}</a>"]))
-    notice = lambda: named("div", ["cookie-notice", "consent", "alert", "notice", "popup"], f"<p>{text(1, 3)}</p><button>{word()}</button>")
+    notice = lambda: named(pick(["div", "div", "dialog"]), ["cookie-notice", "consent", "alert", "notice", "popup"], f"<p>{text(1, 3)}</p><button>{word()}</button>")
     form = lambda: f"<form>{words(1, 4)}<input name=q><label>{words(1, 2)}</label><button>{word()}</button></form>"
     foot = lambda: named(pick(["footer", "footer", "div"]), ["footer", "bottom", "copyright", "legal"], pick(["", "<p>"]) + f"&copy; {word()}.example &middot; {text(1, 2)}" + pick(["", links(2, 5)]))
     aside = lambda: named(pick(["aside", "div"]), ["sidebar", "side", "related", "widget", "recommended"], f"<h3>{words(1, 4)}</h3>" + links(3, 8) + pick(["", f"<p>{text(1, 2)}</p>"]))
@@ -357,6 +357,8 @@ def sample_page(rnd: random.Random) -> str:
                 inner += f' <a href="/x">{words(1, 3)}</a> {text(1, 2)}'
             if rnd.random() < 0.2:
                 inner = f"<b>{inner}" + pick(["</b>", "<br>", ""])
+            if rnd.random() < 0.05:  # a block ends the paragraph, and the text after it is the article's own
+                inner += f"<div{t()}>{text(1, 2)}</div>{words(1, 9)}"
             return f"<p{t()}>{inner}" + pick(["</p>", "</p>", ""])
         if r < 0.83:
             return f"<h2{t()}>{words(2, 7)}</h2>"
@@ -370,7 +372,7 @@ def sample_page(rnd: random.Random) -> str:
     for _ in range(pick([1, 1, 2, 3, 4, 6, 9])):
         parts.append(passage())
         if rnd.random() < 0.12:
-            parts.append(pick([advert, share, aside, form])())
+            parts.append(pick([advert, share, aside, form, notice])())
     if rnd.random() < 0.1:
         parts = parts[:1]
     if rnd.random() < 0.15:

@@ -58,6 +58,48 @@ def test_decoding_is_consistent():
                 assert not (p.state == h.INSIDE and b.state == h.AROUND)
 
 
+def test_decoding_finds_the_best_reading():
+    """Against all labelings of trees of up to eight nodes."""
+    from itertools import product
+
+    rnd = random.Random(6)
+    for _ in range(150):
+        nodes = [h.Node("div", (), None)]
+        for _ in range(rnd.randint(1, 7)):
+            nodes.append(h.Node("div", (), rnd.choice(nodes)))
+        chance = np.array([rnd.random() for _ in nodes])
+        number = {id(b): i for i, b in enumerate(nodes)}
+        up = [number.get(id(b.parent), -1) for b in nodes]
+
+        def worth(states, up=up, chance=chance):
+            total = 0.0
+            for i, s in enumerate(states):
+                above = h.AROUND if up[i] < 0 else states[up[i]]
+                if above == h.AROUND and s == h.NOISE or above == h.INSIDE and s == h.AROUND or above == h.NOISE and s != h.NOISE:
+                    return -1e9
+                total += np.log(chance[i] if s == h.INSIDE else 1 - chance[i]) + (h.ENTER if above == h.AROUND and s == h.INSIDE else 0)
+            return total
+
+        h.decode(nodes, chance)
+        best = max(worth(s) for s in product((h.AROUND, h.INSIDE, h.NOISE), repeat=len(nodes)))
+        assert abs(worth([b.state for b in nodes]) - best) < 1e-9
+
+
+def test_controls_and_dialogs_go():
+    whole = run([PAGE])[0]
+    for part in ("<select><option>One<option>Two</select>", "<button>Buy</button>", "<label>Email</label>", "<select><option>a</option></select><label>b <button>c</button></label>"):
+        assert run([PAGE.replace("First", f"First{part}")]) == [whole], part
+    notice = '<dialog class="cookie-consent"><p>We use cookies on this site. Accept them all.</p><button>Ok</button></dialog>'
+    assert run([PAGE.replace("<p>Second", f"{notice}<p>Second")]) == [whole]
+    assert run([PAGE.replace("<p>Second", "<p style='Display : none'>Gone, and it was long enough.</p><p>Second")]) == [whole]
+
+
+def test_blocks_inside_paragraphs_stay():
+    inner = "<p>One sentence is here, and it is long enough to count.<div>Two follows it, and has words of its own, too.</div>three goes on.</p><p>Second"
+    got = run([PAGE.replace("<p>Second", inner)])[0].split("\n")
+    assert got[2:5] == ["One sentence is here, and it is long enough to count.", "Two follows it, and has words of its own, too.", "three goes on."]
+
+
 def test_query_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (None, None, None), (2, "v", ""), (1, "u", PAGE)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     rows = h.main_text(pages).collect()
