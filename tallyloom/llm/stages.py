@@ -28,12 +28,16 @@ def aside(docs: DataFrame, prefixes: tuple[str, ...], work) -> DataFrame:
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores under its threshold go."""
+    """Documents that the quality classifier scores under its threshold go.
+
+    Null and empty texts are scored by the model's bias; equal rows are judged alike; an empty table stays empty.
+    """
     return nbsvm.score(docs, nbsvm.train(docs, load(spark, sf_dir, "labels")), keep=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five-word shingles, similarity 0.8): the one of smallest id, then text.
+    """One document of each group of near copies stays (five-word shingles, similarity 0.8): the one of smallest id (nulls last),
+    of equal ids the one whose text has the smallest hash, of equal texts the first row.
 
     Each row is a document, whatever its id: rows that share an id or have none are judged by their texts, and of equal rows
     one stays (of those without words, too, if their ids are equal). Only rows that may go (a filter of bounded size tells
@@ -58,7 +62,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; n_chars follows the text."""
+    """Secrets are replaced by a mark; n_chars follows the text. Null and empty texts stay as they are."""
     return aside(docs, ("secret_",), _redacted)
 
 
@@ -73,10 +77,13 @@ def _redacted(docs: DataFrame) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as their source's target asks for."""
+    """The mix: documents as often as their source's target asks for.
+
+    A null source is a source; one without words has target 0 and goes; of equal rows as many stay as fit; an empty table stays empty.
+    """
     return aside(docs, ("mix_", "cut_"), lambda d: mixing.repeated(mixing.mix(d), d.columns))
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each copy."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each copy; null and empty texts have no ids."""
     return encode_documents(docs, with_ids=True)
