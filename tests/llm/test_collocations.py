@@ -79,7 +79,8 @@ def test_hot_prefixes_change_nothing(spark, monkeypatch):
     for often in (1, 10**9):
         monkeypatch.setattr(collocations, "OFTEN", often)
         assert got(collocations.collocations(docs, 10)) == expect
-    small = collocations.suffixes(docs, plan, held=50)
+    keep = collocations.frequent(docs, 1, held=40)
+    small = collocations.suffixes(docs, keep, plan, held=50)
     counts = collocations.stacked(small.repartition(7, collocations.route()).sortWithinPartitions(F.desc("suffix")), plan, 1)
     whole = {(r["lang"], r["phrase"], r["words"]): r["n"] for r in counts.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).collect()}
     one = collocations.stacked(collocations.suffixes(docs).coalesce(1).sortWithinPartitions(F.desc("suffix")), frozenset(), 1)
@@ -91,11 +92,55 @@ def test_a_hot_word_is_split(spark):
     rows = [("en", " ".join(f"hot w{(i * 7 + j) % 997} x{(i + j) % 89}" for j in range(200))) for i in range(30)]
     docs = frame(spark, rows)
     hot = collocations.hot_prefixes(docs, 16, len(rows))
-    dealt = collocations.suffixes(docs, hot).repartition(16, collocations.route())
+    dealt = collocations.suffixes(docs, hot=hot).repartition(16, collocations.route())
     sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     assert "en\nhot\n" in hot and max(sizes) < 4 * sum(sizes) / 16
 
 
+def test_small_chunks_and_vocabularies_change_nothing(spark, monkeypatch):
+    """Texts are read in chunks, blocks go on in the middle of a text, and words are numbered anew."""
+    import pyarrow as pa
+
+    rows = corpus(6, 40) + [("en", "x" * 500 + " y " + "z" * 300 + ". a b"), ("en", " ".join(f"v{i}" for i in range(300)))]
+    def table():
+        return iter([pa.RecordBatch.from_pydict({"lang": pa.array([r[0] for r in rows], pa.string()), "text": pa.array([r[1] for r in rows], pa.string())})])
+
+    def seen(held):
+        f = Counter()
+        for tag, line, upto, ids in collocations.blocks(table(), held):
+            words = [ids.words[i] for i in line]
+            for i in range(upto):
+                for m in range(1, 5):
+                    if all(words[i : i + m]):
+                        f[tag, tuple(words[i : i + m])] += 1
+        return f
+
+    whole = seen(10**9)
+    monkeypatch.setattr(collocations, "CHUNK", 64)
+    monkeypatch.setattr(collocations, "VOCABULARY", 50)
+    assert seen(10**9) == whole == seen(1) == seen(37)
+
+
+def test_the_filter_holds_every_member(spark):
+    rows = corpus(7)
+    docs = frame(spark, rows)
+    keep = collocations.frequent(docs, 20)
+    f = Counter()
+    for lang, text in rows:
+        for piece in re.split("[.,;:!?\x0a-\x0d]", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")):
+            w = re.findall("[^\x20\x09]+", piece)
+            f.update((lang, *w[i : i + m]) for i in range(len(w)) for m in (1, 2) if i + m <= len(w))
+    out, inside = [], []
+    for (lang, *words), n in f.items():
+        ids = collocations._Ids()
+        import numpy as np
+
+        line = np.array([ids[w.encode()] for w in words], np.int32)
+        word, pair = collocations._hashes(collocations._tag(lang), line, ids)
+        (inside if n >= 20 else out).append(bool(keep.has(pair if len(words) == 2 else word)[0]))
+    assert all(inside) and inside and sum(out) < 0.2 * len(out)
+
+
 def test_large_counts_are_exact(spark):
     """Products beyond 64 bits: the counts themselves are given."""
     big = 3 * 10**15
