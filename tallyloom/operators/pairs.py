@@ -11,6 +11,8 @@ from tallyloom.functions.hashing import coin, hash_order, pair_id
 from tallyloom.sources.scratch import materialize
 
 FLOOR, RATIO = 5, 2.0
+#: Rows of a question in one part; a larger question is dealt to several. FEW questions are broadcast, more are shuffled.
+UNIT, FEW = 2_000, 100_000
 
 
 @dataclass(frozen=True)
@@ -37,16 +39,32 @@ class Pool:
 POOLS = [Pool("clear", True), Pool("subtle", True), Pool("tracked", True), Pool("tie", False), Pool("confidence", True), Pool("length", True)]
 
 
-def candidate_pairs(cands: DataFrame, pools: list[Pool] = POOLS) -> DataFrame:
+def _dealt(base: DataFrame, unit: int) -> DataFrame:
+    """``base`` with the number of parts of the row's question and the row's part; questions of up to ``unit`` rows have one part."""
+    hot = base.groupBy("question").agg(F.count("*").alias("_n")).where(F.col("_n") > unit)
+    hot = materialize(hot.select(F.col("question").alias("_hot"), F.ceil(F.col("_n") / unit).cast("int").alias("_k")), "hot-questions")
+    few = hot.count()
+    if not few:
+        return base.withColumn("_k", F.lit(1)).withColumn("_part", F.lit(0))
+    hot = F.broadcast(hot) if few <= FEW else hot.hint("shuffle_hash")
+    j = base.join(hot, F.col("question") == F.col("_hot"), "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    return j.select(*base.columns, "_k", F.pmod(F.xxhash64("key"), F.col("_k")).cast("int").alias("_part"))
+
+
+def candidate_pairs(cands: DataFrame, pools: list[Pool] = POOLS, unit: int = UNIT) -> DataFrame:
     """One equi-self-join for all pools: (question, a_key, b_key, a_model, b_model, in_<pool> flags).
 
     ``cands``: question, key (unique in the question), model, level, hedged, uncertain, wc. Only columns the predicates
-    need take part in the shuffle.
+    need take part in the shuffle. The rows of a large question are dealt to k parts, and each pair of parts is a key of its
+    own: a row is sent k times, and a task meets ``unit`` times ``unit`` rows instead of the whole square.
     """
     base = cands.select("question", "key", "model", "level", "hedged", "uncertain", "wc").where("level <> 'excluded'")
-    side = lambda p: base.select("question", *[F.col(c).alias(f"{p}_{c}") for c in base.columns[1:]])
+    base = _dealt(base, unit)
+    every = F.explode(F.sequence(F.lit(0), F.col("_k") - 1))
+    cell = {"a": [F.col("_part").alias("_i"), every.alias("_j")], "b": [every.alias("_i"), F.col("_part").alias("_j")]}
+    side = lambda p: base.select("question", *cell[p], *[F.col(c).alias(f"{p}_{c}") for c in base.columns[1:-2]])
     a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
-    joined = side("a").join(side("b"), "question").where(F.col("a_key") != F.col("b_key"))
+    joined = side("a").join(side("b"), ["question", "_i", "_j"]).where(F.col("a_key") != F.col("b_key"))
     joined = joined.select("question", "a_key", "b_key", "a_model", "b_model", *[F.coalesce(p.test(a, b), F.lit(False)).alias(f"in_{p.name}") for p in pools])
     any_pool = F.lit(False)
     for p in pools:
@@ -65,6 +83,37 @@ def measure_pools(pairs: DataFrame, pools: list[Pool] = POOLS) -> DataFrame:
     return pairs.agg(*[F.count_if(F.col(f"in_{p.name}")).alias(p.name) for p in pools])
 
 
+def pool_sizes(cands: DataFrame) -> DataFrame:
+    """A8 without any pair: the sizes of all pools from counts by question and model and, for J7, from running counts by length.
+
+    ``cands`` as in ``candidate_pairs``, keys unique in their question; nulls count as they do there. Counts are combined before
+    they are shuffled, so a hot question is a few rows a task.
+    """
+    is_ = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    c = F.col
+    biased, neutral = c("level") == "biased", c("level") == "neutral"
+    base = cands.where("key is not null and question is not null")
+    by_model = base.groupBy("question", "model").agg(
+        is_(biased).alias("b"), is_(biased & ~c("hedged")).alias("plain"), is_(biased & c("hedged")).alias("hedged"),
+        is_(neutral).alias("n"), is_(neutral & c("uncertain")).alias("unsure"), is_(c("level") == "unclear").alias("unclear"),
+    )
+    named = lambda x: F.sum(F.when(c("model").isNotNull(), x))
+    q = by_model.groupBy("question").agg(
+        (named(c("plain")) * named(c("n")) - named(c("plain") * c("n"))).alias("clear"),
+        (F.sum("hedged") * F.sum("n")).alias("subtle"), (F.sum("b") * F.sum("unclear")).alias("tracked"),
+        F.expr("(sum(if(model is not null, n, 0)) * sum(if(model is not null, n, 0)) - sum(if(model is not null, n * n, 0))) div 2").alias("tie"),
+        (F.sum("plain") * F.sum("unsure")).alias("confidence"),
+    )
+    # A neutral row stands where its longer partner must be at least; biased rows from there on are counted.
+    place = F.when(biased, c("wc").cast("double")).when(neutral & (c("wc") >= FLOOR), RATIO * c("wc"))
+    at = base.select("question", place.alias("place"), biased.alias("biased")).where("place is not null")
+    at = at.groupBy("question", "place").agg(F.count_if("biased").alias("b"), F.count_if(~c("biased")).alias("n"))
+    longer = F.sum("b").over(Window.partitionBy("question").orderBy(F.desc("place")).rangeBetween(Window.unboundedPreceding, 0))
+    length = at.withColumn("longer", longer).agg(F.coalesce(F.sum(c("longer") * c("n")), F.lit(0)).alias("length"))
+    names = ["clear", "subtle", "tracked", "tie", "confidence"]
+    return q.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in names]).crossJoin(F.broadcast(length))  # one row each
+
+
 def sample_pairs(pairs: DataFrame, targets: dict[str, int], seed: object, per_question: int, seen: DataFrame | None = None, pools: list[Pool] = POOLS) -> DataFrame:
     """Buckets in order of priority; a pair id once over all buckets; at most ``per_question`` of a question in a bucket.
 

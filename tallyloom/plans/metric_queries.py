@@ -171,18 +171,19 @@ def a27_median_ratio(spark, d):
 
 @query("select event_type, round(quantile_cont(value, 0.9), 6) as p90 from events group by 1")
 def a28_percentile_linear(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(stats.percentile_linear(F.col("value"), 0.9), 6).alias("p90"))
+    return stats.percentile_linear(table(spark, d, "events"), ["event_type"], "value", 0.9).select("event_type", F.round("percentile", 6).alias("p90"))
 
 
 @query("select event_type, (list_sort(list(value)))[1 + round_even(0.95 * (count(*) - 1), 0)::int] as p95 from events group by 1")
 def a29_percentile_nearest(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(stats.percentile_nearest(F.col("value"), 0.95).alias("p95"))
+    return stats.percentile_nearest(table(spark, d, "events"), ["event_type"], "value", 0.95).select("event_type", F.col("percentile").alias("p95"))
 
 
 @query("select lang, max(n_chars) as longest, (list_sort(list(n_chars)))[1 + least(floor(0.99 * count(*)), count(*) - 1)::int] as p99, max(n_chars) <= 100000 as fits from documents group by 1")
 def a30_percentile_trunc(spark, d):
-    g = table(spark, d, "documents").groupBy("lang")
-    return g.agg(F.max("n_chars").alias("longest"), stats.percentile_trunc(F.col("n_chars"), 0.99).alias("p99"), (F.max("n_chars") <= 100000).alias("fits"))
+    also = [F.max("n_chars").alias("longest"), (F.max("n_chars") <= 100000).alias("fits")]
+    p = stats.percentile_trunc(table(spark, d, "documents"), ["lang"], "n_chars", 0.99, also)
+    return p.select("lang", "longest", F.col("percentile").alias("p99"), "fits")
 
 
 @query("select lang, count(n_chars)::bigint as n, round(avg(n_chars), 6) as mean, median(n_chars) as median, quantile_cont(n_chars, 0.9) as p90 from documents group by 1")
@@ -390,10 +391,9 @@ def g6_median_ratio_gate(spark, d):
   g as (select round(max(m) / min(m), 6) as v from (select lang, median(n_chars) as m from documents group by 1))
   select 'median_ratio' as gate, case when m <= 1.15 then 'PASS' else 'BLOCK' end as decision from x union all select 'p90_ratio', case when p <= 1.2 then 'PASS' else 'WARN' end from x union all select 'divergence', case when v <= 1.25 then 'PASS' else 'WARN' end from g""")
 def g7_length_gates(spark, d):
-    docs = table(spark, d, "documents")
-    en, fr = F.when(F.col("lang") == "en", F.col("n_chars")), F.when(F.col("lang") == "fr", F.col("n_chars"))
-    one = docs.agg((F.median(en) / F.median(fr)).alias("median_ratio"), (stats.percentile_linear(en, 0.9) / stats.percentile_linear(fr, 0.9)).alias("p90_ratio"))
-    both = one.crossJoin(F.broadcast(stats.divergence(docs, "lang", "n_chars").select("divergence")))  # one row each
+    of = lambda lang: F.when(F.col("lang") == lang, F.col("n_chars")).alias(lang)
+    docs = table(spark, d, "documents").select("lang", "n_chars", of("en"), of("fr"))
+    both = stats.length_ratios(docs, "en", "fr").crossJoin(F.broadcast(stats.divergence(docs, "lang", "n_chars").select("divergence")))  # one row each
     return gates.length_gates(both).select("gate", "decision")
 
 

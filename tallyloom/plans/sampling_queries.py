@@ -180,7 +180,7 @@ for _name in ("clear", "subtle", "tracked", "tie", "length", "confidence"):
 
 @query(f"select {', '.join(f'coalesce(sum(in_{p}::int), 0)::bigint as {p}' for p in TARGETS)} from {PAIRS}")
 def a8_pool_sizes(spark, d):
-    return pairs.measure_pools(pairs.candidate_pairs(candidates(spark, d)))
+    return pairs.pool_sizes(candidates(spark, d)).select(*TARGETS)
 
 
 @query("select o_orderpriority, o_orderstatus, count(*)::bigint as n from orders group by 1, 2")
@@ -204,6 +204,6 @@ def g3_shortfall_gate(spark, d):
   c as (select least(3000, round_even(0.02 * subtle, 0))::bigint as subtle, least(400, round_even(0.02 * length, 0))::bigint as length, least(125, round_even(0.02 * confidence, 0))::bigint as confidence from p)
   select subtle, length, confidence, least(525, length + confidence)::bigint as adversarial from c""")
 def g4_dynamic_caps(spark, d):
-    sizes = pairs.measure_pools(pairs.candidate_pairs(candidates(spark, d))).first().asDict()  # six counts
+    sizes = pairs.pool_sizes(candidates(spark, d)).first().asDict()  # six counts
     targets, split = pairs.dynamic_caps({"subtle": 3000, "adversarial": 525}, {"length": 400, "confidence": 125}, sizes, 0.02)
     return spark.createDataFrame([(targets["subtle"], split["length"], split["confidence"], targets["adversarial"])], "subtle long, length long, confidence long, adversarial long")

@@ -66,7 +66,8 @@ def test_pair_pools_and_first_wins(spark):
             want["tie"] += a[3] == b[3] == "neutral" and a[2] != b[2] and a[1] < b[1]
             want["length"] += bn and b[6] >= 5 and a[6] >= 2 * b[6]
             want["confidence"] += bn and not a[4] and b[5]
-    assert size == want
+    assert size == want == pairs.pool_sizes(df).first().asDict()
+    assert rows(pairs.candidate_pairs(df, unit=2)) == rows(got)  # every question is dealt to three parts
     targets = {"clear": 12, "subtle": 9, "tracked": 30, "tie": 15, "confidence": 4, "length": 6}
     for cap in (1, 2):
         picked = pairs.sample_pairs(got, targets, 42, cap)
@@ -136,9 +137,9 @@ def test_consistency_and_histogram(spark):
 
 def test_percentiles(spark):
     d = lambda x: spark.createDataFrame([(float(v),) for v in x], "x double")
-    lin = lambda x, p: d(x).agg(stats.percentile_linear(F.col("x"), p).alias("v")).first()["v"]
+    lin = lambda x, p: stats.percentile_linear(d(x), [], "x", p).first()["percentile"]
     assert lin([], 0.5) == 0 and lin([42.0], 0.9) == 42 and [lin([1.0, 2, 3, 4, 5], p) for p in (0.5, 1.0, 0.0)] == [3, 5, 1]
-    near = lambda x, p: d(x).agg(stats.percentile_nearest(F.col("x"), p).alias("v")).first()["v"]
+    near = lambda x, p: stats.percentile_nearest(d(x), [], "x", p).first()["percentile"]
     rnd = random.Random(1)
     for n in (1, 2, 5, 18):
         x = [rnd.random() for _ in range(n)]
