@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import metric_queries, record_queries, relational_queries, sampling_queries, text_queries  # noqa: F401  (they register)
+from tallyloom.plans import metric_queries, record_queries, relational_queries, sampling_queries, stream_queries, text_queries  # noqa: F401  (they register)
 from tallyloom.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators.merge import merge_patches
+from tallyloom.sources.jsonl import _fs
 from tallyloom.sources.scratch import discard, materialize
 from tallyloom.sources.sinks import replace
 
@@ -15,6 +16,15 @@ def log_stream(spark: SparkSession, path: str, schema: str, form: str = "json",
     return spark.readStream.format(form).schema(schema).option("maxFilesPerTrigger", files).load(path)
 
 
+def table_stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
+    """A Parquet table, a folder or one file, as a stream of its files."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+    fs, p = _fs(spark, path)
+    if fs.getFileStatus(p).isFile():  # a stream reads folders
+        return reader.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
+    return reader.parquet(path)
+
+
 def pending_stream(work: DataFrame, key: str, ts: str, late: str) -> DataFrame:
     """Resume by skip set: each key once; state goes with the watermark."""
     return work.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
