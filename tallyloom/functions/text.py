@@ -156,12 +156,10 @@ def clean_reasoning(c: Column) -> Column:
 
 
 def swap_labels(c: Column) -> Column:
-    """T14: "Response A" and "Response B" change places at once, in two casings."""
-    for first, mark in (("Response", "\x01"), ("response", "\x02")):
-        c = F.replace(c, F.lit(f"{first} A"), F.lit(mark))
-        c = F.replace(c, F.lit(f"{first} B"), F.lit(f"{first} A"))
-        c = F.replace(c, F.lit(mark), F.lit(f"{first} B"))
-    return c
+    """T14: "Response A" and "Response B" change places at once, in two casings: the text is cut before each label's letter."""
+    parts = F.split(c, "(?<=[Rr]esponse )(?=[AB])")
+    flip = lambda p: F.concat(F.when(F.startswith(p, F.lit("A")), "B").otherwise("A"), F.substring(p, F.lit(2), F.length(p)))
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(flip(p))), "")
 
 
 def flip_verdict(v: Column) -> Column:

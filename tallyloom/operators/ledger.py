@@ -12,10 +12,30 @@ def total(df: DataFrame, cost: str, where: str | None = None) -> DataFrame:
     return df.agg(F.round(F.coalesce(F.sum(cost), F.lit(0.0)), 4).alias("total"))
 
 
-def running(df: DataFrame, by: list[str], order: list[str], cost: str) -> DataFrame:
-    """Spend so far in each group; a group is a phase or a user, one ledger's rows."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("spent", F.round(F.sum(cost).over(w), 4))
+def running(df: DataFrame, by: list[str], order: list[str], cost: str, rows: int = 1_000_000, most: int = 1_024) -> DataFrame:
+    """Spend so far in each group, in two levels, so that a group of any size is dealt to many tasks.
+
+    Ranges of the first order column (about ``rows`` each, ``most`` at most) get their sums by group, prefix sums of these tell what a
+    range begins with, and a window runs inside (group, range). Equal values of that column are in one range; nulls come first.
+    """
+    inner = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranges = min(most, max(1, df.count() // rows))
+    at = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(df.agg(F.percentile_approx(order[0], at, 4 * most).alias("b")).first()["b"] or [])) if at else []
+    if not bounds:
+        return df.withColumn("spent", F.round(F.sum(cost).over(inner.partitionBy(*by)), 4))
+    kind = df.schema[order[0]].dataType
+    place = F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col(order[0])))
+    dealt = df.withColumn("_range", place)
+    sums = dealt.groupBy(*by, "_range").agg(F.sum(cost).alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col("_range").alias("_r"), before.alias("_before"))
+    on = F.col("_range") == F.col("_r")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    here = F.sum(cost).over(inner.partitionBy(*by, "_range"))
+    spent = F.when(here.isNotNull() | F.col("_before").isNotNull(), F.coalesce("_before", F.lit(0.0)) + F.coalesce(here, F.lit(0.0)))
+    return dealt.join(sums, on).select(*df.columns, F.round(spent, 4).alias("spent"))
 
 
 def usage_totals(df: DataFrame, by: list[str], counters: list[str]) -> DataFrame:

@@ -54,6 +54,16 @@ def s3_numbered_errors(spark, d):
     return jsonl.malformed_lines(spark, path, "k long").select("line", "text")
 
 
+@query("""select line, sha256(t) as text_sha256 from (select row_number() over (order by o_orderkey) as line, '{"k": ' || o_orderkey || ' ' || o_orderpriority as t, o_orderstatus as s from orders)
+  where s = 'P'""")
+def s3_numbered_splits(spark, d):
+    path, o = _at(spark, "log"), table(spark, d, "orders")
+    bad = F.concat(F.lit('{"k": '), "o_orderkey", F.lit(" "), "o_orderpriority")
+    line = F.when(F.col("o_orderstatus") == "P", bad).otherwise(F.to_json(F.struct(F.col("o_orderkey").alias("k"))))
+    o.coalesce(1).sortWithinPartitions("o_orderkey").select(line.alias("value")).write.text(path)  # one file, read in many splits
+    return jsonl.malformed_lines(spark, path, "k long").select("line", F.sha2("text", 256).alias("text_sha256"))
+
+
 @query("select o_orderkey, o_totalprice from orders where o_orderstatus = 'F'")
 def s4_one_split(spark, d):
     path = _at(spark, "splits")
@@ -453,7 +463,7 @@ def x5_preflight(spark, d):
 
 @query("select n_name from nation where contains(lower(n_name), 'an') and n_name <> 'an' order by n_name limit 10")
 def x6_known_models(spark, d):
-    return connectors.suggestions("an", table(spark, d, "nation").where("contains(lower(n_name), 'an')"), "n_name")
+    return connectors.suggestions("an", table(spark, d, "nation"), "n_name")
 
 
 @query("select c_custkey, case when c_nationkey < 10 then 'cached' else reverse(lower(c_mktsegment)) end as text from customer where c_nationkey < 10 or not contains(c_mktsegment, 'O')")
@@ -509,6 +519,15 @@ def x10_timed_calls(spark, d):
     return out.select("c_custkey", "pieces", "degraded", ((F.col("ttft_s") <= F.col("total_s")) & (F.col("total_s") >= 0)).alias("timed"))
 
 
+@query("""select c_custkey, case when contains(c_mktsegment, 'O') then null else reverse(lower(c_mktsegment)) end as text, case when contains(c_mktsegment, 'O') then 'Permanent' end as error,
+  count(*) over (partition by c_nationkey)::bigint as calls from customer""")
+def x4_calls_by_partition(spark, d):
+    r = table(spark, d, "customer").select("c_custkey", "c_nationkey", F.lower("c_mktsegment").alias("prompt"))
+    out = materialize(connectors.call_partitions(r, _client, "c_custkey", "prompt", "c_nationkey", attempts=1), "udtf-calls")
+    calls = out.groupBy("client").agg(F.max("nth").alias("calls"))  # a client serves one partition, in which it counts its calls
+    return out.join(calls, "client").select("c_custkey", "text", "error", "calls")
+
+
 @query("select n_nationkey, reverse(n_name) as text from nation where n_nationkey in (2, 5, 11)")
 def x11_probe_generation(spark, d):
     probes = jsonl.probe_rows(table(spark, d, "nation"), "n_nationkey", [2, 5, 11])

@@ -8,7 +8,7 @@ from tallyloom.functions import text
 from tallyloom.operators import formatting, merge, metrics, validation
 from tallyloom.plans.analogues import DIALOGUE, SAMPLED, TRUTH, WIDE, dialogue, sampled, table, truth, wide
 from tallyloom.plans.registry import query
-from tallyloom.sources import jsonl, sinks
+from tallyloom.sources import connectors, jsonl, sinks
 
 
 # ---- sources -----------------------------------------------------------------------------------
@@ -214,11 +214,20 @@ def a41_terminal_failures(spark, d):
     return merge.terminal_failures(li.where("l_returnflag = 'R'"), li.where("l_returnflag = 'A'"), "l_orderkey")
 
 
-@query("select c_custkey, n_name from customer join nation on starts_with(c_name, 'Customer') and contains(n_name, substr(c_mktsegment, 1, 1)) and c_nationkey = n_nationkey")
+_IDS = "case when c_custkey % 3 = 0 then 'x' when c_custkey % 3 = 1 then 'acme' else 'Acme-labs' end || '/' || lower(c_mktsegment) || '-' || c_nationkey || case when c_custkey % 5 = 0 then '-chat' else '' end"
+_ASKED = f"""case when s_suppkey % 4 = 0 then 'ACME/' || 'building-' || s_nationkey when s_suppkey % 4 = 1 then 'acme-labs/unknown' when s_suppkey % 4 = 2 then 'machinery-' || s_nationkey
+  else 'x/furniture-' || s_nationkey end"""
+_RUNS = "list_distinct(list_transform(range(1, greatest(length(%s) - 2, 1) + 1), lambda i: substr(lower(%s), i, 3)))"
+
+
+@query(f"""with known as (select distinct {_IDS} as id from customer), wanted as (select distinct {_ASKED} as w from supplier), misses as (select w from wanted where w not in (select id from known)),
+  m as (select w, id, contains(lower(id), lower(w)) as whole, len(list_intersect({_RUNS % ('w', 'w')}, {_RUNS % ('id', 'id')})) as shared from misses, known
+    where contains(lower(id), lower(w)) or contains(id, split_part(w, '/', 1)))
+  select w as wanted, id as suggestion, place::int as place from (select *, row_number() over (partition by w order by whole desc, shared desc, id) as place from m) where place <= 10""")
 def j25_nearest_match(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    j = table(spark, d, "customer").join(n, "c_nationkey")
-    return j.where(F.startswith("c_name", F.lit("Customer")) & F.contains("n_name", F.substring("c_mktsegment", 1, 1))).select("c_custkey", "n_name")
+    known = table(spark, d, "customer").select(F.expr(_IDS).alias("model"))
+    wanted = table(spark, d, "supplier").select(F.expr(_ASKED).alias("model"))
+    return connectors.nearest(wanted, known, "model")
 
 
 @query(f"select pair, coalesce(b.plain, '') as base, coalesce(t.plain, '') as tuned from (select * from {WIDE} where model = 'base') b left join (select pair, plain from {WIDE} where model = 'tuned') t using (pair)")

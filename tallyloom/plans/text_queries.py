@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.functions import hashing, rules, text
+from tallyloom.functions import chat, hashing, rules, text
 from tallyloom.plans.analogues import WIDE, table, wide
 from tallyloom.plans.registry import query
 
@@ -310,9 +310,41 @@ def t19_apply_chat(spark, d):
     return docs(spark, d).select("doc_id", text.apply_chat(F.col("lang"), F.col("source")).alias("prompt"))
 
 
-@query(r"select doc_id, regexp_matches(text, '(?i)\b(?:of\s+the|is)\b') as hit from documents where lang = 'en'")
+_TRIM = "trim(%s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_SYSTEM, _USER = "'Conversation ' || conv_id || '. '", "coalesce(text, '')"
+_IM = f"""case when turn % 2 = 0 then '<|im_start|>system' || chr(10) || {_SYSTEM} || '<|im_end|>' || chr(10) else '<|im_start|>system' || chr(10) || 'You are a helpful assistant.<|im_end|>' || chr(10) end
+  || '<|im_start|>' || role || chr(10) || {_USER} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)"""
+_HEADER = f"""'<|begin_of_text|>' || case when turn % 2 = 0 then '<|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || {_TRIM % _SYSTEM} || '<|eot_id|>' else '' end
+  || '<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || chr(10) || {_TRIM % _USER} || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10)"""
+_TURN = f"""'<bos><start_of_turn>' || case role when 'assistant' then 'model' else role end || chr(10) || case when turn % 2 = 0 then {_TRIM % _SYSTEM} || chr(10) || chr(10) else '' end || {_TRIM % _USER}
+  || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10)"""
+_RENDERED = " union all ".join(f"select conv_id, turn, '{n}' as template, sha256({sql}) as rendered from conversations" for n, sql in (("im", _IM), ("header", _HEADER), ("turn", _TURN)))
+
+
+def _rendered(spark, d):
+    """Every turn as a prompt of each template, with a system message at even turns."""
+    message = lambda role, content: F.struct(role.alias("role"), content.alias("content"))
+    system = message(F.lit("system"), F.concat(F.lit("Conversation "), F.col("conv_id"), F.lit(". ")))
+    user = message(F.col("role"), F.col("text"))
+    messages = F.when(F.col("turn") % 2 == 0, F.array(system, user)).otherwise(F.array(user))
+    each = [F.struct(F.lit(n).alias("template"), F.sha2(t.render(F.col("messages")), 256).alias("rendered")) for n, t in chat.TEMPLATES.items()]
+    return table(spark, d, "conversations").withColumn("messages", messages).select("conv_id", "turn", F.inline(F.array(*each)))
+
+
+@query(_RENDERED)
+def t19_chat_templates(spark, d):
+    return _rendered(spark, d)
+
+
+@query(f"select conv_id, turn, count(distinct rendered) = 1 as agree, count(distinct rendered)::bigint as renderings from ({_RENDERED}) group by 1, 2")
+def a40_template_renderings(spark, d):
+    h = F.count_distinct("rendered")
+    return _rendered(spark, d).groupBy("conv_id", "turn").agg((h == 1).alias("agree"), h.alias("renderings"))
+
+
+@query(r"select doc_id, regexp_matches(text, '(?i)\b(?:of\s+the|is)\b') as hit from documents")
 def t7_phrase_match(spark, d):
-    return docs(spark, d).where("lang = 'en'").select("doc_id", text.phrase_match(F.col("text"), ("of the", "is")).alias("hit"))
+    return docs(spark, d).select("doc_id", text.phrase_match(F.col("text"), ("of the", "is")).alias("hit"))
 
 
 @query("select doc_id, 'B' as letter, source as text from documents")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
+from pyspark.sql.functions import udtf
 
 from tallyloom.functions import rules
 from tallyloom.sources.sinks import upsert_json
@@ -84,6 +88,43 @@ def call_rows(requests: DataFrame, make_client: Callable[[], Callable[[str], str
     return requests.select(key, prompt).mapInPandas(run, f"{key} {kind}, text string, error string, status int, seconds double")
 
 
+def call_partitions(requests: DataFrame, make_client: Callable[[], Callable[[str], str]], key: str, prompt: str, by: str, attempts: int = 3, base: float = 2.0) -> DataFrame:
+    """§2.12: a model call as a table function over a table that is partitioned by ``by`` (a model, a provider, a tenant).
+
+    (key, text, error, status, client, nth): ``make_client`` builds a client once a partition, so that limits and sessions belong to
+    it; ``client`` names the partition's value and ``nth`` is the call's number there. Errors are rows. Rows of one partition are
+    called one after another, as a session asks for; without such a need ``call_rows`` spreads them over tasks.
+    """
+    spark = requests.sparkSession
+    columns = {"key": requests.schema[key].dataType, "text": T.StringType(), "error": T.StringType(), "status": T.IntegerType(), "client": T.StringType(), "nth": T.LongType()}
+    shape = T.StructType([T.StructField(k, v) for k, v in columns.items()])
+
+    class Calls:
+        def __init__(self):
+            self.client, self.nth = make_client(), 0
+
+        @staticmethod
+        def analyze(rows: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable or {f.name for f in rows.dataType} != {"key", "prompt", "part"}:
+                raise ValueError("calls() takes a table of key, prompt and part")
+            return AnalyzeResult(schema=shape, partitionBy=[PartitioningColumn("part")], orderBy=[OrderingColumn("key")])
+
+        def eval(self, row: Row):
+            text, error, status = None, None, None
+            self.nth += 1
+            try:
+                text = with_retries(lambda: self.client(row["prompt"]), attempts, base)
+            except Exception as e:
+                error, status = type(e).__name__, getattr(e, "status", None)
+            yield row["key"], text, error, status, row["part"], self.nth
+
+    name = f"calls_{uuid.uuid4().hex}"
+    rows = requests.select(F.col(key).alias("key"), F.col(prompt).alias("prompt"), F.col(by).cast("string").alias("part"))
+    rows.createOrReplaceTempView(f"{name}_rows")
+    spark.udtf.register(name, udtf(Calls))
+    return spark.sql(f"select * from {name}(table({name}_rows))").withColumnRenamed("key", key)
+
+
 def cached_calls(requests: DataFrame, cache: DataFrame, make_client, key: str, prompt: str) -> DataFrame:
     """Only what the cache lacks is called; the result has old and new rows."""
     todo = requests.join(cache.select(key), key, "left_anti")
@@ -200,12 +241,47 @@ def label_session(rows: list[dict], ask: Callable[[dict], str], key: str = "pair
 
 
 def suggestions(wanted: str, known: DataFrame, column: str = "model", most: int = 10) -> DataFrame:
-    """At most ``most`` known ids that contain the wanted one, whatever its case, or its part before a slash."""
+    """J25/X6 for one id: at most ``most`` known ids that contain it, whatever its case, or its part before a slash."""
     maker = wanted.split("/")[0]
     test = F.contains(F.lower(F.col(column)), F.lit(wanted.lower())) | F.contains(F.col(column), F.lit(maker))
     return known.where((F.col(column) != wanted) & test).select(column).distinct().orderBy(column).limit(most)
 
 
+def _pieces(c: Column, size: int = 3) -> Column:
+    """The distinct runs of ``size`` characters of a string; of a shorter string itself."""
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(size)))
+    return F.array_distinct(runs)
+
+
+def nearest(wanted: DataFrame, known: DataFrame, column: str, most: int = 10) -> DataFrame:
+    """J25/X6 for a table of ids: (wanted, suggestion, place) of the ids in ``wanted[column]`` that ``known[column]`` lacks.
+
+    A known id is suggested if it holds the wanted one, whatever the case, or its part before a slash. The first come
+    first: whole before part, more shared runs of three characters, then by name; ``most`` at most each.
+
+    Candidates come from an inverted index of the runs of one, two and three characters of the known ids: an id is looked up by
+    the rarest run of what it must hold, so a run that all ids share is asked only where nothing rarer is known; nothing is
+    compared with all ids. Ids that are known, and null ones, get no suggestion.
+    """
+    ids = known.select(F.col(column).alias("id")).where("id is not null").distinct().withColumn("low", F.lower("id"))
+    misses = wanted.select(F.col(column).alias("wanted")).where("wanted is not null").distinct()
+    misses = misses.join(ids.select("id"), F.col("wanted") == F.col("id"), "left_anti")
+    postings = ids.select("id", F.explode(F.array_distinct(F.flatten(F.array(*[_pieces(F.col("low"), k) for k in (1, 2, 3)])))).alias("run"))
+    sizes = postings.groupBy("run").agg(F.count("*").alias("ids"))
+    # What a suggestion must hold: the whole id, or its maker; each by its rarest run, and one without a posting finds nothing.
+    maker = F.lower(F.substring_index("wanted", "/", 1))
+    needles = misses.select("wanted", F.explode(F.array_distinct(F.array(F.lower("wanted"), maker))).alias("needle")).where("needle != ''")
+    runs = needles.select("wanted", "needle", F.explode(_pieces(F.col("needle"))).alias("run")).join(sizes, "run", "left")
+    rarest = runs.groupBy("wanted", "needle").agg(F.min(F.struct(F.coalesce("ids", F.lit(0)).alias("ids"), "run"))["run"].alias("run"))
+    met = rarest.join(postings, "run").select("wanted", "id").distinct()
+    whole = F.contains(F.lower("id"), F.lower("wanted"))
+    met = met.where(whole | F.contains(F.col("id"), F.substring_index("wanted", "/", 1)))
+    shared = F.size(F.array_intersect(_pieces(F.lower("wanted")), _pieces(F.lower("id"))))
+    order = Window.partitionBy("wanted").orderBy(F.desc("whole"), F.desc("shared"), "suggestion")
+    ranked = met.select("wanted", F.col("id").alias("suggestion"), whole.alias("whole"), shared.alias("shared"))
+    return ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).select("wanted", "suggestion", "place")
+
+
 def chunk_plan(requests: DataFrame, done: DataFrame, key: str, size: int) -> DataFrame:
     """Chunk numbers of the requests, without chunks that are done (and billed)."""
     from tallyloom.operators.sampling import chunks

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import rules
+from tallyloom.sources.scratch import materialize
 
 
 def read_strict(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -25,13 +26,28 @@ def read_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
     return raw.where("_corrupt is null").drop("_corrupt", "_file"), raw.where("_corrupt is not null").select("_file", "_corrupt")
 
 
+def numbered_lines(spark: SparkSession, path: str, keep=lambda line: F.lit(True)) -> DataFrame:
+    """(file, line, text) of the lines of text files that ``keep`` holds, numbered from 1 in their file; files are read in splits.
+
+    A split's lines are counted where they are read; prefix sums of these counts, a row a split, number the kept lines. What is
+    written meanwhile is a few bytes a line and the text of kept ones. A line ends with a line feed; blank lines count.
+    """
+    m = F.col("_metadata")
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(m["file_path"].alias("file"), m["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    # Places are written once, so no second reading can cut the files otherwise.
+    marked = materialize(lines.select("file", "split", "at", F.when(keep(F.col("value")), F.col("value")).alias("text")), "lines")
+    splits = marked.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    upto = F.sum("n").over(Window.partitionBy("file").orderBy("split"))
+    splits = splits.select("file", "split", (upto - F.col("n") - F.col("first") + 1).alias("shift"))
+    return marked.where("text is not null").join(splits, ["file", "split"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "text")
+
+
 def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """S3: (file, line, text) of the lines that don't fit, numbered from 1. For cache files, which one task can hold."""
+    """S3: (file, line, text) of the lines that don't fit, numbered from 1; blank lines are no rows but count as lines."""
     full = T.StructType.fromDDL(schema).add("_corrupt", T.StringType())
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n", -1)).alias("at", "text"))
-    row = F.from_json("text", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    bad = files.where(F.trim("text") != "").where(row["_corrupt"].isNotNull())
-    return bad.select("file", (F.col("at") + 1).alias("line"), "text")
+    row = lambda line: F.from_json(line, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return numbered_lines(spark, path, lambda line: (F.trim(line) != "") & row(line)["_corrupt"].isNotNull())
 
 
 def read_guarded(spark: SparkSession, path: str, needs: str) -> DataFrame:

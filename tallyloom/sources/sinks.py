@@ -168,8 +168,10 @@ def manifest(spark: SparkSession, folder: str, names: dict[str, str]) -> DataFra
     return spark.createDataFrame(rows, "local string, remote string, bytes long, state string")
 
 
-def report(df: DataFrame, title: str) -> str:
-    """A small result as a Markdown table."""
-    rows = df.limit(1000).collect()
+def report(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A small result as a Markdown table; a result of more than ``most`` rows is refused, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: aggregate them, or write a table")
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
     return f"## {title}\n\n{head}\n" + "\n".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows) + "\n"
