@@ -252,6 +252,15 @@ def hot_prefixes(docs: DataFrame, parts: int, rows: int, keep: Filter | None = N
     return frozenset(r["prefix"] for r in largest if r["prefix"] and r["n"] > share)
 
 
+def _runs(suffix: pa.Array, n: pa.Array) -> tuple[list[str], list[int]]:
+    """Equal neighbours, which come from many buffers, as one with the sum of their counts."""
+    if not len(suffix):
+        return [], []
+    new = np.concatenate(([True], pc.not_equal(suffix.slice(1), suffix.slice(0, len(suffix) - 1)).to_numpy(zero_copy_only=False)))
+    at = np.flatnonzero(new)
+    return suffix.take(pa.array(at)).to_pylist(), np.add.reduceat(n.to_numpy(), at).tolist()
+
+
 def stacked(dealt: DataFrame, hot: frozenset[str], least: int) -> DataFrame:
     """(lang, phrase, words, n) of the prefixes of each partition's sorted suffixes; words = 0: the language itself.
 
@@ -281,7 +290,7 @@ def stacked(dealt: DataFrame, hot: frozenset[str], least: int) -> DataFrame:
 
         before = None
         for batch in batches:
-            for suffix, n in zip(batch.column("suffix").to_pylist(), batch.column("n").to_pylist()):
+            for suffix, n in zip(*_runs(batch.column("suffix"), batch.column("n"))):
                 if suffix != before:
                     parts = suffix.split("\n")
                     parts.pop()
