@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tallyloom.plans.analogues import table
 from tallyloom.plans.registry import query
+from tallyloom.sources import versions
 from tallyloom.sources.scratch import run_folder
 from tallyloom.streaming import incremental, states
 
@@ -68,3 +70,23 @@ def stream_skip_set(spark, d):
     once = incremental.pending_stream(work, "key", "ts", "60 days").select("user_id", "event_type")
     once.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("user_id long, event_type string").parquet(f"{at}/rows")
+
+
+@query("""select c_custkey, c_name, coalesce(v, c_acctbal) as c_acctbal from customer left join (select user_id, arg_max(value, (ts, event_id)) as v from events where user_id is not null group by 1) on user_id = c_custkey""")
+def j9_merge_commits(spark, d):
+    """The last event of a user overwrites the customer's balance: streamed into a bucketed table, a commit a micro-batch."""
+    at = f"{run_folder(spark)}/merge-{uuid.uuid4().hex}"
+    versions.publish(table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), f"{at}/table", "c_custkey", 32)
+    patches = _log(spark, d).select(F.col("user_id").alias("c_custkey"), F.col("value").alias("c_acctbal"), "ts", "event_id").where("c_custkey is not null")
+    versions.merge_stream(patches, f"{at}/table", ["ts", "event_id"], f"{at}/checkpoint").awaitTermination()
+    return versions.read(spark, f"{at}/table")
+
+
+@query("""select 'last' as version, o_orderstatus, count(*)::bigint as n from orders group by 2 union all
+  select 'first', o_orderstatus, count(*)::bigint from orders where o_orderstatus = 'F' group by 2""")
+def k2_versions(spark, d):
+    path, o = f"{run_folder(spark)}/versions-{uuid.uuid4().hex}", table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    versions.publish(o.where("o_orderstatus = 'F'"), path)
+    versions.publish(o, path)
+    count = lambda n, name: versions.read(spark, path, n).groupBy("o_orderstatus").agg(F.count("*").alias("n")).select(F.lit(name).alias("version"), "o_orderstatus", "n")
+    return count(2, "last").unionAll(count(1, "first"))
