@@ -283,6 +283,31 @@ def tokenizer_udf(make, limit: int | None = None):
     return encode
 
 
+def vocabulary(path: str):
+    """A factory for ``tokenizer_udf`` from a vocabulary file that all machines have under ``path``; no special tokens are added."""
+
+    def make():
+        from tokenizers import Tokenizer  # where the tokens are made
+
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        return lambda text: tok.encode(text, add_special_tokens=False).ids
+
+    return make
+
+
+def token_length_udf(make):
+    """Text -> number of tokens, null for null."""
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        tok = make()
+        return pd.Series([None if t is None else len(tok(t)) for t in texts], dtype="Int32")
+
+    return count
+
+
 def hashed_ids(c: Column, limit: int, size: int = 50_000, pattern: str = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]") -> Column:
     """T33 without a model's vocabulary: ids of regular-expression tokens by a hash, the first ``limit`` of them."""
     tokens = F.slice(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), 1, limit)
