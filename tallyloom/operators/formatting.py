@@ -6,18 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import hashing, rules, text
+from tallyloom.functions.chat import ChatTemplate
 from tallyloom.operators.merge import doubled
 
 
-def sft_rows(df: DataFrame, system: str = "") -> DataFrame:
+def _prompt(system: str, user: Column, template: ChatTemplate | None) -> Column:
+    """The model's own template, or the plain one where none is given."""
+    if template is None:
+        return text.apply_chat(F.lit(system), user)
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return template.render(F.array(*([message("system", F.lit(system))] if system else []), message("user", user)))
+
+
+def with_token_lengths(df: DataFrame, columns: list[str], count) -> DataFrame:
+    """Lengths of text columns in tokens, as ``<column>_tokens``; ``count`` is ``text.token_length_udf`` of the model's vocabulary."""
+    return df.withColumns({f"{c}_tokens": count(F.col(c)) for c in columns})
+
+
+def sft_rows(df: DataFrame, system: str = "", template: ChatTemplate | None = None) -> DataFrame:
     """Plain and swapped rows (pair_id, swap, prompt, target) of labelled pairs with question, choices (text), a, b, reasoning, verdict."""
     d = doubled(df)
     c = F.col
     user = text.user_message(c("question"), c("choices"), c("a"), c("b"), c("swap"))
-    return d.select("pair_id", "swap", text.apply_chat(F.lit(system), user).alias("prompt"), text.make_target(c("reasoning"), c("verdict"), c("swap")).alias("target"))
+    return d.select("pair_id", "swap", _prompt(system, user, template).alias("prompt"), text.make_target(c("reasoning"), c("verdict"), c("swap")).alias("target"))
 
 
-def dpo_rows(df: DataFrame, synth: DataFrame, system: str = "") -> DataFrame:
+def dpo_rows(df: DataFrame, synth: DataFrame, system: str = "", template: ChatTemplate | None = None) -> DataFrame:
     """(pair_id, swap, source, prompt, chosen, rejected); the hash bucket picks a synthesised rejection or the flipped verdict.
 
     Pairs of the synth bucket without a synthesised row drop out (count them with A47).
@@ -30,7 +44,7 @@ def dpo_rows(df: DataFrame, synth: DataFrame, system: str = "") -> DataFrame:
     flipped = text.make_target(c("reasoning"), text.flip_verdict(c("verdict")), c("swap"))
     made = text.make_target(F.coalesce("s_reasoning", F.lit("")), F.coalesce("s_verdict", F.lit("TIE")), c("swap"))
     return d.select(
-        "pair_id", "swap", "source", text.apply_chat(F.lit(system), user).alias("prompt"),
+        "pair_id", "swap", "source", _prompt(system, user, template).alias("prompt"),
         text.make_target(c("reasoning"), c("verdict"), c("swap")).alias("chosen"), F.when(c("source") == "synth", made).otherwise(flipped).alias("rejected"),
     )
 

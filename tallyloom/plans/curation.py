@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions import rules, text
+from tallyloom.functions.chat import ChatTemplate
 from tallyloom.operators import formatting, merge, pairs, sampling, validation
 
 
@@ -56,10 +57,10 @@ def split(pairs_: DataFrame, held_category: str, in_total: dict[str, int], out_t
     }
 
 
-def training_sets(labelled: DataFrame, synth: DataFrame, system: str = "") -> tuple[DataFrame, DataFrame]:
-    """(sft, dpo) of labelled pairs."""
+def training_sets(labelled: DataFrame, synth: DataFrame, system: str = "", template: ChatTemplate | None = None) -> tuple[DataFrame, DataFrame]:
+    """(sft, dpo) of labelled pairs, in the model's chat template if one is given."""
     flat = labelled.select(
         "pair_id", F.col("question_text").alias("question"), text.format_choices(F.col("answer_choices")).alias("choices"), F.col("response_a.text").alias("a"),
         F.col("response_b.text").alias("b"), "reasoning", "verdict", "confidence",
     )
-    return formatting.sft_rows(validation.sft_pool(flat), system), formatting.dpo_rows(validation.dpo_pool(flat), synth, system)
+    return formatting.sft_rows(validation.sft_pool(flat), system, template), formatting.dpo_rows(validation.dpo_pool(flat), synth, system, template)

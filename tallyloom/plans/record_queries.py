@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyloom.functions import cost, rules, text
+from tallyloom.functions import chat, cost, rules, text
 from tallyloom.operators import formatting, gates, ledger, sampling, validation
 from tallyloom.plans.analogues import DIALOGUE, dialogue, table
 from tallyloom.plans.registry import query
@@ -311,6 +311,17 @@ def t18_user_message(spark, d):
     return rows.select("pair_id", "swap", F.sha2(text.user_message(c("question"), F.lit("A. x"), c("a"), c("b"), c("swap")), 256).alias("message"))
 
 
+_TRIMMED = f"trim({_MESSAGE}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+@query(f"""select pair_id, swap, sha256('<bos><start_of_turn>user' || chr(10) || 'Judge.' || chr(10) || chr(10) || {_TRIMMED} || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10)) as prompt_sha256
+  from (select *, unnest([false, true]) as swap from {DIALOGUE})""")
+def j22_sft_chat_template(spark, d):
+    rows = dialogue(spark, d).withColumn("choices", F.lit("A. x"))
+    made = formatting.sft_rows(rows, "Judge.", chat.TEMPLATES["turn"])
+    return made.select("pair_id", "swap", F.sha2("prompt", 256).alias("prompt_sha256"))
+
+
 _TEMPLATES = {"whole": "Use OK.\n## Task\nRate.\n## Pair\n{a} and {b}", "no token": "## Pair\n{a} {b}", "doubled": "OK {{a}} {b}", "short": "OK {a}"}
 
 
