@@ -17,7 +17,7 @@ def plan(spark, name):
 
 @pytest.mark.parametrize(("name", "columns"), [
     ("w8_hash_top_n", "doc_id,lang"), ("a20_ledger_total", "value"), ("a6_stratum_counts", "o_orderpriority,o_orderstatus"),
-    ("a27_median_ratio", "l_extendedprice,l_quantity"), ("u6_distinct_values", "source"), ("a32_source_mix", "lang"),
+    ("a36_throughput", "event_id,event_type,value"), ("u6_distinct_values", "source"), ("a32_source_mix", "lang"),
 ])
 def test_only_needed_columns_are_read(spark, name, columns):
     for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan(spark, name)):
