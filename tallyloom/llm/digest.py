@@ -2,7 +2,7 @@
 
 1. Every window of W = 8 bytes gets its Shannon entropy; all windows of a buffer are found together, by counting
    for each byte its equals among the bytes of the window before and after and summing what a step of the window changes.
-2. Rarity is measured: entropies of the windows of a bounded sample are counted, and the rank of a window is the share of
+2. Rarity is measured: entropies of the windows of all texts are counted, and the rank of a window is the share of
    windows with its entropy, rarest first. Windows under ``WEAK`` bits come last, whatever their share.
 3. In every run of 64 neighbouring windows (runs reach beyond both ends, so that all windows are in as many) the
    leftmost of least rank is counted; windows counted 16 times or more are the features. The rule is the same for texts of all lengths.
@@ -12,7 +12,7 @@
    less what chance gives, over the most they could share; the mean weighs filters by features.
 
 Fingerprints compare where their rarity was measured alike: ``measure`` gives the table once, and ``fingerprints`` takes it.
-Bound: about ``most`` texts are measured (by a hash of id and text); every text is fingerprinted.
+Every row is measured, as often as it stands, and fingerprinted; what is gathered of the measure is a number a place of entropy.
 
 Defined cases: empty or null text: an empty fingerprint, like another empty one (1.0) and unlike any other (0.0);
 a text under 8 bytes is one window, filled up with zeros; of a text whose windows are all weak, weak ones are features.
@@ -115,13 +115,13 @@ def features(texts: list[bytes], rarity: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def measure(docs: DataFrame, rows: int, most: int = 2_000) -> np.ndarray:
-    """The rarity of entropies over about ``most`` of the ``rows`` documents; repeated rows count once.
+def measure(docs: DataFrame, rows: int = 0, most: int | None = None) -> np.ndarray:
+    """The rarity of entropies over all documents, or, where the caller gives ``most``, over about so many of the ``rows``.
 
-    The share is told by 64 bits of a hash, whatever the number of rows; where no text of the share has a window, it is widened until
+    Such a share is told by 64 bits of a hash, whatever the number of rows; where no text of it has a window, it is widened until
     one has or all rows are read.
     """
-    share = min(1.0, most / max(1, rows))
+    share = 1.0 if most is None else min(1.0, most / max(1, rows))
     counts = _entropy_counts(docs, share)
     while not counts.sum() and share < 1:
         share = min(1.0, 64 * share)
@@ -129,23 +129,36 @@ def measure(docs: DataFrame, rows: int, most: int = 2_000) -> np.ndarray:
     return rarity_of(counts)
 
 
-def _entropy_counts(docs: DataFrame, share: float) -> np.ndarray:
-    """How many windows have each entropy, over a share of the documents."""
-    mark = F.xxhash64(F.lit(7), "doc_id", "text")
-    sample = docs.where("text is not null")
+def _window_counts(texts: list[bytes]) -> np.ndarray:
+    """How many windows of the texts have each entropy; texts lie one behind the other, windows across two of them are taken off."""
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    if not len(buf):
+        return np.zeros(PLACES, np.int64)
+    got = entropies(buf)
+    ends = np.cumsum([len(t) for t in texts if t])[:-1]
+    across = (ends[:, None] - np.arange(1, W)).ravel()
+    return np.bincount(got, minlength=PLACES) - np.bincount(got[across], minlength=PLACES)
+
+
+def _entropy_counts(docs: DataFrame, share: float, budget: int = 1_000_000) -> np.ndarray:
+    """How many windows have each entropy, over a share of the documents; a task sends one row a place."""
+    texts = docs.where("text is not null")
     if share < 1:
-        sample = sample.where(mark < F.lit(int(share * 2**64) - 2**63))
-    sample = sample.groupBy(mark.alias("mark")).agg(F.first("text").alias("text")).select("text")
+        texts = texts.where(F.xxhash64(F.lit(7), "doc_id", "text") < F.lit(int(share * 2**64) - 2**63))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, part, size = np.zeros(PLACES, np.int64), [], 0
         for pdf in batches:
-            total = np.zeros(PLACES, np.int64)
             for t in pdf["text"]:
-                if raw := _padded(t.encode("utf-8", "surrogatepass")):
-                    total += np.bincount(entropies(np.frombuffer(raw, np.uint8)), minlength=PLACES)
-            yield pd.DataFrame({"place": np.arange(PLACES), "n": total})
-
-    got = sample.mapInPandas(tidy(count), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # PLACES rows
+                part.append(_padded(t.encode("utf-8", "surrogatepass")))
+                size += len(part[-1])
+                if size > budget:
+                    total += _window_counts(part)
+                    part, size = [], 0
+        total += _window_counts(part)
+        yield pd.DataFrame({"place": np.arange(PLACES), "n": total})
+
+    got = texts.select("text").mapInPandas(tidy(count), "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # PLACES rows
     counts = np.zeros(PLACES)
     counts[got["place"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
     return counts
@@ -242,7 +255,7 @@ def fingerprints(docs: DataFrame, rows: int = 800, most: int = 16_384, rarity: n
     """
     d = docs.select("doc_id", "text")
     count = d.count()
-    rarity = measure(d, count) if rarity is None else rarity
+    rarity = measure(d) if rarity is None else rarity
     parts = max(1, min(most, count // rows))
     bounds = d.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10_000, 4 * parts)).alias("b")).first()["b"] if parts > 1 else []
     bucket = F.coalesce(_bucket(F.col("doc_id"), sorted(set(bounds or []))), F.lit(most + 1)).cast("int")

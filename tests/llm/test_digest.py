@@ -57,6 +57,21 @@ def test_rarity_is_measured_at_any_size(corpus):
     assert 0.2 < half < 0.8
 
 
+def test_every_text_is_measured(spark):
+    """More texts than a sample would hold, of all lengths; the table that ``fingerprints`` uses is that of all windows."""
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("ab cdeé") for _ in range(rnd.choice([0, 1, 7, 8, 9, 40]))) for _ in range(5000)] + ["".join(map(chr, range(300))), None]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc_id long, text string").repartition(3)
+    want = np.zeros(digest.PLACES)
+    for t in texts + [texts[3]]:
+        if t:
+            want += np.bincount(digest.entropies(np.frombuffer(t.encode().ljust(digest.W, b"\0"), np.uint8)), minlength=digest.PLACES)
+    assert np.array_equal(digest._entropy_counts(docs, 1.0, budget=1000), want) and np.array_equal(digest._entropy_counts(docs, 1.0), want)
+    assert np.array_equal(digest.measure(docs), digest.rarity_of(want))
+    of = lambda **more: sorted(map(repr, digest.fingerprints(docs, **more).collect()))
+    assert of() == of(rarity=digest.rarity_of(want))
+
+
 RARITY = digest.rarity_of(np.bincount(digest.entropies(np.frombuffer(b"".join(b"some word%d and other text. " % (i * i) for i in range(2000)), np.uint8)), minlength=digest.PLACES))
 
 
