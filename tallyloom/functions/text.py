@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -284,26 +284,28 @@ def tokenizer_udf(make, limit: int | None = None):
 
 
 def vocabulary(path: str):
-    """A factory for ``tokenizer_udf`` from a vocabulary file that all machines have under ``path``; no special tokens are added."""
+    """A factory for ``tokenizer_udf`` from a vocabulary file that all machines have under ``path``; no special tokens are added.
+
+    Workers import this package (``sources.package.ship_package`` sends it); one loads the file once, for all its tasks.
+    """
 
     def make():
-        from tokenizers import Tokenizer  # where the tokens are made
+        from tallyloom.functions.vocabulary import load
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        return lambda text: tok.encode(text, add_special_tokens=False).ids
+        return load(path)
 
     return make
 
 
 def token_length_udf(make):
-    """Text -> number of tokens, null for null."""
+    """Text -> number of tokens, null for null; an encoder with ``count(text)`` is asked for the number."""
 
     @F.pandas_udf("int")
-    def count(texts: pd.Series) -> pd.Series:
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok = make()
-        return pd.Series([None if t is None else len(tok(t)) for t in texts], dtype="Int32")
+        size = getattr(tok, "count", lambda text: len(tok(text)))
+        for texts in batches:
+            yield pd.Series([None if t is None else size(t) for t in texts], dtype="Int32")
 
     return count
 

@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.package import ship_package
 from tallyloom.sources.scratch import discard, materialize, shared_folder  # noqa: F401  (for the operators)
 
 #: A word is a run of anything but ASCII white space (Java and RE2 syntax).
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Python workers must import this package: where neither PYTHONPATH nor the working folder has it, Spark sends it to them."""
-    root = Path(__file__).resolve().parents[2]
-    known = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {Path.cwd()}
-    app = spark.sparkContext.applicationId
-    if root in known or app in _SHIPPED:
-        return
-    _SHIPPED.add(app)
-    folder = tempfile.mkdtemp(prefix="tallyloom-package-")  # the driver serves it from here; executors fetch it
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tallyloom", "zip", root, "tallyloom"))
-
-
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import chat, hashing, rules, text
 from tallyloom.plans.analogues import WIDE, table, wide
 from tallyloom.plans.registry import query
+from tallyloom.sources.package import ship_package
 
 
 def docs(spark, d):
@@ -364,23 +365,24 @@ def d2_timestamp_compare(spark, d):
     return table(spark, d, "events").where(F.col("ts") > F.lit("2024-01-15 00:00:00").cast("timestamp")).agg(F.count("*").alias("later"))
 
 
-def _vocabulary():
+def _vocabulary(spark):
     """A public byte-level vocabulary; a user names a file of their own."""
     import public_tokenizers
 
+    ship_package(spark)
     return text.vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @query()
 def t29_vocabulary_lengths(spark, d):
     """Whole texts in tokens of a real vocabulary."""
-    return docs(spark, d).select("doc_id", text.token_length_udf(_vocabulary())("text").alias("tokens"))
+    return docs(spark, d).select("doc_id", text.token_length_udf(_vocabulary(spark))("text").alias("tokens"))
 
 
 @query()
 def t33_vocabulary_ids(spark, d):
     """The first 512 ids of each text with their mask: T33's own truncation."""
-    ids = docs(spark, d).select("doc_id", text.tokenizer_udf(_vocabulary(), 512)("text").alias("ids"))
+    ids = docs(spark, d).select("doc_id", text.tokenizer_udf(_vocabulary(spark), 512)("text").alias("ids"))
     mask = F.aggregate(text.attention_mask(F.col("ids")), F.lit(0), lambda a, x: a + x)
     return ids.select("doc_id", F.array_join("ids", " ").alias("ids"), mask.alias("mask"))
 
@@ -391,7 +393,7 @@ def g7_token_gates(spark, d):
     from tallyloom.operators import gates, stats
     from tallyloom.sources.scratch import materialize
 
-    lengths = docs(spark, d).where("lang is not null").select("lang", text.token_length_udf(_vocabulary())("text").alias("n"))
+    lengths = docs(spark, d).where("lang is not null").select("lang", text.token_length_udf(_vocabulary(spark))("text").alias("n"))
     lengths = materialize(lengths, "token-lengths")  # read once a percentile's round
     of = lambda lang: F.when(F.col("lang") == lang, F.col("n")).alias(lang)
     rows = lengths.select("lang", "n", of("en"), of("fr"))

@@ -128,6 +128,62 @@ def test_tokenizer_udf(spark):
     assert got[0]["ids"] == [1, 2] and got[0]["m"] == [1, 1] and got[1]["ids"] is None
 
 
+ODD = ["", " ", "a<|endoftext|>b <|endoftext|><|endoftext|>", "x  <|endoftext|>  y", "!!<|endoftext|>", "<|endoftext", "it's we'll 'S ''s", " \n\n a\t\tb \r\n", "  \x1c\x85\xa0\u3000 z",
+       "日本語 ü ß É 🙂🙂", "\x00\x01\x7f\xad", "١٢ ½ Ⅷ x2y", "a" * 5000, " ab" * 3000, "e\u0301 \u200d\ufeff"]
+
+
+def test_pieces_give_the_tokens_of_whole_texts(monkeypatch):
+    import random
+
+    import public_tokenizers
+
+    from tallyloom.functions import vocabulary
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = vocabulary.load(path)
+    assert isinstance(pieces, vocabulary.Pieces) and vocabulary.load(path) is pieces
+    from tokenizers import Tokenizer
+
+    whole, rnd = vocabulary.Whole(Tokenizer.from_file(path)), random.Random(6)
+    made = ["".join(rnd.choice(["the", " of", "Ab", "7", "42", " ", "  ", "\n", "'s", "'", "é", "ß", "語", "<|", "endoftext", "|>", "<|endoftext|>", ".,", "🙂"]) for _ in range(60)) for _ in range(200)]
+    every = ["".join(f"{chr(c)}a {chr(c)}" for c in range(at, at + 256) if not 0xD800 <= c < 0xE000) for at in range(0, 0x30000, 256)]
+    monkeypatch.setattr(vocabulary, "KNOWN", 50)  # emptied many times
+    for t in ODD + made + every:
+        want = whole(t)
+        assert pieces(t) == want and pieces.count(t) == len(want), ascii(t[:40])
+        assert all(pieces.first(t, n) == want[:n] for n in (0, 1, 7, 512))
+    assert len(pieces.ids) <= 50
+
+
+def test_a_worker_asks_for_each_piece_once(monkeypatch):
+    from tallyloom.functions import vocabulary
+
+    asked = []
+
+    class Model:
+        def tokenize(self, piece):
+            asked.append(piece)
+            return [type("Token", (), {"id": len(piece)})]
+
+    pieces = vocabulary.Pieces(Model(), {})
+    assert pieces("ab cde ab cde") == [2, 4, 3, 4] and pieces.first("ab cde " * 1000, 2) == [2, 4]
+    assert len(asked) == 3
+
+
+def test_other_vocabularies_are_asked_for_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    from tallyloom.functions import vocabulary
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "own.json").write_text(json.dumps(spec), encoding="utf-8")
+    own = vocabulary.load(str(tmp_path / "own.json"))
+    assert isinstance(own, vocabulary.Whole) and own("The END") == own("the end") and own.count("The END") == len(own("the end")) and own.first("The END", 1) == own("the")
+
+
 def test_costs(spark):
     c = lambda conv, batch, *n: value(spark, cost.token_cost(*[F.lit(x) for x in n], F.lit(3.0), F.lit(0.3), F.lit(15.0), F.lit(batch), conv))
     assert c("inclusive", False, 10**6, 0, 0, 0) == 3.0 and c("inclusive", True, 10**6, 0, 0, 0) == 1.5
