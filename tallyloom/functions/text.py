@@ -273,12 +273,17 @@ def token_count(c: Column, pattern: str = r"[A-Za-z0-9]+|[^A-Za-z0-9\s]") -> Col
 
 
 def tokenizer_udf(make, limit: int | None = None):
-    """A pandas UDF text -> array<int> from ``make()``, a zero-argument factory of ``encode(text) -> list[int]``."""
+    """A pandas UDF text -> array<int> from ``make()``, a zero-argument factory of ``encode(text) -> list[int]``, called once a task.
+
+    An encoder with ``first(text, limit)`` is asked for the first ids only.
+    """
 
     @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok = make()
-        return texts.map(lambda t: None if t is None else list(tok(t))[:limit])
+        first = getattr(tok, "first", lambda text, limit: list(tok(text))[:limit])
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else first(t, limit))
 
     return encode
 

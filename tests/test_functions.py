@@ -128,6 +128,16 @@ def test_tokenizer_udf(spark):
     assert got[0]["ids"] == [1, 2] and got[0]["m"] == [1, 1] and got[1]["ids"] is None
 
 
+def test_tokenizer_udf_makes_one_encoder_a_task(spark):
+    """Not one a batch of rows."""
+    make = lambda: (lambda seen: lambda t: seen.append(t) or [len(seen)])([])
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rows = spark.createDataFrame([(f"t{i}",) for i in range(10)], "s string").coalesce(1)
+    assert [r["ids"][0] for r in rows.select(text.tokenizer_udf(make)("s").alias("ids")).collect()] == list(range(1, 11))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
 ODD = ["", " ", "a<|endoftext|>b <|endoftext|><|endoftext|>", "x  <|endoftext|>  y", "!!<|endoftext|>", "<|endoftext", "it's we'll 'S ''s", " \n\n a\t\tb \r\n", "  \x1c\x85\xa0\u3000 z",
        "日本語 ü ß É 🙂🙂", "\x00\x01\x7f\xad", "١٢ ½ Ⅷ x2y", "a" * 5000, " ab" * 3000, "e\u0301 \u200d\ufeff"]
 
