@@ -60,8 +60,8 @@ def s3_numbered_splits(spark, d):
     path, o = _at(spark, "log"), table(spark, d, "orders")
     bad = F.concat(F.lit('{"k": '), "o_orderkey", F.lit(" "), "o_orderpriority")
     line = F.when(F.col("o_orderstatus") == "P", bad).otherwise(F.to_json(F.struct(F.col("o_orderkey").alias("k"))))
-    o.coalesce(1).sortWithinPartitions("o_orderkey").select(line.alias("value")).write.text(path)  # one file, read in many splits
-    return jsonl.malformed_lines(spark, path, "k long").select("line", F.sha2("text", 256).alias("text_sha256"))
+    jsonl.write_log(o, path, F.col("o_orderkey").asc_nulls_last(), line)
+    return jsonl.malformed_lines(spark, path, "k long", through=True).select("line", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query("select o_orderkey, o_totalprice from orders where o_orderstatus = 'F'")

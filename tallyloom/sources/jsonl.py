@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions import rules
 from tallyloom.sources.scratch import materialize
 
+PART_ROWS = 250_000  # lines of a part of a log, which one task sorts
+
 
 def read_strict(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """Blank lines are skipped, a malformed line fails the query; the schema is given, so nothing is read twice."""
@@ -26,9 +28,19 @@ def read_tolerant(spark: SparkSession, path: str, schema: str) -> tuple[DataFram
     return raw.where("_corrupt is null").drop("_corrupt", "_file"), raw.where("_corrupt is not null").select("_file", "_corrupt")
 
 
-def numbered_lines(spark: SparkSession, path: str, keep=lambda line: F.lit(True)) -> DataFrame:
+def write_log(df: DataFrame, path: str, key: Column, line: Column, rows: int | None = None) -> None:
+    """The lines of all rows in order of ``key``, in parts of about ``rows`` lines: each part is a range, sorted by a task of its own.
+
+    The parts' names have the order of their ranges, so ``numbered_lines(..., through=True)`` numbers the whole log.
+    """
+    parts = -(-df.count() // (rows or PART_ROWS))
+    df.repartitionByRange(max(1, parts), key).sortWithinPartitions(key).select(line.alias("value")).write.text(path)
+
+
+def numbered_lines(spark: SparkSession, path: str, keep=lambda line: F.lit(True), through: bool = False) -> DataFrame:
     """(file, line, text) of the lines of text files that ``keep`` holds, numbered from 1 in their file; files are read in splits.
 
+    With ``through`` the files are parts of one log: numbers go on from file to file, in the order of their names.
     A split's lines are counted where they are read; prefix sums of these counts, a row a split, number the kept lines. What is
     written meanwhile is a few bytes a line and the text of kept ones. A line ends with a line feed; blank lines count.
     """
@@ -38,16 +50,16 @@ def numbered_lines(spark: SparkSession, path: str, keep=lambda line: F.lit(True)
     # Places are written once, so no second reading can cut the files otherwise.
     marked = materialize(lines.select("file", "split", "at", F.when(keep(F.col("value")), F.col("value")).alias("text")), "lines")
     splits = marked.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    upto = F.sum("n").over(Window.partitionBy("file").orderBy("split"))
+    upto = F.sum("n").over(Window.orderBy("file", "split") if through else Window.partitionBy("file").orderBy("split"))
     splits = splits.select("file", "split", (upto - F.col("n") - F.col("first") + 1).alias("shift"))
     return marked.where("text is not null").join(splits, ["file", "split"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "text")
 
 
-def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def malformed_lines(spark: SparkSession, path: str, schema: str, through: bool = False) -> DataFrame:
     """S3: (file, line, text) of the lines that don't fit, numbered from 1; blank lines are no rows but count as lines."""
     full = T.StructType.fromDDL(schema).add("_corrupt", T.StringType())
     row = lambda line: F.from_json(line, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return numbered_lines(spark, path, lambda line: (F.trim(line) != "") & row(line)["_corrupt"].isNotNull())
+    return numbered_lines(spark, path, lambda line: (F.trim(line) != "") & row(line)["_corrupt"].isNotNull(), through)
 
 
 def read_guarded(spark: SparkSession, path: str, needs: str) -> DataFrame:

@@ -35,6 +35,37 @@ def test_lines_of_split_files_are_numbered(spark, tmp_path, small_splits):
     assert [r["line"] for r in every.orderBy("line").select("line").collect()] == list(range(1, 4002))
 
 
+def test_a_log_in_parts_is_numbered_through(spark, tmp_path, small_splits):
+    """Parts of several splits, an empty one among them; each was sorted by a task of its own."""
+    rnd = random.Random(4)
+    keys = rnd.sample(range(10**6), 6000)
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    bad = F.concat(F.lit('{"k": '), "k", F.lit(" "), F.lpad(F.lit(""), 90, "x"))
+    jsonl.write_log(df, f"{tmp_path}/log", F.col("k"), F.when(F.col("k") % 3 == 0, bad).otherwise(F.to_json(F.struct("k"))), rows=1000)
+    parts = sorted((tmp_path / "log").glob("part-*"))
+    assert len(parts) == 6 and max(p.read_text().count("\n") for p in parts) < 3000 and max(p.stat().st_size for p in parts) > 3 * 4096
+    (tmp_path / "log" / "part-00002-and-none.txt").write_text("")
+    got = sorted((r["line"], r["text"]) for r in jsonl.malformed_lines(spark, f"{tmp_path}/log", "k long", through=True).collect())
+    assert got == [(i + 1, f'{{"k": {k} ' + "x" * 90) for i, k in enumerate(sorted(keys)) if k % 3 == 0]
+    jsonl.write_log(df.where("k < 0"), f"{tmp_path}/none", F.col("k"), bad)
+    assert jsonl.malformed_lines(spark, f"{tmp_path}/none", "k long", through=True).collect() == []
+
+
+def test_no_task_sorts_the_log_of_all_orders(spark, tmp_path, monkeypatch):
+    """The query on many parts gives the lines of a whole sort."""
+    import hashlib
+
+    from tallyloom.plans import record_queries
+
+    rows = [(i * 7919 % 100_003, "PFO"[i % 3], f"{i % 5}-X") for i in range(5000)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(jsonl, "PART_ROWS", 400)
+    monkeypatch.setattr(record_queries, "_at", lambda spark, name: f"{tmp_path}/{name}")
+    got = sorted(tuple(r) for r in record_queries.s3_numbered_splits(spark, str(tmp_path)).collect())
+    want = [(n + 1, hashlib.sha256(f'{{"k": {k} {p}'.encode()).hexdigest()) for n, (k, s, p) in enumerate(sorted(rows)) if s == "P"]
+    assert got == want and len(list((tmp_path / "log").glob("part-*"))) > 8
+
+
 def test_an_empty_file_has_no_lines(spark, tmp_path):
     (tmp_path / "e").write_text("")
     assert jsonl.malformed_lines(spark, str(tmp_path / "e"), "k long").collect() == []
