@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import sampling
 from tallyloom.plans.analogues import table
 from tallyloom.plans.registry import query
-from tallyloom.sources import versions
+from tallyloom.sources import jsonl, versions
 from tallyloom.sources.logsource import AppendLog
 from tallyloom.sources.scratch import run_folder
 from tallyloom.streaming import incremental, states
@@ -96,13 +96,11 @@ def k2_versions(spark, d):
 
 @query("select event_id, event_type, (row_number() over (order by event_id))::bigint as nth from events where event_type <> 'view'")
 def stream_log_lines(spark, d):
-    """A log file of all events, read as a stream of its byte ranges; a line's place orders it."""
+    """A log of all events in parts, read as a stream of its byte ranges; a line's place orders it."""
     at = f"{run_folder(spark)}/log-{uuid.uuid4().hex}"
-    rows = table(spark, d, "events").coalesce(1).sortWithinPartitions("event_id")  # one file, as an appending writer makes it
-    rows.select(F.to_json(F.struct("event_id", "event_type")).alias("value")).write.text(f"{at}/text")
-    [name] = [n for n in versions._names(spark, f"{at}/text") if n.startswith("part-")]
+    jsonl.write_log(table(spark, d, "events"), f"{at}/text", F.col("event_id").asc_nulls_last(), F.to_json(F.struct("event_id", "event_type")))
     spark.dataSource.register(AppendLog)
-    lines = spark.readStream.format("append_log").option("path", f"{at}/text/{name}").option("split", 256 << 10).load()
+    lines = spark.readStream.format("append_log").option("path", f"{at}/text").option("parts", "true").option("split", 256 << 10).load()
     q = lines.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").start()
     q.processAllAvailable()
     q.stop()

@@ -39,6 +39,26 @@ def test_ranges_of_any_size(tmp_path, monkeypatch, split, block):
         reader.partitions(at, {"at": at["at"] - 1})
 
 
+@pytest.mark.parametrize("split", [1, 3, 17, 1 << 20])
+def test_parts_of_a_log(tmp_path, split):
+    """The ranges of a folder's parts give the lines of the parts one behind the other; the last one may be torn, and grow."""
+    rnd, whole, at = random.Random(split), b"", {"at": 0}
+    reader = LogReader({"path": str(tmp_path / "log"), "split": str(split), "parts": "true"})
+    assert reader.latestOffset() == {"at": 0}
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "_SUCCESS").write_bytes(b"")
+    for i in range(6):
+        data = b"".join(rnd.choice([b"", b"a", "é日".encode(), b"x" * 30]) + b"\n" for _ in range(rnd.randint(0, 9)))
+        (tmp_path / "log" / f"part-{i:05d}").write_bytes(data + (b"torn" if i % 2 else b""))
+        now = reader.latestOffset()
+        assert now["at"] == len(whole + data)
+        assert read(reader, at, now) == lines_of(whole + data, at["at"], now["at"])
+        (tmp_path / "log" / f"part-{i:05d}").write_bytes(data + (b"torn\n" if i % 2 else b""))
+        whole, at = whole + data + (b"torn\n" if i % 2 else b""), now
+    now = reader.latestOffset()
+    assert now["at"] == len(whole) and read(reader, {"at": 0}, now) == lines_of(whole, 0, len(whole))
+
+
 def test_a_growing_log(spark, tmp_path):
     path, spark_ = tmp_path / "ledger.jsonl", spark
     spark_.dataSource.register(AppendLog)
