@@ -5,8 +5,9 @@
    some rule asks for, over the lower-cased texts. A trigram that every document has is a list a chunk, never one hot key.
 3. A rule's query is evaluated on the lists of a chunk: an alternative intersects the postings of its trigrams, a
    clause unites its alternatives, the rule intersects its clauses; what is left are its candidates.
-4. Candidates meet their texts again, behind a filter of their keys of bounded size, so only candidates' texts move; the
-   expressions run only there. A rule without a mandatory trigram (hex runs) scans every text.
+4. One more scan of the texts runs a rule's expression where a filter of bounded size holds the text's key with the rule;
+   the expression verifies, so what passes wrongly has no spans. No text moves or is joined. A rule without a mandatory
+   trigram (hex runs) scans every text.
 
 Spans are [start, end) in code points: ``split`` gives the gaps between matches and ``regexp_extract_all``
 the matches, both leftmost and non-overlapping, so running lengths give the places.
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import let, materialize
-from tallyloom.llm.idfilter import may_hold
+from tallyloom.llm.idfilter import pair_filter
 from tallyloom.llm.trigrams import trigram_query
 
 
@@ -141,12 +142,12 @@ def candidates(docs: DataFrame, rules: list[SecretRule], chunk: int = 20_000) ->
 def scan(docs: DataFrame, rules: list[SecretRule] = RULES) -> DataFrame:
     """``docs`` with secret_spans: array<struct<start, rule, end>>, in order of start, then of the rules."""
     docs = docs.drop(*[c for c in docs.columns if c.lower().startswith("secret_")])
-    known = materialize(candidates(docs.select("doc_id", "text"), rules), "secret-candidates").withColumnRenamed("secret_key", "secret_of")
-    d = docs.withColumn("secret_key", _key())
-    may = may_hold(known, "secret_of", F.col("secret_key"))
-    # Candidates grow with the corpus: never broadcast them; hash them beside the few texts that may be theirs.
-    met = d.where(may).join(known.hint("shuffle_hash"), F.col("secret_key") == F.col("secret_of"), "left")
-    d = met.unionByName(d.where(~may).withColumn("secret_of", F.lit(None).cast("long")).withColumn("secret_rules", F.lit(None).cast("array<int>")))
+    known = materialize(candidates(docs.select("doc_id", "text"), rules), "secret-candidates")
+    pairs = known.select("secret_key", F.explode("secret_rules").alias("rule"))
+    word, holds = pair_filter(pairs, "secret_key", "rule", F.col("secret_key"))
+    asked = F.array(*[F.lit(i) for i, r in enumerate(rules) if trigram_query(r.pattern)]).cast("array<int>")
+    d = docs.withColumn("secret_key", _key()).withColumn("secret_word", word)
+    d = d.withColumn("secret_rules", F.filter(asked, lambda i: holds(F.col("secret_word"), i)))
     text = F.coalesce("text", F.lit(""))
     empty = F.array().cast("array<struct<start:long,rule:int,end:long>>")
     parts = []

@@ -89,6 +89,22 @@ def test_trigram_queries_never_lose_a_match():
     assert trigram_query("abcd(x|y)?") == [[frozenset({"abc", "bcd"})]]
 
 
+def test_texts_are_read_once_and_stay(spark, tmp_path):
+    """The scan for spans is one pass over the texts: no second read of them, no shuffle or join of candidates' texts."""
+    texts_frame(spark).write.parquet(f"{tmp_path}/docs")
+    plan = secrets.report(spark.read.parquet(f"{tmp_path}/docs"))._jdf.queryExecution().optimizedPlan()
+    leaves = [str(plan.collectLeaves().apply(i).output()) for i in range(plan.collectLeaves().size())]
+    assert sum("text#" in o for o in leaves) == 1 and "Join" not in plan.toString().split("scalar-subquery")[0], plan.toString()
+
+
+@pytest.mark.parametrize("which", ["texts", "corpus"])
+def test_a_full_filter_loses_and_adds_nothing(which, spark, request, monkeypatch):
+    monkeypatch.setattr("tallyloom.llm.idfilter.MOST_BITS", 64)
+    docs = texts_frame(spark) if which == "texts" else request.getfixturevalue(which)
+    want = sorted(repr((r["doc_id"], *by_hand(r["text"]))) for r in docs.collect())
+    assert sorted(repr(tuple(r)) for r in secrets.report(docs).collect()) == want
+
+
 def test_redaction(spark):
     d = secrets.scan(texts_frame(spark))
     got = {r["doc_id"]: r["t"] for r in d.select("doc_id", secrets.redacted(d["text"], d["secret_spans"]).alias("t")).collect()}
